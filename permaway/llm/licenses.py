@@ -246,6 +246,10 @@ def _pairs(words: Column) -> Column:
     return F.when(F.size(words) > 1, F.array_distinct(both)).otherwise(F.array().cast("array<string>"))
 
 
+def _summed(places: str, weights: Column) -> Column:
+    return F.aggregate(places, F.lit(0.0), lambda a, k: a + F.get(weights, k))
+
+
 def _template_pairs(family: str) -> list[list[str]]:
     return [sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)}) for w in map(_words, TEMPLATES[family])]
 
@@ -264,8 +268,8 @@ def scan_paragraphs(docs: DataFrame, model: Model | None = None) -> DataFrame:
     found = found.withColumn("at", at)
     scale = F.lit(1.0) / (F.sqrt(F.greatest(F.size("at"), F.lit(1))) * F.lit(model.heat))
     for c in range(len(model.classes)):
-        weights = F.array(*(F.lit(float(x)) for x in model.weights[:, c]))
-        found = found.withColumn(f"z{c}", F.lit(float(model.bias[c] / model.heat)) + scale * F.aggregate("at", F.lit(0.0), lambda a, k, weights=weights: a + F.get(weights, k)))
+        weights = F.split(F.lit(" ".join(f"{x:.6g}" for x in model.weights[:, c])), " ").cast("array<double>")
+        found = found.withColumn(f"z{c}", F.lit(float(model.bias[c] / model.heat)) + scale * _summed("at", weights))
     logits = [F.col(f"z{c}") for c in range(len(model.classes))]
     top = F.greatest(*logits)
     total = reduce(lambda a, b: a + b, [F.exp(z - top) for z in logits])
@@ -274,7 +278,7 @@ def scan_paragraphs(docs: DataFrame, model: Model | None = None) -> DataFrame:
     found = found.withColumn("known", known).withColumn("score", F.exp(F.col("known") - top) / total).withColumn("family", F.when(F.col("score") >= model.threshold, family).otherwise(F.lit(UNKNOWN)))
 
     def fits(pairs: list[str]) -> Column:
-        own = F.size(F.array_intersect("pairs", F.array(*map(F.lit, pairs))))
+        own = F.size(F.array_intersect("pairs", F.split(F.lit("|".join(pairs)), "[|]")))
         return (own >= CONFIRM * len(pairs)) | ((own >= 4) & (own >= CONFIRM * F.size("pairs")))
 
     confirmed = reduce(lambda rest, f: F.when(F.col("family") == f, reduce(lambda a, b: a | b, map(fits, _template_pairs(f)))).otherwise(rest), sorted(TEMPLATES), F.lit(False))
