@@ -9,7 +9,7 @@ of their hashes.  Steps:
    ``retained - overlap + 1``: only those stay.  Values of passages that many
    documents hold come last in that order and drop out of the lists.
 3. Candidates.  A list of up to ``SMALL`` classes gives all its pairs.  A larger
-   one gives a star around a centre (one of four centres, by the value); after
+   one gives a star around a centre (one of ``CENTRES`` orders, by the value); after
    the links of all stars are merged into components, only pairs of different
    components are left, first in more stars, then all of them.  Pairs inside a
    component are never needed.
@@ -45,6 +45,8 @@ WORDS = Words(bytes([0x20, *range(0x09, 0x0E)]))
 RETAINED = 64
 #: Classes of a list that still gives all its pairs.
 SMALL = 16
+#: Orders from which the lists draw their centres.
+CENTRES = 16
 #: Rounds of stars before the remaining pairs of a list are all compared.
 STARS = 3
 #: Documents whose ids are broadcast to pick their texts; beyond it the join shuffles.
@@ -173,11 +175,15 @@ def link_classes(docs: DataFrame, sketches: DataFrame, shingle: int, percent: in
         if turn < STARS:
             more = x.join(_centres(open_, turn), "v").where("ca <> cb")
         else:
-            # the exact rest: whoever is outside the component of the list's centre, against all of other components
-            main = _centres(open_, 0).select("v", F.col("cb").alias("main"))
+            # the exact rest: whoever is outside the largest component of the list, against all of other components;
+            # a pair that meets in several lists is made in the first of them only
+            shares = open_.groupBy("v", "c").agg(F.count("*").alias("k"))
+            main = shares.groupBy("v").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
+            own = open_.groupBy("id").agg(F.sort_array(F.collect_list("v")).alias("own"))
+            x = x.join(own.select(F.col("id").alias("a"), F.col("own").alias("own_a")), "a")
             outside = x.join(main, "v").where("ca <> main").drop("main")
-            y = open_.select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-            more = outside.join(y, "v").where("ca <> cb")
+            y = open_.join(own, "id").select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("own").alias("own_b"))
+            more = outside.join(y, "v").where((F.col("ca") != F.col("cb")) & (F.col("v") == F.array_min(F.array_intersect("own_a", "own_b"))))
         fresh = links_of(_sized(more.select("a", "na", "b", "nb"), percent))
         links = written(links.unionByName(fresh), "links")
         found = written(components(links), "components")
@@ -185,8 +191,8 @@ def link_classes(docs: DataFrame, sketches: DataFrame, shingle: int, percent: in
 
 
 def _centres(lists: DataFrame, turn: int) -> DataFrame:
-    """One class of each list: the least by a hash that depends on the turn and on two bits of the value."""
-    order = F.xxhash64("id", F.pmod(F.col("v"), F.lit(4)), F.lit(turn))
+    """One class of each list: the least by a hash that depends on the turn and on some bits of the value."""
+    order = F.xxhash64("id", F.pmod(F.col("v"), F.lit(CENTRES)), F.lit(turn))
     extra = [F.col("m.c").alias("cb")] if "c" in lists.columns else []
     fields = ["id", "n", *(["c"] if extra else [])]
     return lists.groupBy("v").agg(F.min_by(F.struct(*fields), order).alias("m")).select("v", F.col("m.id").alias("b"), F.col("m.n").alias("nb"), *extra)
