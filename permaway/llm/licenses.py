@@ -21,8 +21,10 @@ earlier paragraph, then to the first family by name; repeated rows get equal res
 
 from __future__ import annotations
 
+import json
 import random
 import re
+from collections.abc import Callable
 from functools import lru_cache, reduce
 
 import numpy as np
@@ -240,49 +242,64 @@ def trained() -> Model:
     return Model()
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it occurs there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _pairs(words: Column) -> Column:
     """Distinct neighbouring words; none for fewer than two."""
-    both = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.when(F.size(words) > 1, F.array_distinct(both)).otherwise(F.array().cast("array<string>"))
+    rest = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), rest), F.slice(words, F.lit(2), rest), lambda a, b: F.concat_ws(" ", a, b)))
+
+
+def _literal(value, kind: str) -> Column:
+    """A constant of nested arrays, folded by the optimiser."""
+    return F.from_json(F.lit(json.dumps({"x": value})), f"x {kind}")["x"]
+
+
+def _classified(model: Model) -> Callable[[Column], Column]:
+    """From a folded paragraph to struct(family, score, confirmed)."""
+    n = len(model.classes)
+    weights = _literal([round(float(x), 6) for x in (model.weights / model.heat).ravel()], "array<double>")
+    bias = _literal([float(x) for x in model.bias / model.heat], "array<double>")
+    names = _literal(model.classes, "array<string>")
+    templates = _literal([[]] + [[sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)}) for w in map(_words, TEMPLATES[c])] for c in model.classes[1:]], "array<array<array<string>>>")
+    classes = F.sequence(F.lit(0), F.lit(n - 1))
+
+    def logits(at: Column) -> Column:
+        scale = F.sqrt(F.greatest(F.size(at), F.lit(1)).cast("double"))
+        return F.transform(classes, lambda c: F.get(bias, c) + F.aggregate(at, F.lit(0.0), lambda a, k: a + F.get(weights, k * n + c)) / scale)
+
+    def decided(z: Column) -> Column:
+        top, known = F.array_max(z), F.array_max(F.slice(z, 2, n - 1))
+        return F.struct((F.array_position(F.slice(z, 2, n - 1), known)).cast("int").alias("c"), (F.exp(known - top) / F.aggregate(z, F.lit(0.0), lambda a, x: a + F.exp(x - top))).alias("score"))
+
+    def confirmed(pairs: Column, c: Column) -> Column:
+        def fits(t: Column) -> Column:
+            return _let(F.size(F.array_intersect(pairs, t)), lambda own: (own >= F.lit(CONFIRM) * F.size(t)) | ((own >= 4) & (own >= F.lit(CONFIRM) * F.size(pairs))))
 
+        return F.exists(F.get(templates, c), fits)
 
-def _summed(places: str, weights: Column) -> Column:
-    return F.aggregate(places, F.lit(0.0), lambda a, k: a + F.get(weights, k))
+    def judged(pairs: Column, d: Column) -> Column:
+        known = d["score"] >= model.threshold
+        return F.struct(F.when(known, F.get(names, d["c"])).otherwise(F.lit(UNKNOWN)).alias("family"), d["score"].alias("score"), (known & confirmed(pairs, d["c"])).alias("confirmed"))
 
+    def of(p: Column) -> Column:
+        words = F.filter(F.split(p, _SEPARATORS), lambda w: w != "")
+        places = lambda w, pairs: F.array_distinct(F.transform(F.array_union(F.array_distinct(w), pairs), lambda f: F.pmod(F.xxhash64(f), F.lit(WIDTH)).cast("int")))
+        return _let(words, lambda w: _let(_pairs(w), lambda pairs: _let(logits(places(w, pairs)), lambda z: _let(decided(z), lambda d: judged(pairs, d)))))
 
-def _template_pairs(family: str) -> list[list[str]]:
-    return [sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)}) for w in map(_words, TEMPLATES[family])]
+    return of
 
 
 def scan_paragraphs(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """One row per candidate paragraph: doc_id, paragraph (number), family, score, confirmed."""
-    model = model or trained()
     low = F.lower(F.col("text").cast("string"))
-    lines = F.split(low, "\n")
-    pieces = F.flatten(F.transform(lines, lambda x: F.when(F.length(x) > LONG, F.split(x, _SENTENCE)).otherwise(F.array(x))))
+    pieces = F.flatten(F.transform(F.split(low, "\n"), lambda x: F.when(F.length(x) > LONG, F.split(x, _SENTENCE)).otherwise(F.array(x))))
     anchored = lambda x: reduce(lambda a, b: a | b, [x.contains(a) for a in ANCHORS])
     found = docs.where(anchored(low)).select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(pieces).alias("paragraph", "p")).where(anchored(F.col("p")))
-    words = F.filter(F.split("p", _SEPARATORS), lambda w: w != "")
-    found = found.withColumn("w", words).withColumn("pairs", _pairs(F.col("w")))
-    at = F.array_distinct(F.transform(F.array_union(F.array_distinct("w"), "pairs"), lambda f: F.pmod(F.xxhash64(f), F.lit(WIDTH)).cast("int")))
-    found = found.withColumn("at", at)
-    scale = F.lit(1.0) / (F.sqrt(F.greatest(F.size("at"), F.lit(1))) * F.lit(model.heat))
-    for c in range(len(model.classes)):
-        weights = F.split(F.lit(" ".join(f"{x:.6g}" for x in model.weights[:, c])), " ").cast("array<double>")
-        found = found.withColumn(f"z{c}", F.lit(float(model.bias[c] / model.heat)) + scale * _summed("at", weights))
-    logits = [F.col(f"z{c}") for c in range(len(model.classes))]
-    top = F.greatest(*logits)
-    total = reduce(lambda a, b: a + b, [F.exp(z - top) for z in logits])
-    known = F.greatest(*logits[1:])
-    family = reduce(lambda rest, c: F.when(F.col(f"z{c}") == F.col("known"), F.lit(model.classes[c])).otherwise(rest), range(len(model.classes) - 1, 0, -1), F.lit(UNKNOWN))
-    found = found.withColumn("known", known).withColumn("score", F.exp(F.col("known") - top) / total).withColumn("family", F.when(F.col("score") >= model.threshold, family).otherwise(F.lit(UNKNOWN)))
-
-    def fits(pairs: list[str]) -> Column:
-        own = F.size(F.array_intersect("pairs", F.split(F.lit("|".join(pairs)), "[|]")))
-        return (own >= CONFIRM * len(pairs)) | ((own >= 4) & (own >= CONFIRM * F.size("pairs")))
-
-    confirmed = reduce(lambda rest, f: F.when(F.col("family") == f, reduce(lambda a, b: a | b, map(fits, _template_pairs(f)))).otherwise(rest), sorted(TEMPLATES), F.lit(False))
-    return found.select("doc_id", "paragraph", "family", "score", confirmed.alias("confirmed"))
+    return found.select("doc_id", "paragraph", _classified(model or trained())(F.col("p")).alias("x")).select("doc_id", "paragraph", "x.*")
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
