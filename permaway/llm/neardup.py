@@ -7,12 +7,16 @@ of their hashes.  Steps:
 2. Inverted lists of retained values.  Two sets with similarity 0.8 share at
    least ``overlap`` retained values, so they share one of their rarest
    ``retained - overlap + 1``: only those stay.  Values of passages that many
-   documents hold come last in that order and drop out of the lists.
-3. Candidates.  A list of up to ``SMALL`` classes gives all its pairs.  A larger
-   one gives a star around a centre (one of ``CENTRES`` orders, by the value); after
-   the links of all stars are merged into components, only pairs of different
-   components are left, first in more stars, then all of them.  Pairs inside a
-   component are never needed.
+   documents hold come last in that order and drop out of the lists.  A class
+   in no list has no link.
+3. The classes in some list are listed anew, by their full sets and exactly: sets
+   of n values with similarity 0.8 share one of their rarest n - ceil(0.8 n) + 1.
+   A value's position among the rarest bounds what two sets can still share.
+   A list of up to ``SMALL`` classes gives all its pairs.  A larger one gives a
+   star around a centre (one of ``CENTRES`` orders, by the value); after the links
+   of all stars are merged into components, only pairs of different components
+   are left, first in more stars, then all of them.  Pairs inside a component
+   are never needed.
 4. The union of two sketches estimates the similarity; far pairs go.
 5. The exact similarity of the full sets decides every link.
 6. Components of the links, by written rounds of large-star and small-star.
@@ -33,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from permaway.llm.arrays import Words, groups_of, mix64, utf8
@@ -127,51 +131,63 @@ class _Links:
 
 
 def _sized(pairs: DataFrame, percent: int) -> DataFrame:
-    return pairs.where((F.col("a") != F.col("b")) & (F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    """Pairs (a, b) that can reach the similarity by their sizes and by what follows the value they meet in."""
+    left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    able = (F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")) & (left * (100 + percent) >= F.lit(percent) * (F.col("na") + F.col("nb")))
+    return pairs.where((F.col("a") != F.col("b")) & able).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def _lists(classes: DataFrame, percent: int) -> DataFrame:
-    """(v, id, n, size): the inverted lists of each class's rarest retained values, where at least two meet."""
-    postings = classes.select("id", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
+def _rarest(sets: DataFrame, values: str, keep: Column) -> DataFrame:
+    """(v, id, n, p, size): each set's first ``keep`` (of n, k) values in ascending order of frequency, where at least two sets meet; p counts the values before."""
+    postings = sets.select("id", "n", F.size(values).alias("k"), F.explode(values).alias("v"))
     often = postings.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     shared = postings.join(often, "v").groupBy("id", "n", "k").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("s"))
-    share = F.ceil(F.col("n") * percent / F.lit(100.0) - F.lit(1e-9))
-    overlap = F.when(F.col("n") > RETAINED, F.lit(RETAINED // 2)).otherwise(F.least(share, F.lit(RETAINED * 3 // 4)))
-    take = F.col("k") - overlap + 1 - (F.col("k") - F.size("s"))  # unshared values are the rarest
-    kept = shared.where(take > 0).select("id", "n", F.explode(F.slice("s", F.lit(1), take.cast("int"))).alias("x")).select(F.col("x.v").alias("v"), "id", "n")
-    sizes = kept.groupBy("v").agg(F.count("*").alias("size")).where("size > 1")
-    return kept.join(sizes, "v")
+    alone = F.col("k") - F.size("s")  # values of no other set are the rarest
+    shared = shared.withColumn("alone", alone).withColumn("take", keep - F.col("alone")).where("take > 0")
+    kept = shared.select("id", "n", "alone", F.posexplode(F.slice("s", F.lit(1), F.col("take").cast("int"))).alias("p", "x"))
+    kept = kept.select(F.col("x.v").alias("v"), "id", "n", (F.col("p") + F.col("alone")).alias("p"))
+    return kept.join(kept.groupBy("v").agg(F.count("*").alias("size")).where("size > 1"), "v")
+
+
+def _share(percent: int) -> Column:
+    return F.floor((F.col("n") * percent + 99) / F.lit(100)).cast("long")
+
+
+def _candidates(classes: DataFrame, percent: int) -> DataFrame:
+    """(id): classes that meet another in a retained value among their rarest."""
+    overlap = F.when(F.col("n") > RETAINED, F.lit(RETAINED // 2)).otherwise(F.least(_share(percent), F.lit(RETAINED * 3 // 4)))
+    return _rarest(classes, "sketch", F.col("k") - overlap + 1).select("id").distinct()
 
 
 def link_classes(docs: DataFrame, sketches: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The links between class representatives, and (id, component) of the linked ones."""
     spark = docs.sparkSession
     classes = written(sketches.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "sketch")).alias("x")).select(F.col("x.doc_id").alias("id"), "n", F.col("x.sketch").alias("sketch")), "classes")
-    lists = written(_lists(classes, percent), "lists")
-    ids = lists.select("id").distinct()
+    ids = written(_candidates(classes, percent), "candidates")
     picked = ids.count()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     texts = texts.join(F.broadcast(ids) if picked <= PICKED else ids, "id", "left_semi")
-    links_of = _Links(written(texts.mapInArrow(_full_sets(shingle), "id long, sketch array<long>, full array<long>"), "sets"), percent).of
-
-    small = lists.where(F.col("size") <= SMALL).select("v", "id", "n")
-    other = small.select("v", F.col("id").alias("b"), F.col("n").alias("nb"))
-    pairs = small.select("v", F.col("id").alias("a"), F.col("n").alias("na")).join(other, "v").where("a < b")
-    large = lists.where(F.col("size") > SMALL).select("v", "id", "n")
-    centre = _centres(large, 0)
-    stars = large.select("v", F.col("id").alias("a"), F.col("n").alias("na")).join(centre, "v")
-    links = written(links_of(_sized(pairs.select("a", "na", "b", "nb").unionByName(stars.select("a", "na", "b", "nb")), percent)), "links")
+    sets = written(texts.mapInArrow(_full_sets(shingle), "id long, sketch array<long>, full array<long>"), "sets").withColumn("n", F.size("full"))
+    links_of = _Links(sets, percent).of
+    lists = written(_rarest(sets, "full", F.col("k") - _share(percent) + 1), "lists")
+
+    small = lists.where(F.col("size") <= SMALL).select("v", "id", "n", "p")
+    pairs = _side(small, "a").join(_side(small, "b"), "v").where("a < b")
+    large = lists.where(F.col("size") > SMALL).select("v", "id", "n", "p")
+    stars = _side(large, "a").join(_centres(large, 0), "v")
+    columns = ["a", "na", "pa", "b", "nb", "pb"]
+    links = written(links_of(_sized(pairs.select(columns).unionByName(stars.select(columns)), percent)), "links")
     found = written(components(links), "components")
     if large.isEmpty():
         return links, found
     for turn in range(1, STARS + 1):
         c = found.select("id", F.col("component").alias("c"))
-        marked = large.join(c, "id", "left").select("v", "id", "n", F.coalesce("c", "id").alias("c"))
+        marked = large.join(c, "id", "left").select("v", "id", "n", "p", F.coalesce("c", "id").alias("c"))
         mixed = marked.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("v")
         open_ = written(marked.join(mixed, "v"), "open")
         if open_.isEmpty():
             break
-        x = open_.select("v", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
+        x = _side(open_, "a")
         if turn < STARS:
             more = x.join(_centres(open_, turn), "v").where("ca <> cb")
         else:
@@ -182,20 +198,23 @@ def link_classes(docs: DataFrame, sketches: DataFrame, shingle: int, percent: in
             own = open_.groupBy("id").agg(F.sort_array(F.collect_list("v")).alias("own"))
             x = x.join(own.select(F.col("id").alias("a"), F.col("own").alias("own_a")), "a")
             outside = x.join(main, "v").where("ca <> main").drop("main")
-            y = open_.join(own, "id").select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("own").alias("own_b"))
+            y = _side(open_, "b").join(own.select(F.col("id").alias("b"), F.col("own").alias("own_b")), "b")
             more = outside.join(y, "v").where((F.col("ca") != F.col("cb")) & (F.col("v") == F.array_min(F.array_intersect("own_a", "own_b"))))
-        fresh = links_of(_sized(more.select("a", "na", "b", "nb"), percent))
+        fresh = links_of(_sized(more.select(columns), percent))
         links = written(links.unionByName(fresh), "links")
         found = written(components(links), "components")
     return links, found
 
 
+def _side(lists: DataFrame, x: str) -> DataFrame:
+    return lists.select("v", F.col("id").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("n", "p", "c") if c in lists.columns))
+
+
 def _centres(lists: DataFrame, turn: int) -> DataFrame:
     """One class of each list: the least by a hash that depends on the turn and on some bits of the value."""
     order = F.xxhash64("id", F.pmod(F.col("v"), F.lit(CENTRES)), F.lit(turn))
-    extra = [F.col("m.c").alias("cb")] if "c" in lists.columns else []
-    fields = ["id", "n", *(["c"] if extra else [])]
-    return lists.groupBy("v").agg(F.min_by(F.struct(*fields), order).alias("m")).select("v", F.col("m.id").alias("b"), F.col("m.n").alias("nb"), *extra)
+    centre = lists.groupBy("v").agg(F.min_by(F.struct(*(c for c in lists.columns if c != "v")), order).alias("m")).select("v", "m.*")
+    return _side(centre, "b")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
