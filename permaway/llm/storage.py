@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from permaway.shipping import ship
+
 _MADE: list[tuple[SparkSession, str]] = []
 
 #: Arrow batches of this many rows at most, so that a batch of long texts fits a Python worker.
@@ -36,6 +38,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def arrow_batches(spark: SparkSession) -> None:
+    """What every operator with Python workers needs: the package there, and batches that fit."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
