@@ -3,8 +3,10 @@
 Both problems iterate one number until it moves by no more than 1e-12, at most 19
 times.  The state is the pair (previous, current); once they agree it stays.
 ``inverse`` and ``direct`` are single expressions that loop in a higher-order
-function.  ``with_inverse`` and ``with_direct`` give the same numbers in generated
-code: a few steps as projection layers, and the loop only for rows that need more.
+function, for use anywhere.  ``with_inverse`` and ``with_direct`` give the same
+numbers for whole columns, in Arrow batches: measured against unrolled projection
+layers in generated code they took half of the time for each pair and spared
+seconds of planning, so the transforms of tracks use them.
 
 Coincident points have distance and azimuths 0.  A pair on the equator, where a
 term is 0/0, takes that term as 0.  Longitudes are not normalised; the pair
@@ -18,9 +20,13 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from permaway.shipping import ship
+
 
 @dataclass(frozen=True)
 class Ellipsoid:
@@ -43,8 +49,6 @@ GRS80 = Ellipsoid(6378137.0, 6356752.314140)
 
 #: Loop rule of both problems.
 TOLERANCE, BODIES = 1e-12, 19
-#: Steps that the layered forms take before they fall back on the loop.
-UNROLLED = 4
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -168,44 +172,105 @@ def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column, ell: Ellipso
     return inverse(lat1, lon1, lat2, lon2, ell)["azimuth"]
 
 
+def _null_any(arrays: tuple[pa.Array, ...]) -> np.ndarray | None:
+    """Where any input is null, or None."""
+    if not any(a.null_count for a in arrays):
+        return None
+    return np.logical_or.reduce([a.is_null().to_numpy(zero_copy_only=False) for a in arrays])
+
+
+def _numbers(arrays: tuple[pa.Array, ...]) -> list[np.ndarray]:
+    return [a.to_numpy(zero_copy_only=False).astype(np.float64, copy=False) for a in arrays]
+
+
+def inverse_arrays(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray, ell: Ellipsoid = WGS84) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distance, azimuth and final azimuth of whole arrays; every pair stops by itself."""
+    f, minor = ell.flattening, ell.semi_minor
+    t1, t2 = (1 - f) * np.tan(np.radians(lat1)), (1 - f) * np.tan(np.radians(lat2))
+    cu1, cu2 = 1 / np.sqrt(1 + t1 * t1), 1 / np.sqrt(1 + t2 * t2)
+    su1, su2 = t1 * cu1, t2 * cu2
+    lon = np.radians(lon2 - lon1)
+    used, now = np.full_like(lon, 2 * math.pi), lon.copy()
+
+    def arc(lam, su1, cu1, su2, cu2):
+        sl, cl = np.sin(lam), np.cos(lam)
+        x, y = cu2 * sl, cu1 * su2 - su1 * cu2 * cl
+        ss, cs = np.sqrt(x * x + y * y), su1 * su2 + cu1 * cu2 * cl
+        sa = np.divide(cu1 * cu2 * sl, ss, out=np.zeros_like(ss), where=ss != 0)
+        c2a = 1 - sa * sa
+        m = cs - np.divide(2 * su1 * su2, c2a, out=cs.copy(), where=c2a != 0)
+        return sl, cl, x, y, ss, cs, sa, c2a, m
+
+    left = np.flatnonzero(np.abs(now - used) > TOLERANCE)
+    for _ in range(BODIES):
+        if not len(left):
+            break
+        lam = now[left]
+        _, _, _, _, ss, cs, sa, c2a, m = arc(lam, su1[left], cu1[left], su2[left], cu2[left])
+        c = f / 16 * c2a * (4 + f * (4 - 3 * c2a))
+        moved = lon[left] + (1 - c) * f * sa * (np.arctan2(ss, cs) + c * ss * (m + c * cs * (2 * m * m - 1)))
+        used[left], now[left] = lam, moved
+        left = left[np.abs(moved - lam) > TOLERANCE]
+    sl, cl, x, y, ss, cs, sa, c2a, m = arc(used, su1, cu1, su2, cu2)
+    u2 = c2a * ((ell.semi_major**2 - minor**2) / minor**2)
+    big_a = 1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2)))
+    big_b = u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2)))
+    distance = minor * big_a * (np.arctan2(ss, cs) - _delta_sigma(big_b, ss, cs, m))
+    apart = ss != 0
+    return tuple(np.where(apart, v, np.where(np.isnan(ss), np.nan, 0.0)) for v in (distance, np.arctan2(x, y), np.arctan2(cu1 * sl, cu1 * su2 * cl - su1 * cu2)))
+
+
+def direct_arrays(lat: np.ndarray, lon: np.ndarray, azimuth: np.ndarray, metres: np.ndarray, ell: Ellipsoid = WGS84) -> tuple[np.ndarray, np.ndarray]:
+    """Latitude and longitude of the end points of whole arrays."""
+    f = ell.flattening
+    t = (1 - f) * np.tan(np.radians(lat))
+    cu = 1 / np.sqrt(1 + t * t)
+    su, sin1, cos1 = t * cu, np.sin(azimuth), np.cos(azimuth)
+    sa, s1 = cu * sin1, np.arctan2(t, cos1)
+    c2a = 1 - sa * sa
+    u2 = c2a * ((ell.semi_major**2 - ell.semi_minor**2) / ell.semi_minor**2)
+    first = metres / (ell.semi_minor * (1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2)))))
+    big_b = u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2)))
+    used, now = np.full_like(first, 2 * math.pi), first.copy()
+    left = np.flatnonzero(np.abs(now - used) > TOLERANCE)
+    for _ in range(BODIES):
+        if not len(left):
+            break
+        s = now[left]
+        moved = first[left] + _delta_sigma(big_b[left], np.sin(s), np.cos(s), np.cos(2 * s1[left] + s))
+        used[left], now[left] = s, moved
+        left = left[np.abs(moved - s) > TOLERANCE]
+    ss, cs, m = np.sin(used), np.cos(used), np.cos(2 * s1 + used)
+    tmp = su * ss - cu * cs * cos1
+    lat2 = np.arctan2(su * cs + cu * ss * cos1, (1 - f) * np.sqrt(sa * sa + tmp * tmp))
+    c = f / 16 * c2a * (4 + f * (4 - 3 * c2a))
+    shift = np.arctan2(ss * sin1, cu * cs - su * ss * cos1) - (1 - c) * f * sa * (now + c * ss * (m + c * cs * (2 * m * m - 1)))
+    return np.degrees(lat2), lon + np.degrees(shift)
+
+
+def _batched(solve: Callable, names: tuple[str, ...], ell: Ellipsoid) -> Callable[..., Column]:
+    """A function of four columns to a struct, null where any of them is."""
+
+    def run(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
+        arrays = (a, b, c, d)
+        missing = _null_any(arrays)
+        with np.errstate(invalid="ignore"):
+            found = solve(*_numbers(arrays), ell)
+        mask = None if missing is None else pa.array(missing)
+        return pa.StructArray.from_arrays([pa.array(x, pa.float64(), mask=missing) for x in found], list(names), mask=mask)
+
+    return F.arrow_udf(run, ", ".join(f"{n} double" for n in names))
+
+
+def _with(df: DataFrame, result: Column, fields: tuple[str, ...], out: tuple[str, ...], keep: list[str]) -> DataFrame:
+    ship(df.sparkSession)
+    return df.withColumn("_g", result).select(*keep, *(F.col(f"_g.{f}").alias(n) for f, n in zip(fields, out, strict=False)))
+
+
 def with_inverse(df: DataFrame, lat1: str, lon1: str, lat2: str, lon2: str, out: tuple[str, ...] = ("distance_m", "azimuth", "final_azimuth"), ell: Ellipsoid = WGS84) -> DataFrame:
-    """``df`` with distance, azimuth and (if three names are given) final azimuth, in projection layers.
-
-    Null coordinates give null results.
-    """
-    keep = df.columns
-    (su1, cu1), (su2, cu2) = _reduced(ell, F.col(lat1)), _reduced(ell, F.col(lat2))
-    c = lambda name: F.col(f"_g_{name}")
-    df = df.withColumns({"_g_su1": su1, "_g_cu1": cu1, "_g_su2": su2, "_g_cu2": cu2, "_g_lon": F.radians(F.col(lon2) - F.col(lon1)), "_g_p": F.lit(2 * math.pi)})
-    df = df.withColumn("_g_c", c("lon"))
-
-    def arc_layers(df: DataFrame, at: str) -> DataFrame:
-        df = df.withColumns({"_g_sl": F.sin(c(at)), "_g_cl": F.cos(c(at))})
-        arc = _Arc(ell, c("su1"), c("cu1"), c("su2"), c("cu2"), c("sl"), c("cl"))
-        df = df.withColumns({"_g_x": arc.x, "_g_y": arc.y, "_g_cs": arc.cos_s, "_g_k": arc.cross})
-        df = df.withColumns({"_g_ss": F.sqrt(c("x") * c("x") + c("y") * c("y"))})
-        df = df.withColumns({"_g_s": F.atan2(c("ss"), c("cs")), "_g_sa": _ratio(c("k"), c("ss"))})
-        df = df.withColumns({"_g_c2a": 1.0 - c("sa") * c("sa")})
-        return df.withColumns({"_g_m": F.when(c("c2a") == 0.0, F.lit(0.0)).otherwise(c("cs") - 2.0 * c("su1") * c("su2") / c("c2a")), "_g_t": _longitude_term(ell, c("c2a"))})
-
-    for _ in range(UNROLLED):
-        df = arc_layers(df, "c")
-        moved = c("lon") + (1.0 - c("t")) * ell.flattening * c("sa") * (c("s") + c("t") * c("ss") * (c("m") + c("t") * c("cs") * (2.0 * c("m") * c("m") - 1.0)))
-        df = df.withColumn("_g_open", F.abs(c("c") - c("p")) > TOLERANCE)
-        df = df.withColumns({"_g_p": F.when(c("open"), c("c")).otherwise(c("p")), "_g_c": F.when(c("open"), moved).otherwise(c("c"))})
-    parts = {k: c(k) for k in ("su1", "cu1", "su2", "cu2", "lon")}
-    rest = _looped(F.struct(c("p").alias("p"), c("c").alias("c")), lambda lam: _next_lambda(ell, parts, lam), BODIES - UNROLLED)["p"]
-    df = df.withColumn("_g_p", F.when(F.abs(c("c") - c("p")) > TOLERANCE, rest).otherwise(c("p")))
-    df = arc_layers(df, "p")
-    big_a, big_b = _series(ell, c("c2a"))
-    df = df.withColumns({"_g_A": big_a, "_g_B": big_b})
-    apart = c("ss") == 0.0
-    results = [
-        F.when(apart, F.lit(0.0)).otherwise(ell.semi_minor * c("A") * (c("s") - _delta_sigma(c("B"), c("ss"), c("cs"), c("m")))),
-        F.when(apart, F.lit(0.0)).otherwise(F.atan2(c("x"), c("y"))),
-        F.when(apart, F.lit(0.0)).otherwise(F.atan2(c("cu1") * c("sl"), c("cu1") * c("su2") * c("cl") - c("su1") * c("cu2"))),
-    ]
-    return df.select(*keep, *(r.alias(n) for r, n in zip(results, out, strict=False)))
+    """``df`` with distance, azimuth and final azimuth (as many as there are names); null coordinates give null."""
+    fields = ("distance_m", "azimuth", "final_azimuth")
+    return _with(df, _batched(inverse_arrays, fields, ell)(lat1, lon1, lat2, lon2), fields, out, df.columns)
 
 
 # ---- direct problem
@@ -256,22 +321,6 @@ def _end_point(ell, lon, su, cu, sin1, cos1, sa, ss, cs, m, sigma, c) -> tuple[C
 
 
 def with_direct(df: DataFrame, lat: str, lon: str, azimuth: str, metres: str, out: tuple[str, str] = ("latitude", "longitude"), ell: Ellipsoid = WGS84) -> DataFrame:
-    """``df`` with the end point (degrees), in projection layers; outputs may replace the inputs."""
-    keep = [n for n in df.columns if n not in out]
-    c = lambda name: F.col(f"_g_{name}")
-    df = df.withColumns({f"_g_{k}": v for k, v in _direct_terms(ell, F.col(lat), F.col(azimuth), F.col(metres)).items()})
-    df = df.withColumn("_g_cu", F.lit(1.0) / F.sqrt(1.0 + c("t") * c("t")))
-    df = df.withColumns({"_g_su": c("t") * c("cu"), "_g_sa": c("cu") * c("sin1"), "_g_s1": F.atan2(c("t"), c("cos1"))})
-    df = df.withColumn("_g_c2a", 1.0 - c("sa") * c("sa"))
-    big_a, big_b = _series(ell, c("c2a"))
-    df = df.withColumns({"_g_s0": c("m") / (ell.semi_minor * big_a), "_g_B": big_b, "_g_p": F.lit(2 * math.pi)})
-    df = df.withColumn("_g_c", c("s0"))
-    for _ in range(UNROLLED):
-        df = df.withColumns({"_g_ss": F.sin(c("c")), "_g_cs": F.cos(c("c")), "_g_cm": F.cos(2.0 * c("s1") + c("c"))})
-        df = df.withColumns({"_g_open": F.abs(c("c") - c("p")) > TOLERANCE, "_g_n": c("s0") + _delta_sigma(c("B"), c("ss"), c("cs"), c("cm"))})
-        df = df.withColumns({"_g_p": F.when(c("open"), c("c")).otherwise(c("p")), "_g_c": F.when(c("open"), c("n")).otherwise(c("c"))})
-    looped = _looped(F.struct(c("p").alias("p"), c("c").alias("c")), lambda s: _next_sigma(c("s0"), c("s1"), c("B"), s), BODIES - UNROLLED)
-    df = df.withColumn("_g_r", F.when(F.abs(c("c") - c("p")) > TOLERANCE, looped).otherwise(F.struct(c("p").alias("p"), c("c").alias("c"))))
-    df = df.withColumns({"_g_ss": F.sin(F.col("_g_r.p")), "_g_cs": F.cos(F.col("_g_r.p")), "_g_cm": F.cos(2.0 * c("s1") + F.col("_g_r.p")), "_g_t2": _longitude_term(ell, c("c2a"))})
-    lat2, lon2 = _end_point(ell, F.col(lon), c("su"), c("cu"), c("sin1"), c("cos1"), c("sa"), c("ss"), c("cs"), c("cm"), F.col("_g_r.c"), c("t2"))
-    return df.select(*keep, lat2.alias(out[0]), lon2.alias(out[1]))
+    """``df`` with the end point in degrees; outputs may replace the inputs."""
+    fields = ("latitude", "longitude")
+    return _with(df, _batched(direct_arrays, fields, ell)(lat, lon, azimuth, metres), fields, out, [n for n in df.columns if n not in out])

@@ -27,6 +27,10 @@ def trim(text: Column) -> Column:
     return F.regexp_replace(text, f"^{_SPACE}|{_SPACE}$", "")
 
 
+def _printed(x: Column, pattern: str) -> Column:
+    return F.call_function("format_number", x, F.lit(pattern))
+
+
 def to_fixed(x: Column, digits: int) -> Column:
     """Fixed decimals from the exact binary value, ties away from zero; NaN prints as such.
 
@@ -41,7 +45,7 @@ def to_fixed(x: Column, digits: int) -> Column:
     up = (F.floor(scaled) + 1) / F.lit(10.0**digits)
     value = F.when(tie, F.when(x < 0, -up).otherwise(up)).otherwise(x)
     # format_number gives -0.000 for -0.0, where only a true negative keeps its sign
-    return F.when(F.isnan(x), F.lit("NaN")).when(x == 0, F.format_number(F.lit(0.0), pattern)).otherwise(F.format_number(value, pattern))
+    return F.when(F.isnan(x), F.lit("NaN")).when(x == 0, _printed(F.lit(0.0), pattern)).otherwise(_printed(value, pattern))
 
 
 def round_half_up(x: Column) -> Column:

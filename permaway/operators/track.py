@@ -222,16 +222,17 @@ def curve_radius(df: DataFrame, keys: Keys, arc: float = 100.0, threshold: float
 
 
 def curvature(df: DataFrame, keys: Keys) -> DataFrame:
-    """With ``radius_m`` through a point and its neighbours: infinite where the turn is under 0.001, null at the ends."""
+    """Inner points with ``radius_m`` through the point and its neighbours: infinite where the turn is under 0.001."""
     w = _by(keys)
     d = df.withColumns({"_lat0": F.lag("latitude").over(w), "_lon0": F.lag("longitude").over(w), "_lat2": F.lead("latitude").over(w), "_lon2": F.lead("longitude").over(w)})
+    d = d.where("_lat0 is not null and _lat2 is not null")
     d = geodesy.with_inverse(d, "_lat0", "_lon0", "latitude", "longitude", ("_d1", "_az1"))
     d = geodesy.with_inverse(d, "latitude", "longitude", "_lat2", "_lon2", ("_d2", "_az2"))
     d = geodesy.with_inverse(d, "_lat0", "_lon0", "_lat2", "_lon2", ("_chord",))
     turn = F.abs(F.col("_az1") - F.col("_az2"))
     d = d.withColumn("_turn", F.when(turn > math.pi, 2 * math.pi - turn).otherwise(turn))
     radius = F.when(F.col("_turn") < 0.001, F.lit(float("inf"))).otherwise(F.col("_chord") / 2.0 / F.sin(F.col("_turn") / 2.0))
-    return d.withColumn("radius_m", F.when(F.col("_turn").isNotNull(), radius)).select(*df.columns, "radius_m")
+    return d.withColumn("radius_m", radius).select(*df.columns, "radius_m")
 
 
 def smooth(df: DataFrame, keys: Keys, window: int = 3) -> DataFrame:

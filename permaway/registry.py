@@ -170,7 +170,7 @@ def curve_radius(spark, sf_dir):
 
 
 def curvature3(spark, sf_dir):
-    d = track.curvature(tracks(spark, sf_dir), KEYS).where("radius_m is not null")
+    d = track.curvature(tracks(spark, sf_dir), KEYS)
     return d.select("section", "idx", F.when(F.col("radius_m") == float("inf"), F.lit(-1.0)).otherwise(F.round("radius_m", 2)).alias("radius_m"))
 
 
@@ -219,7 +219,7 @@ def filter_csv(spark, sf_dir):
 def filter_coords(spark, sf_dir):
     """Of four kinds of tuples two have numeric coordinates."""
     e = _events(spark, sf_dir, "event_id", "value")
-    kinds = F.array(F.lit("151.2"), F.lit("x,-33"), F.concat(F.lit("151.2,-33.5,"), F.format_number("value", "0.000000000000")), F.concat(F.lit(" \n 151.2,-33.5,"), F.format_number("value", "0.000000000000"), F.lit(" ")))
+    kinds = F.array(F.lit("151.2"), F.lit("x,-33"), F.concat(F.lit("151.2,-33.5,"), F.col("value").cast("string")), F.concat(F.lit(" \n 151.2,-33.5,"), F.col("value").cast("string"), F.lit(" ")))
     marks = e.select(F.lit("f").alias("file"), F.lit(0).alias("file_ord"), F.lit("s").alias("section"), F.lit("").alias("description"), F.col("event_id").alias("placemark_idx"), F.array(F.get(kinds, (F.col("event_id") % 4).cast("int"))).alias("coordinates"))
     return kml.points(marks).agg(F.count("*").alias("n_points"), F.round(F.sum("altitude"), 2).alias("sum_alt"))
 

@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from permaway.shipping import ship
+
 
 @dataclass
 class _Done(WriterCommitMessage):
@@ -82,6 +84,7 @@ class ArchiveSink(DataSource):
 
 def write_archive(files: DataFrame, path: str, single: bool = True) -> None:
     """Writes the rows as one archive, or as one per partition where a single task should not hold them all."""
+    ship(files.sparkSession)
     files.sparkSession.dataSource.register(ArchiveSink)
     rows = files.select("file_name", "content")
     (rows.coalesce(1) if single else rows).write.format("archive").option("path", path).mode("append").save()

@@ -24,7 +24,8 @@ def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Points of lines: all columns but ``line`` stay; kilometrage is null where it is absent or no number."""
     rest = [c for c in lines.columns if c != "line"]
-    t = lines.withColumn("_l", jsnum.trim(F.col("line"))).where((F.col("_l") != "") & ~F.col("_l").startswith("#"))
+    # a generator keeps the filters above it: they would repeat whatever the line was made of
+    t = lines.withColumn("_l", F.explode(F.array(jsnum.trim(F.col("line"))))).where((F.col("_l") != "") & ~F.col("_l").startswith("#"))
     t = t.withColumn("_p", F.when(F.col("_l").contains("\t"), F.split("_l", "\t")).otherwise(F.split("_l", ","))).where(F.size("_p") >= 3)
     part = lambda k: F.get("_p", F.lit(k))
     alt = F.when(F.size("_p") > 3, F.coalesce(jsnum.parse_float(part(3)), F.lit(float("nan")))).otherwise(F.lit(0.0))

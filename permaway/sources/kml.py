@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from permaway.functions import jsnum
+from permaway.shipping import ship
 
 SCHEMA = "file string, file_ord int, placemark_idx int, section string, description string, coordinates array<string>"
 
@@ -103,6 +104,7 @@ class PlacemarkSource(DataSource):
 
 
 def read_placemarks(spark: SparkSession, paths: list[str]) -> DataFrame:
+    ship(spark)
     spark.dataSource.register(PlacemarkSource)
     return spark.read.format("placemarks").option("path", "\n".join(paths)).load()
 
@@ -118,6 +120,7 @@ def parse_documents(documents: DataFrame) -> DataFrame:
             types = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["file", "file_ord", "placemark_idx", "section", "description", "coordinates"])
 
+    ship(documents.sparkSession)
     return documents.select("file", F.col("file_ord").cast("int"), "content").mapInArrow(run, SCHEMA)
 
 
