@@ -23,6 +23,8 @@ LEAST_POINTS = 3
 DECIMATE_OVER, DECIMATE_STEP = 20, 10
 #: A last point nearer than this (metres) to the last output is left out.
 TAIL = 0.001
+#: Solver steps for points along a flattened line.
+SHORT = 3
 
 
 def _by(keys: Keys, *order: str) -> Window:
@@ -56,11 +58,11 @@ def at_least(df: DataFrame, keys: Keys, more_than: int = LEAST_POINTS) -> DataFr
     return df.withColumn("_n", F.count("*").over(_whole(keys))).where(F.col("_n") > more_than).drop("_n")
 
 
-def legs(df: DataFrame, keys: Keys) -> DataFrame:
+def legs(df: DataFrame, keys: Keys, steps: int = geodesy.STEPS) -> DataFrame:
     """With distance and azimuth to the next point; null at the last."""
     w = _by(keys)
     ahead = df.withColumns({"_lat2": F.lead("latitude").over(w), "_lon2": F.lead("longitude").over(w)})
-    return geodesy.with_inverse(ahead, "latitude", "longitude", "_lat2", "_lon2", ("leg_m", "leg_azimuth")).drop("_lat2", "_lon2")
+    return geodesy.with_inverse(ahead, "latitude", "longitude", "_lat2", "_lon2", ("leg_m", "leg_azimuth"), steps=steps).drop("_lat2", "_lon2")
 
 
 def chainage(df: DataFrame, keys: Keys) -> DataFrame:
@@ -166,7 +168,7 @@ def resample(df: DataFrame, keys: Keys, interval: float) -> DataFrame:
     if not (interval > 0 and math.isfinite(interval)):
         raise ValueError("resample needs interval > 0")
     w = _by(keys)
-    d = legs(df, keys)
+    d = legs(df, keys, steps=SHORT)
     so_far = F.sum(F.coalesce("leg_m", F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, 0))
     d = d.withColumn("_to", so_far).withColumn("_hi", F.floor(F.col("_to") / interval))
     d = d.withColumn("_lo", F.lag("_hi").over(w))
@@ -179,7 +181,7 @@ def resample(df: DataFrame, keys: Keys, interval: float) -> DataFrame:
     tail = F.col("_k") == -1
     d = d.withColumn("_s", F.when(tail, F.lit(0.0)).otherwise(F.col("_k") * F.lit(float(interval)) - (F.col("_to") - F.col("leg_m")))).withColumn("_tail", tail)
     moved = d.withColumns({"_lat0": F.when(F.col("_s") > 0, F.col("latitude")), "_lon0": F.when(F.col("_s") > 0, F.col("longitude"))})
-    d = geodesy.with_direct(moved, "_lat0", "_lon0", "leg_azimuth", "_s", ("_lat2", "_lon2"))
+    d = geodesy.with_direct(moved, "_lat0", "_lon0", "leg_azimuth", "_s", ("_lat2", "_lon2"), steps=SHORT)
     d = d.withColumns({"latitude": F.coalesce("_lat2", "latitude"), "longitude": F.coalesce("_lon2", "longitude")})
     w2 = _by(keys, "_tail", "_k")
     d = d.withColumns({"_n": F.row_number().over(w2), "_plat": F.lag("latitude").over(w2), "_plon": F.lag("longitude").over(w2)})
@@ -212,9 +214,9 @@ def curve_radius(df: DataFrame, keys: Keys, arc: float = 100.0, threshold: float
     rows = F.transform("_a", lambda x, i: F.struct(x.alias("p"), near(F.get("_a", i - F.col("_skip")), "b"), near(F.get("_a", i + F.col("_skip")), "f")))
     d = a.select(*keys, F.inline(rows))
     d = d.select(*keys, "p.*", F.col("b.latitude").alias("_lat0"), F.col("b.longitude").alias("_lon0"), F.col("f.latitude").alias("_lat2"), F.col("f.longitude").alias("_lon2"))
-    d = geodesy.with_inverse(d, "_lat0", "_lon0", "latitude", "longitude", ("_d1", "_az1"))
-    d = geodesy.with_inverse(d, "latitude", "longitude", "_lat2", "_lon2", ("_d2", "_az2"))
-    d = geodesy.with_inverse(d, "_lat0", "_lon0", "_lat2", "_lon2", ("_chord",))
+    d = geodesy.with_inverse(d, "_lat0", "_lon0", "latitude", "longitude", ("_d1", "_az1"), steps=SHORT)
+    d = geodesy.with_inverse(d, "latitude", "longitude", "_lat2", "_lon2", ("_d2", "_az2"), steps=SHORT)
+    d = geodesy.with_inverse(d, "_lat0", "_lon0", "_lat2", "_lon2", ("_chord",), steps=SHORT)
     turn = F.abs(F.col("_az1") - F.col("_az2"))
     d = d.withColumn("_turn", F.when(turn > math.pi, 2 * math.pi - turn).otherwise(turn))
     d = d.withColumn("_r", F.when(F.col("_turn") > 1e-4, F.col("_chord") / 2.0 / F.sin(F.col("_turn") / 2.0)))
