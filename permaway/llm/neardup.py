@@ -192,14 +192,14 @@ def link_classes(docs: DataFrame, sketches: DataFrame, shingle: int, percent: in
             more = x.join(_centres(open_, turn), "v").where("ca <> cb")
         else:
             # the exact rest: whoever is outside the largest component of the list, against all of other components;
-            # a pair that meets in several lists is made in the first of them only
+            # a pair that meets in several lists is made in the first of them in the order of frequency, where positions count
             shares = open_.groupBy("v", "c").agg(F.count("*").alias("k"))
             main = shares.groupBy("v").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
-            own = open_.groupBy("id").agg(F.sort_array(F.collect_list("v")).alias("own"))
+            own = open_.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "v"))), lambda q: q["v"]).alias("own"))
             x = x.join(own.select(F.col("id").alias("a"), F.col("own").alias("own_a")), "a")
             outside = x.join(main, "v").where("ca <> main").drop("main")
             y = _side(open_, "b").join(own.select(F.col("id").alias("b"), F.col("own").alias("own_b")), "b")
-            more = outside.join(y, "v").where((F.col("ca") != F.col("cb")) & (F.col("v") == F.array_min(F.array_intersect("own_a", "own_b"))))
+            more = outside.join(y, "v").where((F.col("ca") != F.col("cb")) & (F.col("v") == F.get(F.array_intersect("own_a", "own_b"), F.lit(0))))
         fresh = links_of(_sized(more.select(columns), percent))
         links = written(links.unionByName(fresh), "links")
         found = written(components(links), "components")
