@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permaway.llm.arrays import IntMap, Words, mix64, utf8
+from permaway.llm.arrays import IntMap, Words, utf8
 from permaway.llm.storage import arrow_batches
 
 #: Bytes that separate words (after folding); all others belong to words.
@@ -294,13 +294,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     for more in found[1:]:
         every = every.unionByName(more)
     merged = every.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("s"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.count("*").alias("n"))
-    joined = F.aggregate(
-        F.array_sort("s"),
-        F.array().cast("array<struct<first:long,last:long>>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (x["first"] <= F.element_at(acc, -1)["last"] + 1), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["first"].alias("first"), F.greatest(F.element_at(acc, -1)["last"], x["last"]).alias("last"))))).otherwise(F.concat(acc, F.array(x))),
-    )
     copies = F.array_repeat(F.lit(1), (F.col("n") / len(found)).cast("int"))
-    return merged.select("doc_id", "n_words", joined.alias("spans"), "items", F.explode(copies).alias("_copy")).drop("_copy")
+    return merged.mapInArrow(_joined_spans, merged.schema).select("doc_id", "n_words", F.col("s").alias("spans"), "items", F.explode(copies).alias("_copy")).drop("_copy")
+
+
+def _joined_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        k = batch.schema.names.index("s")
+        joined = []
+        for spans in batch.column(k).to_pylist():
+            out: list[dict] = []
+            for x in sorted(spans, key=lambda x: (x["first"], x["last"])):
+                if out and x["first"] <= out[-1]["last"] + 1:
+                    out[-1]["last"] = max(out[-1]["last"], x["last"])
+                else:
+                    out.append(dict(x))
+            joined.append(out)
+        yield batch.set_column(k, batch.schema.field(k), pa.array(joined, batch.schema.field(k).type))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:

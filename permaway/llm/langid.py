@@ -70,7 +70,7 @@ class Model:
         self.languages = sorted(samples)
         counted = [self._count(samples[x]) for x in self.languages]
         width = len(self.languages)
-        self.maps, self.cost, self.escape = [], [], [None]
+        self.maps, self.cost, self.contexts, self.escape = [], [], [], []
         for d in range(ORDER + 1):
             keys = np.unique(np.concatenate([c[d][0] for c in counted])) if counted else np.zeros(0, np.uint64)
             context = keys >> np.uint64(8)
@@ -79,31 +79,24 @@ class Model:
             # what a byte costs once its longest context is escaped
             if d:
                 shorter = self.cost[d - 1][self.maps[d - 1].find(keys & np.uint64((1 << (8 * d)) - 1))]
-                at = self.maps[d - 1].find(contexts)
-                escape = np.zeros((len(self.maps[d - 1].keys), width), np.float32)
             else:
                 shorter = np.full((len(keys), width), 8.0, np.float32)
-                escape, at = np.zeros((1, width), np.float32), np.zeros(len(contexts), np.int32)
-            cost = np.array(shorter, np.float32)
+            cost, escape = np.array(shorter, np.float32), np.zeros((len(contexts), width), np.float32)
             for x, c in enumerate(counted):
                 count = np.zeros(len(keys))
                 count[np.searchsorted(keys, c[d][0])] = c[d][1]
                 total = np.bincount(group, count, len(contexts))
                 distinct = np.bincount(group, count > 0, len(contexts))
                 seen = total > 0
-                leave = np.where(seen, np.log2((total + distinct) / np.maximum(distinct, 1)), 0)
+                leave = np.where(seen, np.log2(np.maximum(total + distinct, 1) / np.maximum(distinct, 1)), 0)
                 hit = count > 0
                 cost[:, x] += leave[group]
                 cost[hit, x] = np.log2((total + distinct)[group[hit]] / count[hit])
-                # the start of a text has no entry among shorter contexts: such contexts are only ever known
-                ok = at >= 0
-                escape[at[ok], x] = leave[ok]
+                escape[:, x] = leave
             self.maps.append(known)
             self.cost.append(cost)
-            if d:
-                self.escape.append(escape)
-            else:
-                self.escape[0] = escape
+            self.contexts.append(IntMap(contexts))
+            self.escape.append(escape)
 
     @staticmethod
     def _count(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -142,12 +135,11 @@ class Model:
                 left, key = left[~hit], key[~hit]
                 if not len(left):
                     break
-                if d:
-                    context = self.maps[d - 1].find(key >> np.uint64(8))
-                    known = context >= 0
-                    cost[left[known]] += self.escape[d][context[known]]
-                else:
-                    cost[left] += self.escape[0][0] + 8
+                context = self.contexts[d].find(key >> np.uint64(8))
+                known = context >= 0
+                cost[left[known]] += self.escape[d][context[known]]
+                if not d:
+                    cost[left] += 8
             which = row[a : lo + PASS][at]
             for x in range(len(self.languages)):
                 bits[:, x] += np.bincount(which, cost[:, x], len(texts))

@@ -60,7 +60,7 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 _LOOKS = {ord(c): latin for latin, seen in HOMOGLYPHS.items() for c in seen + seen.upper()}
 _STANDS = {ord(k): v for k, v in DIGITS.items()}
 #: Digits and signs between letters; a run at a word's end counts only as digits (so that "re!!" stays "re").
-_INSIDE = regex.compile(r"(?<=\p{L})[0-9@$!|€£]{1,2}(?=\p{L})|(?<![\p{L}0-9])[0134579@$](?=\p{L}{2})|(?<=\p{L}{2})[0134579](?![\p{L}0-9])")
+_INSIDE = regex.compile(r"(?<=\p{L})[0-9@$!|€£]{1,2}(?=\p{L})|(?<![\p{L}0-9])[0134579@$](?=\p{L}[\p{L}0-9@$!|])|(?<=\p{L}{2})[0134579](?![\p{L}0-9])")
 _SPLIT = regex.compile(r"(?<=\p{L})[­​-‍⁠﻿](?=\p{L})")
 _WORD = regex.compile(r"\p{L}+")
 _PLAIN = regex.compile(r"[^\x00-ɏ]")
@@ -180,13 +180,21 @@ def _fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray) -> np.ndarray:
     """Logistic regression by Newton steps, each label with half of the weight, pulled lightly to ``prior``."""
     x = np.column_stack([np.ones(len(x)), x])
     sample = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
-    w, pull = prior.copy(), np.diag([0.01, 1.0, 1.0, 1.0]) * 2
-    for _ in range(40):
+    w, pull = prior.copy(), np.array([0.02, 2.0, 2.0, 2.0])
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.sum(sample * (np.logaddexp(0, z) - y * z)) + 0.5 * np.sum(pull * (w - prior) ** 2))
+
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (sample * (p - y)) + pull @ (w - prior)
-        step = np.linalg.solve((x * (sample * p * (1 - p))[:, None]).T @ x + pull, grad)
-        w -= step
-        if np.abs(step).max() < 1e-6:
+        grad = x.T @ (sample * (p - y)) + pull * (w - prior)
+        step = np.linalg.solve((x * (sample * p * (1 - p))[:, None]).T @ x + np.diag(pull), grad)
+        size, before = 1.0, loss(w)
+        while size > 1e-6 and loss(w - size * step) > before:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-6:
             break
     return w
 

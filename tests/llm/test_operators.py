@@ -1,0 +1,440 @@
+"""Each operator against plain versions of itself, and on nulls, empties, repeats and clashing columns."""
+
+from __future__ import annotations
+
+import random
+import zlib
+
+import duckdb
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from permaway.llm import ann, components, decontam, htmltext, langid, licenses, neardup, packing, pii, registry, sstable, tokens, toxicity
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, component_id string, bin int"
+
+#: Null, empty, white space, punctuation, one word, repeats of a row and of a text, a very long word, and odd characters.
+EDGES = [
+    (1, None), (2, ""), (3, " \t\n"), (4, "... !!"), (5, "word"), (5, "word"), (6, "word"), (7, "x" * 50_000), (8, "a  b   c　d e\x1cf"), (9, "日本語 テキスト 😀"), (None, "no id at all"), (10, "<|endoftext|> it's"),
+]
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(d, t, None, None, None if t is None else len(t), "clash", 1) for d, t in rows], DOCS)
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    return docs(spark, EDGES)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return docs(spark, [])
+
+
+def table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ids(df):
+    return sorted((r.doc_id is None, r.doc_id or 0) for r in df.select("doc_id").collect())
+
+
+WANTED = sorted((d is None, d or 0) for d, _ in EDGES)
+
+
+# ---- decontamination
+
+
+def test_decontamination_by_brute_force(spark):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(30)]
+    items = [("b", " ".join(rng.choices(words, k=25))), ("a", " ".join(rng.choices(words, k=12))), ("s", "w1 W2"), ("n", None), (None, "w3, w4 w5"), ("e", "!!"), ("a", "w9 w8 w7")]
+    texts = []
+    for k in range(120):
+        t = rng.choices(words, k=rng.randint(0, 60))
+        if k % 3 == 0 and items[0][1]:
+            w = rng.choice(items[:2])[1].split()
+            a = rng.randint(0, len(w) - 10)
+            t[5:5] = w[a : a + rng.randint(9, 14)]
+        texts.append((k, rng.choice((" ", "; ", "\n")).join(t).replace("w1", rng.choice(("w1", "W1")))))
+    texts += [(d, t) for d, t in EDGES if d is not None]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    want = sorted(decontam.brute_force(texts, [(i or "", t) for i, t in items]))
+    for block in (decontam.BLOCK_BYTES, 40):  # in one block and in several
+        found = decontam.contamination(docs(spark, texts), bench, block_bytes=block)
+        hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"] + 1)
+        got = found.select("doc_id", "n_words", hit, F.size("items"), F.sha2(F.concat_ws(",", F.array_sort("items")), 256), F.size("spans") > 0).collect()
+        assert sorted(map(tuple, got)) == want
+
+
+def test_suffix_array_and_index_of_repeats():
+    text = np.array([1, 2, 1, 2, 1, 2, 0, 1, 2, 1, 0, 2, 2, 2, 2, 0])
+    index = decontam.FMIndex(text, 2, sample=4)
+    for pattern in ([1, 2], [2, 1, 2], [2, 2], [1], [1, 1]):
+        row = np.zeros((1, 4), np.int64)
+        row[0, 4 - len(pattern) :] = pattern
+        lo, hi = index.search(row, np.array([len(pattern)]))
+        want = [k for k in range(len(text)) if text[k : k + len(pattern)].tolist() == pattern]
+        assert sorted(index.locate(np.arange(lo[0], hi[0]))) == want
+
+
+def test_cut_documents_hold_no_window(spark):
+    item = " ".join(f"q{k}" for k in range(14))
+    rows = [(1, f"before {item} after"), (2, item), (3, "clean text"), (4, "q0 q1 q2 q3 q4 " + item + " q5 q6 q7 q8 q9 q10"), (5, None)]
+    bench = spark.createDataFrame([("i", item)], "item_id string, text string")
+    out = decontam.decontaminate(docs(spark, rows), bench)
+    got = {r.doc_id: r for r in out.collect()}
+    assert out.columns == docs(spark, []).columns and set(got) == {1, 3, 5}  # cutting 4 brings the rest together, which is a window again
+    assert got[1].text == "before after" and got[1].n_chars == len("before after") and got[3].text == "clean text"
+    assert decontam.digest(out, bench).where("contaminated").count() == 0
+
+
+# ---- near duplicates
+
+
+def brute_components(texts, size=4, percent=80):
+    sets = {}
+    for d, t in texts:
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").replace("\x0b", " ").replace("\x0c", " ")
+        w = [x for x in __import__("re").split(r"[\x20\x09-\x0D]+", w) if x]
+        sets[d] = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and (i := len(sets[a] & sets[b])) and 100 * i >= percent * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {d: (len(sets[d]), find(d), find(d) == d) for d in sets}
+
+
+def test_near_duplicates_by_brute_force(spark):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(400)]
+    base = [rng.choices(words, k=rng.choice((3, 12, 60, 150))) for _ in range(25)]
+    common = rng.choices(words, k=40)
+    texts = []
+    for k in range(230):
+        t = list(rng.choice(base[:3] if k < 90 else base))  # large groups of near copies
+        for _ in range(rng.randint(0, 6)):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        if k % 5 == 0:
+            t = common + t
+        texts.append((k, rng.choice((" ", "\n ")).join(t)))
+    texts += [(1000 + k, t) for k, (d, t) in enumerate(EDGES)]
+    want = brute_components(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs(spark, texts), 4, 80).collect()}
+    assert got == want
+    assert len({c for _, c, _ in want.values()}) < len(want) - 50
+
+
+def test_near_duplicates_of_odd_tables(spark, edges, empty):
+    assert neardup.near_duplicates(empty).count() == 0
+    got = neardup.near_duplicates(edges).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == WANTED
+    assert {r.doc_id: r.component_id for r in got if r.doc_id in (1, 2, 3, 5, 6)} == {1: 1, 2: 2, 3: 3, 5: 5, 6: 5}
+    kept = neardup.drop_near_duplicates(edges)
+    assert kept.columns == edges.columns and 6 not in {r.doc_id for r in kept.collect()}
+
+
+def test_components_agree_in_both_ways(spark):
+    rng = random.Random(1)
+    edges = [(k, k + 1) for k in range(60)] + [(rng.randint(100, 260), rng.randint(100, 260)) for _ in range(110)] + [(500, k) for k in range(400, 460)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    one = {r.id: r.component for r in components.components(df).collect()}
+    rounds = {r.id: r.component for r in components.components(df, one_task=0).collect()}
+    assert one == rounds and one[60] == 0 and one[500] == 400
+    none = spark.createDataFrame([], "a long, b long")
+    assert components.components(none).count() == components.components(none, one_task=-1).count() == 0
+
+
+# ---- language
+
+
+def test_language_of_held_out_documents(spark):
+    d = table(spark, "/root/testdata/sf0.01", "documents")
+    got = langid.digest(d, langid.train(d)).join(d.select("doc_id", "lang"), "doc_id").where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
+    assert got > 0.95
+
+
+def test_language_of_odd_tables(spark, edges, empty):
+    model = langid.Model({"aa": ["alpha beta alpha"], "bb": ["gamma delta"]})
+    got = {r.doc_id: r for r in langid.identify(edges, model).collect()}
+    assert all(got[k].lang_pred == "und" and got[k].score == 0 for k in (1, 2, 3, 4)) and got[5].lang_pred in ("aa", "bb")
+    assert langid.identify(empty, model).count() == 0
+    assert {r.lang_pred for r in langid.identify(edges, langid.train(empty)).collect()} == {"und"}
+    kept = {r.doc_id for r in langid.keep_identified(edges, model).collect()}
+    assert 8 in kept and not kept & {1, 2, 3, 4} and 9 not in kept  # no model codes 9 in less than 8 bits a byte
+
+
+def test_code_lengths_follow_the_definition():
+    """Every byte by the definition, from dictionaries of counts."""
+    texts = ["abcabcabd", "abracadabra abc"]
+    model = langid.Model({"x": texts})
+    counts = [{} for _ in range(langid.ORDER + 1)]
+    fold = lambda t: bytes(langid.ORDER) + t.encode()
+    for t in map(fold, texts):
+        for k in range(langid.ORDER, len(t)):
+            for d in range(langid.ORDER + 1):
+                c = counts[d].setdefault(t[k - d : k], {})
+                c[t[k]] = c.get(t[k], 0) + 1
+    for probe in ("abcd", "zzab", "abracad", "q"):
+        t, bits = fold(probe), 0.0
+        for k in range(langid.ORDER, len(t)):
+            for d in range(langid.ORDER, -1, -1):
+                c = counts[d].get(t[k - d : k])
+                if c:
+                    n, q = sum(c.values()), len(c)
+                    if t[k] in c:
+                        bits += np.log2((n + q) / c[t[k]])
+                        break
+                    bits += np.log2((n + q) / q)
+            else:
+                bits += 8
+        assert model.code_lengths([probe])[0][0, 0] == pytest.approx(bits, rel=1e-5)
+
+
+# ---- toxicity
+
+
+def test_toxicity_of_held_out_documents(spark):
+    d, y = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    got = toxicity.digest(d, toxicity.train(d, y)).join(y.select("doc_id", "toxic"), "doc_id").agg(F.avg((F.col("predicted") == F.col("toxic")).cast("int"))).first()[0]
+    assert got > 0.94
+
+
+def test_toxicity_folds_and_spares_phrases(spark, edges, empty):
+    lexicon = toxicity.learn([], [])
+    assert toxicity.fold("1d1ot іdiоt ID­IOT m0r0n re!!") == " idiot idiot idiot moron re "
+    assert lexicon.score("you 1d1ot, you m0ron, worthless trash") > 0.5 > lexicon.score("put it in the trash can near the clown fish")
+    assert lexicon.score(None) == lexicon.score("") < 0.5
+    assert [r.doc_id for r in toxicity.score(edges, lexicon).collect()] == [d for d, _ in EDGES]
+    assert toxicity.digest(empty, lexicon).count() == 0
+
+
+# ---- packing, token shards
+
+
+def naive_ids(text):
+    from tokenizers import Tokenizer
+
+    return [*Tokenizer.from_file(tokens.default_path()).encode(text or "", add_special_tokens=False).ids, 0]
+
+
+def test_encoder_equals_the_library(spark, sf_dir):
+    encode = tokens.encoder(tokens.default_path()).encode
+    texts = [t for _, t in EDGES] + [r.text for r in table(spark, sf_dir, "documents").limit(60).collect()]
+    for t in texts:
+        assert np.frombuffer(encode(t), "<u4").tolist() == naive_ids(t)
+
+
+def test_packing_places_every_token_once(spark, sf_dir):
+    rows = [(r.doc_id, r.text) for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect()] + [(10_000 + k, t) for k, (_, t) in enumerate(EDGES)]
+    got = packing.packed(docs(spark, rows)).toPandas()
+    by_doc = {d: g.sort_values("piece") for d, g in got.groupby("doc_id")}
+    for d, t in rows:
+        ids_, g = naive_ids(t), by_doc[d]
+        assert g.start.tolist() == np.concatenate([[0], np.cumsum(g.length)[:-1]]).tolist() and g.length.sum() == len(ids_)
+        assert (g.length.iloc[1:] == packing.CAPACITY).all() and (len(g) > 1) == (len(ids_) > packing.CAPACITY)
+        assert g.ids_crc32.tolist() == [zlib.crc32(np.array(ids_[a : a + n], "<u4").tobytes()) for a, n in zip(g.start, g.length, strict=True)]
+    for _, g in got.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert g.offset.tolist() == np.concatenate([[0], np.cumsum(g.length)[:-1]]).tolist() and g.length.sum() <= packing.CAPACITY
+    assert got.sequence_id.nunique() <= -(-got.length.sum() // packing.CAPACITY) * 1.02 + 1
+
+
+def test_packing_in_rounds(spark, monkeypatch, empty):
+    monkeypatch.setattr(packing, "LOCAL", 5)
+    monkeypatch.setattr(packing, "GROUP", 8)
+    rows = [(k, "word " * (40 + 37 * k % 400)) for k in range(120)]
+    got = packing.packed(docs(spark, rows).repartition(6)).toPandas()
+    assert got.groupby("sequence_id").length.sum().max() <= packing.CAPACITY and len(got) == 120
+    assert not got.duplicated(["sequence_id", "offset"]).any()
+    assert packing.packed(empty).count() == 0
+
+
+def test_best_fit_takes_the_fullest_bin():
+    bins, offsets, n = packing.best_fit(np.array([5, 7, 3, 4, 1]), 10)
+    assert n == 2 and bins.tolist() == [1, 0, 0, 1, 1] and offsets.tolist() == [0, 0, 7, 5, 9]
+
+
+def test_shards_round_trip(spark, edges, empty, tmp_path):
+    manifest = sstable.write_shards(edges, str(tmp_path / "shards"), shard_docs=5)
+    got = sstable.read_shards(manifest).toPandas().sort_values("start")
+    order = sorted(EDGES, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    want = [naive_ids(t) for _, t in order]
+    assert [None if pd.isna(d) else int(d) for d in got.doc_id] == [d for d, _ in order]
+    assert got.n_tokens.tolist() == list(map(len, want)) and got.start.tolist() == np.concatenate([[0], np.cumsum(list(map(len, want)))[:-1]]).tolist()
+    assert got.ids_crc32.tolist() == [zlib.crc32(np.array(w, "<u4").tobytes()) for w in want]
+    found = sstable.lookup(spark, manifest, [7, 9, 999])
+    assert set(found) == {7, 9} and found[9].tolist() == naive_ids(EDGES[9][1])
+    assert sstable.round_trip(empty).count() == 0
+
+
+def test_shard_lookup_over_many_blocks(tmp_path):
+    path = str(tmp_path / "x.sst")
+    with open(path, "wb") as out:
+        w = sstable.Writer(out, wide=False)
+        for k in range(0, 6000, 3):
+            w.add(k - 3000, np.arange(k % 90, dtype="<u4").tobytes())
+        w.close()
+    shard = sstable.open_shard(path)
+    assert len(shard.index) > 2 and shard.n_docs == 2000
+    for k in (-3000, -2997, 0, 2997, 30):
+        assert shard.get(k).tolist() == list(range((k + 3000) % 90))
+    assert all(shard.get(k) is None for k in (-3001, -2999, 1, 2998, 5000))
+    assert sum(shard.may_hold(k) for k in range(10_000, 12_000)) < 100
+    assert [d for d, _ in shard] == list(range(-3000, 3000, 3))
+
+
+# ---- personal data
+
+
+def test_personal_data_by_brute_force(spark, sf_dir):
+    rows = [(r.doc_id, r.text) for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect()]
+    tricky = [
+        "a@b.c.d@e.f x@@y.z .@-.-", "1.2.3.4.5.6.7.8 256.1.1.1 001.02.3.255", "4111 1111 1111 1111 1-2-3 4111111111111111-5", "+1 (406) 555-0113. +12345 +1--2..3 4567890 5", "é@x.y ü1.1.1.1é", "12345678901234567890" * 30, "a@b " * 5 + "@" * 50, None, "",
+    ]
+    rows += [(90_000 + k, t) for k, t in enumerate(tricky)]
+    got = pii.digest(docs(spark, rows)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(pii.brute_force(*r) for r in rows)
+
+
+def test_added_spans_and_masks(spark, edges, empty):
+    assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765433")
+    kinds = lambda t: [k for *_, k, _ in pii.spans(t)]
+    assert kinds("IBAN GB82 WEST 1234 5698 7654 32 NOW") == ["iban"] and kinds("GB82 WEST 1234 5698 7654 33") == []
+    assert kinds("my social security number 123-45-6789") == ["ssn"] and kinds("part no 123-45-6789") == []
+    assert pii.masked("write to a.b@c.de, password=abcdefgh12") == "write to [EMAIL], [SECRET]"
+    out = pii.mask_personal_data(docs(spark, [(1, "a@b.cd!"), (2, None)])).orderBy("doc_id").collect()
+    assert (out[0].text, out[0].n_chars, out[1].text) == ("[EMAIL]!", 8, None)
+    assert ids(pii.mask_personal_data(edges)) == WANTED and pii.digest(empty).count() == 0
+
+
+# ---- page text
+
+
+def test_page_text_of_layouts():
+    pages = [
+        "<body><nav><a href=1>Home</a><a>About</a></nav><article><h1>Title &amp; more</h1><p>One  two\nthree.<p>Four<br>five <b>six</b>.</article><footer>&copy; x</footer>",
+        '<div class="cookie-notice">We use cookies, accept all of them please.</div><main><p>Text of the story, long enough to be one, it goes on and on.</p><script>var a="<p>no</p>"</script><div class="ad">Buy this now!</div><p>Second part of the same story, it ends here.</p></main>',
+    ]
+    got = htmltext.trained().texts([*pages, None, "", "<p"])
+    assert got[0] == "Title & more\nOne two three.\nFour five six."
+    assert got[1] == "Text of the story, long enough to be one, it goes on and on.\nSecond part of the same story, it ends here."
+    assert got[2:] == ["", "", ""]
+
+
+def test_page_text_of_unseen_layouts():
+    rng, right, n = random.Random(1234), 0, 150
+    for _ in range(n):
+        source = htmltext.training_page(rng)
+        page = htmltext.Page(source)
+        page.loose()
+        keep = np.zeros(len(page.tag), bool)
+        for _, node, text, _ in page.segments:
+            keep[node] |= htmltext._MARK in text
+        right += htmltext.trained().texts([source.replace(htmltext._MARK, "")])[0] == page.text(keep).replace(htmltext._MARK, "")
+    assert right / n > 0.9
+
+
+def test_decoding_keeps_nothing_below_a_cut():
+    parent = [-1, 0, 1, 1, 0]
+    kept = htmltext.decode(parent, np.array([9.0, 5.0, -1.0, 2.0, -3.0]))
+    assert kept.tolist() == [True, False, False, False, True]
+
+
+def test_pages_table(spark, sf_dir):
+    got = htmltext.digest(table(spark, sf_dir, "pages")).collect()
+    assert len(got) == table(spark, sf_dir, "pages").count() and all(r.n_chars == len(r.text) for r in got)
+    odd = spark.createDataFrame([(1, None, None), (1, "u", "<p>x"), (None, "u", "")], "page_id long, url string, html string")
+    assert htmltext.digest(odd).count() == 3
+
+
+# ---- neighbours
+
+
+def test_neighbours_recall(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((1500, 24)).astype(np.float32)
+    x[100:400] = x[0]  # copies of one vector
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(5000, None), (5020, [0.0] * 24), (5040, [float("nan")] * 24), (5060, [1.0]), (None, [1.0] * 24)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    score = x[::20].astype(np.float64) @ x.T.astype(np.float64)
+    want = []
+    for k, s in enumerate(score):
+        s[20 * k] = -np.inf
+        want += [(20 * k, int(j)) for j in np.lexsort((np.arange(1500), -s.round(9)))[:20]]
+    for cell in (ann.CELL, 200):
+        got = ann.neighbours(df, F.pmod(F.col("id"), F.lit(20)) == 0, cell=cell).toPandas()
+        assert len(got) == len(want) and (got.groupby("query_id")["rank"].max() == 20).all()
+        assert len({*zip(got.query_id, got.vec_id, strict=True)} & {*want}) / len(want) >= 0.95
+
+
+def test_neighbours_of_small_tables(spark):
+    empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert ann.digest(empty).count() == 0
+    two = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], "vec_id long, embedding array<float>")
+    assert [(r["rank"], r.vec_id, r.score) for r in ann.digest(two).orderBy("rank").collect()] == [(1, 1, 0.5), (2, 2, 0.5)]
+
+
+# ---- licences
+
+
+def test_licences(spark, edges, empty):
+    rows = [(k, f"some prose here.\n{t}\nmore prose") for k, t in enumerate(x for f in sorted(licenses.TEMPLATES) for x in licenses.TEMPLATES[f])]
+    families = [f for f in sorted(licenses.TEMPLATES) for _ in licenses.TEMPLATES[f]]
+    got = {r.doc_id: r for r in licenses.digest(docs(spark, rows)).collect()}
+    assert sum(got[k].licence == f for k, f in enumerate(families)) >= 0.95 * len(families)
+    clean = [(k, t) for k, t in enumerate(licenses.UNRELATED)] + [(100, "No licence for old permissions, and a warranty of two years on the copyright.")]
+    assert all(r.licence is None for r in licenses.digest(docs(spark, clean)).collect())
+    assert ids(licenses.digest(edges)) == WANTED and licenses.digest(empty).count() == 0
+    assert licenses.trained().accuracy > 0.95
+
+
+# ---- queries
+
+
+def normal(frame):
+    return sorted(tuple(round(x, 6) if isinstance(x, float) else str(x) for x in r) for r in frame[sorted(frame.columns)].itertuples(index=False, name=None))
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_oracles(spark, sf_dir, name):
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    assert normal(registry.queries()[name](spark, sf_dir).toPandas()) == normal(c.execute(registry.oracle_sql()[name]).fetchdf())
+
+
+def test_pipeline_by_brute_force(spark, sf_dir, tmp_path):
+    import corpus_pipeline
+
+    d = table(spark, sf_dir, "documents")
+    steps, now = {}, d
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, sf_dir)
+        assert now.columns == d.columns
+        now.write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+        steps[name] = {r.doc_id: r.text for r in now.collect()}
+    texts = {r.doc_id: r.text for r in d.collect()}
+    assert steps["language_id"] == {k: t for k, t in texts.items() if any(c.isalpha() for c in t or "")}
+    comps = brute_components(list(steps["language_id"].items()), 5, 80)
+    assert set(steps["near_dedup"]) == {k for k, (_, c, kept) in comps.items() if kept}
+    bench = [(str(r.item_id), r.text) for r in table(spark, sf_dir, "benchmark").collect()]
+    hit = {r[0] for r in decontam.brute_force(list(steps["near_dedup"].items()), bench) if r[5]}
+    assert {k for k, t in steps["decontamination"].items() if t != steps["near_dedup"][k]} <= hit and hit
+    assert not [r for r in decontam.brute_force(list(steps["decontamination"].items()), bench) if r[5]]
+    assert steps["personal_data"] == {k: pii.masked(t) for k, t in steps["decontamination"].items()}
+    packed = corpus_pipeline.run(spark, sf_dir).toPandas()
+    assert packed.groupby("doc_id").length.sum().to_dict() == {k: len(naive_ids(t)) for k, t in steps["personal_data"].items()}
