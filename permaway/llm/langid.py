@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from permaway.llm.arrays import IntMap
+from permaway.llm.sampling import least_hashed
 from permaway.llm.storage import arrow_batches
 
 ORDER = 4
@@ -171,11 +172,8 @@ def training_rows() -> Column:
 
 def train(docs: DataFrame, rows: Column | None = None, docs_per_language: int = TRAIN_DOCS) -> Model:
     """Learns from a bounded sample of the labelled documents that ``rows`` selects."""
-    spark = docs.sparkSession
     able = docs.where(training_rows() if rows is None else rows).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS) & F.col("doc_id").isNotNull())
-    able.select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("d")).createOrReplaceTempView("_pw_labelled")
-    chosen = spark.sql(f"select d from (select d, row_number() over (partition by lang order by h, d) as k from _pw_labelled) where k <= {int(docs_per_language)}")
-    ids = [r.d for r in chosen.collect()]
+    ids = [r.d for r in least_hashed(able.select(F.col("doc_id").alias("d"), F.col("lang").cast("string").alias("y")), docs_per_language).collect()]
     samples: dict[str, list[str]] = {}
     for r in able.where(F.col("doc_id").isin(ids)).select("doc_id", "lang", "text").orderBy("doc_id", "text").collect() if ids else []:
         samples.setdefault(str(r.lang), []).append(r.text)

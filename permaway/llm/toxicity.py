@@ -33,6 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from permaway.llm.sampling import least_hashed
 from permaway.llm.storage import arrow_batches
 
 TRAIN_DOCS = 2000
@@ -203,9 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, docs_per_label: int = TRAIN_DOCS)
     """Learns from a bounded sample of the labelled documents whose crc32(doc_id) mod 5 is not 0."""
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("d")).agg(F.max("toxic").alias("y"))
     marked = marked.where(F.pmod(F.crc32(F.col("d").cast("string")), F.lit(5)) != 0)
-    marked.select("d", "y", F.xxhash64("d").alias("h")).createOrReplaceTempView("_pw_marked")
-    chosen = docs.sparkSession.sql(f"select d, y from (select d, y, row_number() over (partition by y order by h, d) as k from _pw_marked) where k <= {int(docs_per_label)}")
-    y = {r.d: r.y for r in chosen.collect()}
+    y = {r.d: r.y for r in least_hashed(marked, docs_per_label).collect()}
     if not y:
         return learn([], [])
     picked = docs.sparkSession.createDataFrame([(d,) for d in y], "_pw_d long")  # bounded by docs_per_label
