@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled by one numpy pass; bounds the working memory whatever the batch holds.
-PASS_BYTES = 1 << 20
+PASS_BYTES = 1 << 18
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from permaway.llm.arrays import IntMap, Words, utf8
 from permaway.llm.storage import arrow_batches
+from permaway.llm.workers import serving
 
 #: Bytes that separate words (after folding); all others belong to words.
 SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
@@ -34,9 +35,9 @@ WORDS = Words(SEPARATORS)
 #: Benchmark text per block: what is sent to the executors at once. A larger benchmark is searched in several blocks.
 BLOCK_BYTES = 8 << 20
 #: Words per FM-index.
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 18
 #: Text that one task holds back until its index is searched.
-HELD_BYTES = 32 << 20
+HELD_BYTES = 8 << 20
 #: Every so many suffix positions are stored.
 SAMPLE = 8
 
@@ -284,9 +285,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     spark = docs.sparkSession
     arrow_batches(spark)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = [narrow.mapInArrow(_search(spark.sparkContext.broadcast(Windows(block, window))), RESULT) for block in benchmark_blocks(benchmark, block_bytes)]
+    found = [narrow.mapInArrow(serving("windows", _search(spark.sparkContext.broadcast(Windows(block, window)))), RESULT) for block in benchmark_blocks(benchmark, block_bytes)]
     if not found:
-        found = [narrow.mapInArrow(_search(spark.sparkContext.broadcast(Windows([], window))), RESULT)]
+        found = [narrow.mapInArrow(serving("windows", _search(spark.sparkContext.broadcast(Windows([], window)))), RESULT)]
     if len(found) == 1:
         return found[0]
     # repeated ids stay apart: each row is numbered within its id by its own length, equal rows have equal results
@@ -321,7 +322,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     spark = docs.sparkSession
     arrow_batches(spark)
     for block in benchmark_blocks(benchmark):
-        docs = docs.mapInArrow(_cut(spark.sparkContext.broadcast(Windows(block, window)), docs.columns), docs.schema)
+        docs = docs.mapInArrow(serving("windows", _cut(spark.sparkContext.broadcast(Windows(block, window)), docs.columns)), docs.schema)
     return docs
 
 

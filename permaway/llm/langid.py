@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from permaway.llm.arrays import IntMap
 from permaway.llm.sampling import least_hashed
 from permaway.llm.storage import arrow_batches
+from permaway.llm.workers import serving
 
 ORDER = 4
 TRAIN_DOCS = 400
@@ -189,10 +190,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, _predicted(shared.value, batch.column(1)))], ["doc_id", "lang_pred", "score", "bits_per_byte"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(serving("language", run), "doc_id long, lang_pred string, score double, bits_per_byte double")
 
 
-def _predicted(model: Model, column: pa.Array, most: int = 4 << 20) -> tuple[list[str], list[float], list[float]]:
+def _predicted(model: Model, column: pa.Array, most: int = 1 << 20) -> tuple[list[str], list[float], list[float]]:
     """Predictions for a column, a few megabytes of text at a time."""
     names, scores, rates, held, size = [], [], [], [], 0
     for text in [*column.to_pylist(), None]:
@@ -217,7 +218,7 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
             names, _, rates = _predicted(shared.value, batch.column(number))
             yield batch.filter(pa.array([n != UNKNOWN and r < 8 for n, r in zip(names, rates, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(serving("language", run), docs.schema)
 
 
 def digest(docs: DataFrame, model: Model) -> DataFrame:

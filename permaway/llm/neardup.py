@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 from permaway.llm.arrays import Words, groups_of, mix64, utf8
 from permaway.llm.components import components
 from permaway.llm.storage import arrow_batches, written
+from permaway.llm.workers import serving
 
 #: White space separates words; everything else belongs to them.
 WORDS = Words(bytes([0x20, *range(0x09, 0x0E)]))
@@ -167,7 +168,7 @@ def link_classes(docs: DataFrame, sketches: DataFrame, shingle: int, percent: in
     picked = ids.count()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     texts = texts.join(F.broadcast(ids) if picked <= PICKED else ids, "id", "left_semi")
-    sets = written(texts.mapInArrow(_full_sets(shingle), "id long, sketch array<long>, full array<long>"), "sets").withColumn("n", F.size("full"))
+    sets = written(texts.mapInArrow(serving("shingles", _full_sets(shingle)), "id long, sketch array<long>, full array<long>"), "sets").withColumn("n", F.size("full"))
     links_of = _Links(sets, percent).of
     lists = written(_rarest(sets, "full", F.col("k") - _share(percent) + 1), "lists")
 
@@ -221,7 +222,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     """Per document: doc_id, n_shingles, component_id (the smallest id reachable by links), kept."""
     arrow_batches(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = written(narrow.mapInArrow(_sketches(shingle), "doc_id long, n long, d1 long, d2 long, sketch array<long>"), "sketches")
+    sketches = written(narrow.mapInArrow(serving("shingles", _sketches(shingle)), "doc_id long, n long, d1 long, d2 long, sketch array<long>"), "sketches")
     _, found = link_classes(narrow, sketches, shingle, percent)
     slim = sketches.select("doc_id", "n", "d1", "d2")
     stand = slim.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"))

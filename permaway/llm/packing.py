@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from permaway.llm.storage import arrow_batches, written
 from permaway.llm.tokens import default_path, encoder
+from permaway.llm.workers import serving
 
 CAPACITY = 2048
 #: Pieces that one local round sorts and packs together.
@@ -109,7 +110,7 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
     spark = docs.sparkSession
     arrow_batches(spark)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = written(narrow.mapInArrow(_place(path or default_path(), capacity), PIECES), "pieces")
+    pieces = written(narrow.mapInArrow(serving("tokens", _place(path or default_path(), capacity)), PIECES), "pieces")
     under = pieces.groupBy("bin").agg(F.sum("length").alias("load")).where(F.col("load") < capacity)
     under = written(under.select("bin", "load", F.col("bin").alias("into"), F.lit(0).cast("long").alias("base"), F.lit(0).alias("level")), "underfull")
     moves, level = under.drop("load", "level"), 0

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from permaway.llm.storage import arrow_batches
+from permaway.llm.workers import serving
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "local_phone", "secret")
 BASE = KINDS[:4]
@@ -153,7 +154,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
             found = [[{"first": a, "last": b, "kind": k, "score": s} for a, b, k, s in spans(t)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, spans {SPAN}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(serving("personal data", run), f"doc_id long, spans {SPAN}")
 
 
 def masked(text: str | None) -> str | None:
@@ -186,7 +187,7 @@ def mask_personal_data(docs: DataFrame) -> DataFrame:
                     batch = batch.set_column(count, batch.schema.field(count), pa.array(n).cast(batch.schema.field(count).type))
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(serving("personal data", run), docs.schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:

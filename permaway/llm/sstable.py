@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from permaway.llm.storage import arrow_batches, new_dir, written
 from permaway.llm.tokens import default_path, encoder
+from permaway.llm.workers import serving
 
 MAGIC = b"PWSST001"
 FOOTER = struct.Struct("<QQQQQQI8s")
@@ -259,7 +260,7 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, shard_do
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shards = max(1, -(-narrow.select("doc_id").count() // shard_docs))
     ordered = narrow.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    manifest = written(ordered.mapInArrow(_write(folder, path or default_path()), "shard long, path string, n_docs long, n_tokens long"), "manifest")
+    manifest = written(ordered.mapInArrow(serving("tokens", _write(folder, path or default_path())), "shard long, path string, n_docs long, n_tokens long"), "manifest")
     # one small row per shard: the driver adds up where each begins
     rows, start = [], 0
     for r in manifest.orderBy("shard").toLocalIterator():

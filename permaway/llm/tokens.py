@@ -91,6 +91,11 @@ class Encoder(dict):
 _OPEN: dict[str, Encoder] = {}
 
 
+def forget() -> None:
+    """Drops this process's encoders and all they kept."""
+    _OPEN.clear()
+
+
 def encoder(path: str) -> Encoder:
     """This process's encoder for a vocabulary file; its caches live as long as the worker."""
     if path not in _OPEN:
