@@ -12,7 +12,10 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package's sources along with the application, once."""
+    """Sends the package's sources along with the application, once.
+
+    The driver packs them and serves the file itself; executors fetch it into their own work folders.
+    """
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return

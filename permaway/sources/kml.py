@@ -129,7 +129,7 @@ def points(marks: DataFrame) -> DataFrame:
 
     ``altitude`` is 0 without a third component and NaN where that is no number.
     """
-    tuples = F.flatten(F.transform("coordinates", lambda c: F.transform(F.split(jsnum.trim(c), r"\s+"), lambda t: t)))
+    tuples = F.flatten(F.transform("coordinates", lambda c: F.split(jsnum.trim(c), r"\s+")))
     rows = marks.select("file", "file_ord", "section", "description", "placemark_idx", F.posexplode(tuples).alias("tuple_idx", "_t")).where(F.col("_t") != "")
     parts = F.split("_t", ",")
     rows = rows.withColumn("_p", parts).where(F.size("_p") >= 2)
