@@ -48,6 +48,8 @@ from permaway.llm.workers import serving
 #: White space separates words; everything else belongs to them.
 WORDS = Words(bytes([0x20, *range(0x09, 0x0E)]))
 RETAINED = 64
+#: Retained values by which candidate pairs are estimated before their full sets are read.
+ESTIMATED = 128
 #: Classes of a list that still gives all its pairs.
 SMALL = 16
 #: Orders from which the lists draw their centres.
@@ -107,7 +109,7 @@ def _full_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(shingle_sets(batch.column(1), size))
-            yield pa.RecordBatch.from_arrays([batch.column(0), _longs([s[:RETAINED] for s in sets]), _longs(sets)], ["id", "sketch", "full"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _longs([s[:ESTIMATED] for s in sets]), _longs(sets)], ["id", "sketch", "full"])
 
     return run
 
@@ -122,9 +124,9 @@ class _Links:
         """Pairs (a, b) of different classes to the links among them."""
         side = lambda x, c: self.sets.select(F.col("id").alias(x), F.col(c).alias(f"{c}_{x}"))
         near = pairs.distinct().join(side("a", "sketch"), "a").join(side("b", "sketch"), "b")
-        union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, RETAINED)
+        union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, ESTIMATED)
         both = F.size(F.array_intersect(union, F.array_intersect("sketch_a", "sketch_b")))
-        least = self.percent / 100 - 6 * (self.percent / 100 * (1 - self.percent / 100) / RETAINED) ** 0.5
+        least = self.percent / 100 - 6 * (self.percent / 100 * (1 - self.percent / 100) / ESTIMATED) ** 0.5
         near = near.where(both >= least * F.size(union)).select("a", "b")
         common = F.size(F.array_intersect("full_a", "full_b"))
         exact = near.join(side("a", "full"), "a").join(side("b", "full"), "b").withColumn("i", common)
