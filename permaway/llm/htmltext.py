@@ -14,8 +14,9 @@ construction).
 Text: character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined by a line feed; scripts, styles and other
 elements without readable text never count.  Defined cases: null or empty html
-gives the empty text; a page that ends within a tag loses that tag; markup that
-is never closed ends with the page; repeated rows give equal results.
+gives the empty text; a page that ends within a tag loses that tag; of an element
+without readable text that is never closed only the tag goes, except that the
+raw text of ``RAW`` ends with the page; repeated rows give equal results.
 """
 
 from __future__ import annotations
@@ -39,7 +40,11 @@ BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements whose content is no readable text of the page.
-SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video select textarea button datalist map".split())
+SILENT = frozenset("script style noscript template title svg math iframe object canvas audio video select textarea button datalist map".split())
+#: Of those, elements whose content is no markup.
+RAW = frozenset("script style title textarea".split())
+#: Of those, elements that "/>" closes.
+FOREIGN = frozenset("svg math".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param frame basefont".split())
 #: What an opening tag closes first, if it stands open.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -55,7 +60,24 @@ _COMMENT = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<[!?/][^>]*(?:>|\Z)", re
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|style|hidden|aria-label|aria-hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
-_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in SILENT}
+_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
+#: Comments and raw text, which hold no tags, and tags of other silent elements.
+_SILENT_TAG = re.compile(rf"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<({'|'.join(sorted(RAW))})(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<(/?)({'|'.join(sorted(SILENT - RAW))})(?=[\s/>])((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S | re.I)
+
+
+def _silent_ends(source: str) -> dict[int, int]:
+    """Where each silent element with markup ends, by where it starts; those that are never closed are left out."""
+    ends: dict[int, int] = {}
+    unclosed: dict[str, list[int]] = {}
+    for m in _SILENT_TAG.finditer(source):
+        if m[3]:
+            name = m[3].lower()
+            if not m[2]:
+                if name not in FOREIGN or not m[4].endswith("/"):
+                    unclosed.setdefault(name, []).append(m.start())
+            elif starts := unclosed.get(name):
+                ends[starts.pop()] = m.end()
+    return ends
 
 
 class Page:
@@ -78,6 +100,7 @@ class Page:
         stack: list[tuple[str, int]] = [("#root", 0)]  # every open element with its node, or that of its nearest ancestor that is one
         block = at = links = 0
         n = len(source)
+        silent: dict[int, int] | None = None
         while at < n:
             lt = source.find("<", at)
             if lt < 0:
@@ -112,10 +135,17 @@ class Page:
                     if name not in BLOCKS and stack[k][0] in BLOCKS:
                         break
                 continue
-            if name in SILENT:
+            if name == "head":  # what may stand in it is silent or void; all else ends it
+                continue
+            if name in RAW:
                 end = _END[name].search(source, at)
                 at = end.end() if end else n
                 continue
+            if name in SILENT:
+                if silent is None:
+                    silent = _silent_ends(source)
+                at = silent.get(lt, at)
+                continue
             if name in BLOCKS:
                 block += 1
                 links = 0

@@ -347,6 +347,14 @@ def test_page_text_of_unseen_layouts():
     assert right / n > 0.9
 
 
+@pytest.mark.parametrize("odd", ["", "<svg width='1'/>", "<object data='a'/>", "<iframe/>", "<button>", "<select>", "<map name=m>", "<button><button>B</button>", "<object>a<object>b</object>c</object>", "<svg/><svg>k</svg>"])
+def test_unclosed_silent_elements_hide_no_text(odd):
+    """Nor does a head without its optional end tag."""
+    page = f"<html><head><meta charset=utf-8><title>x</title><body><article><h1>Title of it</h1><p>Text of the story, long enough to be one, it goes on and on.{odd}</p><p>Second part of the same story, it ends here.</p></article>"
+    got = htmltext.trained().texts([page, page.replace("<body>", "</head><body>"), page.replace("<body>", "")])
+    assert all(t.split("\n") == ["Title of it", "Text of the story, long enough to be one, it goes on and on.", "Second part of the same story, it ends here."] for t in got)
+
+
 def test_decoding_keeps_nothing_below_a_cut():
     parent = [-1, 0, 1, 1, 0]
     kept = htmltext.decode(parent, np.array([9.0, 5.0, -1.0, 2.0, -3.0]))
