@@ -33,7 +33,7 @@ from permaway.llm.workers import serving
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "local_phone", "secret")
 BASE = KINDS[:4]
 #: Score of a proposal before checks and context.
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.5, "phone": 0.7, "iban": 0.4, "ssn": 0.4, "local_phone": 0.2, "secret": 0.7}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.5, "phone": 0.7, "iban": 0.4, "ssn": 0.4, "local_phone": 0.4, "secret": 0.7}
 CONFIRMED, NEAR, AWAY, LEAST = 0.4, 0.3, -0.3, 0.6
 CONTEXT = {
     "email": ("mail", "contact", "write to"),

@@ -320,6 +320,12 @@ def test_added_spans_and_masks(spark, edges, empty):
     assert ids(pii.mask_personal_data(edges)) == WANTED and pii.digest(empty).count() == 0
 
 
+def test_national_phone_numbers():
+    text = "Call (406) 555-0113 today"
+    assert [(text[a:b], k) for a, b, k, _ in pii.spans(text)] == [("(406) 555-0113", "local_phone")] and pii.masked(text) == "Call [LOCAL_PHONE] today"
+    assert pii.spans("The total (406) 555-0113 stands in the ledger") == [] and pii.spans("Call for part no 406-555-0113") == []
+
+
 # ---- page text
 
 
