@@ -1,8 +1,8 @@
 """Licence scans: a sparse n-gram logistic regression over paragraphs, in DataFrame functions only.
 
 A paragraph is a line; a line of more than ``LONG`` characters is cut at sentence
-ends.  A candidate holds one of ``ANCHORS``, of which every template has one:
-other paragraphs could never be confirmed.  Features are the distinct words and
+ends.  A candidate has enough word pairs of the templates that one could confirm
+it (``_candidate``).  Features are the distinct words and
 word pairs of the folded paragraph, hashed into ``WIDTH`` places; the classes are
 the licence families and ``unknown``.
 
@@ -25,7 +25,7 @@ import json
 import random
 import re
 from collections.abc import Callable
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import xxhash
@@ -36,9 +36,6 @@ WIDTH = 4096
 LONG = 400
 CONFIRM = 0.7
 UNKNOWN = "unknown"
-#: Parts of words; each template holds one.
-ANCHORS = ("licen", "copyright", "rights reserved", "warrant", "permission", "redistribut", "public domain", "spdx")
-
 #: Notices and characteristic sentences of public licences.
 TEMPLATES = {
     "apache": (
@@ -247,10 +244,44 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _pairs(words: Column) -> Column:
-    """Distinct neighbouring words; none for fewer than two."""
+def _neighbours(words: Column) -> Column:
+    """Neighbouring words; none for fewer than two."""
     rest = F.greatest(F.size(words) - 1, F.lit(0))
-    return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), rest), F.slice(words, F.lit(2), rest), lambda a, b: F.concat_ws(" ", a, b)))
+    return F.zip_with(F.slice(words, F.lit(1), rest), F.slice(words, F.lit(2), rest), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def _pairs(words: Column) -> Column:
+    return F.array_distinct(_neighbours(words))
+
+
+def _template_pairs() -> list[list[str]]:
+    return [sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)}) for texts in TEMPLATES.values() for w in map(_words, texts)]
+
+
+def _key_pairs() -> set[str]:
+    """So many pairs of each template, the longest ones, that a text with ``CONFIRM`` of the template's pairs cannot lack them all."""
+    keys: set[str] = set()
+    for pairs in _template_pairs():
+        lacking = max(k for k in range(len(pairs)) if len(pairs) - k >= CONFIRM * len(pairs))
+        keys.update(sorted(pairs, key=lambda x: (-len(x), x))[: lacking + 1])
+    return keys
+
+
+def _split(p: Column) -> Column:
+    return F.filter(F.split(p, _SEPARATORS), lambda w: w != "")
+
+
+def _candidate(p: Column) -> Column:
+    """Whether some template could confirm a folded paragraph: true wherever ``_classified`` could say so."""
+    known, keys = sorted({x for t in _template_pairs() for x in t}), sorted(_key_pairs())
+
+    def own(pairs: Column, hits: Column) -> Column:
+        return (F.size(hits) >= 4) & _let(F.size(F.array_distinct(hits)), lambda n: (n >= 4) & (n >= F.lit(CONFIRM) * F.size(F.array_distinct(pairs))))
+
+    def enough(pairs: Column) -> Column:
+        return _let(F.filter(pairs, lambda x: x.isin(known)), lambda hits: F.exists(hits, lambda x: x.isin(keys)) | own(pairs, hits))
+
+    return _let(_split(p), lambda w: _let(_neighbours(w), enough))
 
 
 def _literal(value, kind: str) -> Column:
@@ -286,9 +317,8 @@ def _classified(model: Model) -> Callable[[Column], Column]:
         return F.struct(F.when(known, F.get(names, d["c"])).otherwise(F.lit(UNKNOWN)).alias("family"), d["score"].alias("score"), (known & confirmed(pairs, d["c"])).alias("confirmed"))
 
     def of(p: Column) -> Column:
-        words = F.filter(F.split(p, _SEPARATORS), lambda w: w != "")
         places = lambda w, pairs: F.array_distinct(F.transform(F.array_union(F.array_distinct(w), pairs), lambda f: F.pmod(F.xxhash64(f), F.lit(WIDTH)).cast("int")))
-        return _let(words, lambda w: _let(_pairs(w), lambda pairs: _let(logits(places(w, pairs)), lambda z: _let(decided(z), lambda d: judged(pairs, d)))))
+        return _let(_split(p), lambda w: _let(_pairs(w), lambda pairs: _let(logits(places(w, pairs)), lambda z: _let(decided(z), lambda d: judged(pairs, d)))))
 
     return of
 
@@ -297,8 +327,7 @@ def scan_paragraphs(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """One row per candidate paragraph: doc_id, paragraph (number), family, score, confirmed."""
     low = F.lower(F.col("text").cast("string"))
     pieces = F.flatten(F.transform(F.split(low, "\n"), lambda x: F.when(F.length(x) > LONG, F.split(x, _SENTENCE)).otherwise(F.array(x))))
-    anchored = lambda x: reduce(lambda a, b: a | b, [x.contains(a) for a in ANCHORS])
-    found = docs.where(anchored(low)).select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(pieces).alias("paragraph", "p")).where(anchored(F.col("p")))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(pieces).alias("paragraph", "p")).where(_candidate(F.col("p")))
     return found.select("doc_id", "paragraph", _classified(model or trained())(F.col("p")).alias("x")).select("doc_id", "paragraph", "x.*")
 
 

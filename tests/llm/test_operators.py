@@ -421,6 +421,24 @@ def test_licences(spark, edges, empty):
     assert licenses.trained().accuracy > 0.95
 
 
+def test_wrapped_licence_lines(spark):
+    """Lines of a licence without any word that names one; and candidates are all paragraphs that a template confirms."""
+    mit = "of this software and associated documentation files, to deal in the Software without restriction,\nincluding without limitation the rights to use, copy, modify, merge, publish, distribute,"
+    cut = licenses.TEMPLATES["mit"][2].replace("Permission", "Leave").replace("sublicense, ", "")
+    rows = [(1, mit), (2, cut), (3, mit.splitlines()[0]), (4, "the rights of the people to use the software")]
+    got = {r.doc_id: (r.licence, r.n_paragraphs) for r in licenses.digest(docs(spark, rows)).collect()}
+    assert got == {1: ("mit", 2), 2: ("mit", 1), 3: ("mit", 1), 4: (None, 0)}
+    rng, texts = random.Random(2), []
+    for t in (t for f in licenses.TEMPLATES.values() for t in f):
+        w = licenses._words(t)
+        texts += [" ".join(x for x in w if rng.random() > 0.1) for _ in range(6)] + [" ".join(w[(k := rng.randrange(len(w))) : k + rng.randint(3, 14)]) for _ in range(6)]
+    sets = [set(x) for x in licenses._template_pairs()]
+    pairs = [{f"{a} {b}" for a, b in zip(w, w[1:], strict=False)} for w in map(licenses._words, texts)]
+    want = {k for k, p in enumerate(pairs) if any((n := len(p & s)) >= licenses.CONFIRM * len(s) or n >= 4 and n >= licenses.CONFIRM * len(p) for s in sets)}
+    held = {r.doc_id for r in docs(spark, list(enumerate(texts))).where(licenses._candidate(F.col("text"))).collect()}
+    assert len(want) > 200 and want <= held
+
+
 # ---- queries
 
 
