@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from permaway.llm.arrays import IntMap, Words, utf8
-from permaway.llm.storage import arrow_batches
+from permaway.llm.storage import arrow_batches, written
 from permaway.llm.workers import serving
 
 #: Bytes that separate words (after folding); all others belong to words.
@@ -285,18 +286,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     spark = docs.sparkSession
     arrow_batches(spark)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = [narrow.mapInArrow(serving("windows", _search(spark.sparkContext.broadcast(Windows(block, window)))), RESULT) for block in benchmark_blocks(benchmark, block_bytes)]
-    if not found:
-        found = [narrow.mapInArrow(serving("windows", _search(spark.sparkContext.broadcast(Windows([], window)))), RESULT)]
-    if len(found) == 1:
-        return found[0]
-    # repeated ids stay apart: each row is numbered within its id by its own length, equal rows have equal results
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    merged = every.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("s"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.count("*").alias("n"))
-    copies = F.array_repeat(F.lit(1), (F.col("n") / len(found)).cast("int"))
-    return merged.mapInArrow(_joined_spans, merged.schema).select("doc_id", "n_words", F.col("s").alias("spans"), "items", F.explode(copies).alias("_copy")).drop("_copy")
+    blocks = _blocks(spark, benchmark, window, block_bytes)
+    if len(blocks) == 1:
+        return narrow.mapInArrow(serving("windows", _search(blocks[0])), RESULT)
+    rows = written(narrow.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = _search_all(rows.select("_row", "text"), blocks)
+    return rows.select("_row", "doc_id").join(found, "_row").select("doc_id", "n_words", "spans", "items")
+
+
+def _blocks(spark, benchmark: DataFrame, window: int, block_bytes: int) -> list:
+    """The windows of every block as broadcasts; of a benchmark without items one empty block."""
+    return [spark.sparkContext.broadcast(Windows(block, window)) for block in benchmark_blocks(benchmark, block_bytes)] or [spark.sparkContext.broadcast(Windows([], window))]
+
+
+def _search_all(rows: DataFrame, blocks: list) -> DataFrame:
+    """Per row of (_row, text): _row, n_words, and the spans and items of all blocks."""
+    every = None
+    for windows in blocks:
+        found = rows.mapInArrow(serving("windows", _search(windows)), RESULT)
+        every = found if every is None else every.unionByName(found.where(F.size("spans") > 0))  # the first block has a line for each row
+    merged = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("s"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    return merged.mapInArrow(_joined_spans, merged.schema).select(F.col("doc_id").alias("_row"), "n_words", F.col("s").alias("spans"), "items")
 
 
 def _joined_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,16 +324,40 @@ def _joined_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield batch.set_column(k, batch.schema.field(k), pa.array(joined, batch.schema.field(k).type))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without the words of any benchmark window; a document that consists of them alone goes.
 
     Keeps all columns; where there is an ``n_chars`` it follows the new text.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
-    for block in benchmark_blocks(benchmark):
-        docs = docs.mapInArrow(serving("windows", _cut(spark.sparkContext.broadcast(Windows(block, window)), docs.columns)), docs.schema)
-    return docs
+    blocks = _blocks(spark, benchmark, window, block_bytes)
+    if len(blocks) == 1:
+        return docs.mapInArrow(serving("windows", _cut(blocks[0], docs.columns)), docs.schema)
+    # as in one block: what all blocks hit is cut at once, and texts that were cut are searched again until no window is left
+    row, new = (next(n for k in range(len(docs.columns) + 1) if (n := f"_{name}{k}") not in docs.columns) for name in ("row", "new"))
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    now, rounds = numbered.select(F.col(row).alias("_row"), F.col("text").cast("string").alias("text")), []
+    while True:
+        hits = _search_all(now, blocks).where(F.size("spans") > 0).select("_row", "spans")
+        now = written(now.join(hits, "_row").mapInArrow(serving("windows", _remove), "_row long, text string"), "cut")
+        if now.isEmpty():
+            break
+        rounds.append(now.withColumn("round", F.lit(len(rounds))))
+        now = now.where("text != ''")
+    if not rounds:
+        return numbered.select(docs.columns)
+    last = reduce(DataFrame.unionByName, rounds).groupBy("_row").agg(F.max_by("text", "round").alias(new)).withColumnRenamed("_row", f"{new}_row")
+    out = numbered.join(last, numbered[row] == last[f"{new}_row"], "left").where(F.col(new).isNull() | (F.col(new) != ""))
+    changed = {"text": F.col(new), "n_chars": F.length(new)}
+    return out.select(*(F.coalesce(changed[c].cast(docs.schema[c].dataType), F.col(c)).alias(c) if c in changed else F.col(c) for c in docs.columns))
+
+
+def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_row, text, spans) to (_row, text without the spans)."""
+    for batch in batches:
+        texts = [_removed(t, c) for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["_row", "text"])
 
 
 def _cut(windows, names: list[str]):
@@ -359,27 +393,29 @@ def _cut(windows, names: list[str]):
     return run
 
 
+def _removed(text: str, cuts: list[dict]) -> str:
+    """The text without the hit words; empty if no word is left."""
+    raw = text.encode()
+    data = np.frombuffer(raw, np.uint8)
+    _, starts, ends, _ = WORDS.edges(data, np.array([0, len(raw)]))
+    parts, at = [], 0
+    for c in cuts:
+        if c["first"] >= len(starts):
+            continue
+        parts.append(raw[at : starts[c["first"]]])
+        at = ends[min(c["last"], len(ends) - 1)]
+    parts.append(raw[at:])
+    text = b" ".join(p.strip() for p in parts if p.strip()).decode()
+    return text if WORDS.hashes(*utf8(pa.array([text])))[0].size else ""
+
+
 def _without(text: str, cuts: list[dict], windows: Windows) -> str:
     """The text without the hit words; what then comes together is searched again until no window is left."""
-    while True:
-        raw = text.encode()
-        data = np.frombuffer(raw, np.uint8)
-        _, starts, ends, _ = WORDS.edges(data, np.array([0, len(raw)]))
-        parts, at = [], 0
-        for c in cuts:
-            if c["first"] >= len(starts):
-                continue
-            parts.append(raw[at : starts[c["first"]]])
-            at = ends[min(c["last"], len(ends) - 1)]
-        parts.append(raw[at:])
-        text = b" ".join(p.strip() for p in parts if p.strip()).decode()
-        if not WORDS.hashes(*utf8(pa.array([text])))[0].size:
-            return ""
+    while cuts and (text := _removed(text, cuts)):
         shard = _Shard(windows)
         shard.add([0], *utf8(pa.array([text])))
         cuts = shard.result().column(2).to_pylist()[0]
-        if not cuts:
-            return text
+    return text
 
 
 def digest(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:

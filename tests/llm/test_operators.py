@@ -93,6 +93,24 @@ def test_cut_documents_hold_no_window(spark):
     assert decontam.digest(out, bench).where("contaminated").count() == 0
 
 
+def test_several_blocks_equal_one(spark):
+    """Rows without id or with one repeated id stay apart, and what a later block brings together is cut, too."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(10)) for x in "abc")
+    joined = " ".join(b.split()[4:] + c.split()[:4])
+    bench = spark.createDataFrame([("a", a), ("b", b), ("c", c), ("j", joined)], "item_id string, text string")
+    clean = " ".join(f"z{k}" for k in range(10))
+    texts = [a, b, clean, clean, f"x {a} y", f"x {clean} y", f"a0 a1 a2 {b} a3 a4 a5 a6 a7 a8 a9", f"b0 b1 b2 b3 {a} b4 b5 b6 b7 b8 b9 end", f"{b} {c}", " ".join(b.split() + c.split()[:4]) + " end", None, ""]
+    rows = [(d, t) for t in texts for d in (None, 7)]
+    spread = lambda df: sorted((str(r.doc_id), r.n_words, sorted(r["items"]), [tuple(s) for s in r.spans]) for r in df.collect())
+    one, several = (spread(decontam.contamination(docs(spark, rows), bench, block_bytes=n)) for n in (decontam.BLOCK_BYTES, 1))
+    assert several == one and len(one) == len(rows)
+    assert sorted(len(i) > 0 for _, n, i, _ in several if n == 10) == [False] * 4 + [True] * 4
+    one, several = (decontam.decontaminate(docs(spark, rows), bench, block_bytes=n) for n in (decontam.BLOCK_BYTES, 1))
+    assert several.schema == one.schema
+    assert sorted(map(str, several.collect())) == sorted(map(str, one.collect()))
+    assert not decontam.digest(several, bench).where("contaminated").count() and {"x y", clean, "end", None} <= {r.text for r in several.collect()}
+
+
 # ---- near duplicates
 
 
