@@ -4,7 +4,9 @@ Each task encodes its documents, packs their pieces best-fit (longest first)
 into bins of ``capacity`` tokens, and writes what it placed.  Bins that are full,
 or that no other underfull bin fits, are final; the underfull ones become items
 of the next round, gathered into fewer groups each round, until one group is
-left or a round no longer saves bins.
+left.  Two bins over half full never fit together, and each of the others goes
+into one bin at most; so of the bins of one load no more take part than there are
+bins of half the capacity or less, which leaves the result as it is.
 
 A document is its ids and the end id.  Only a document longer than the capacity
 is cut, into pieces of full capacity; its first piece may be shorter.  Defined
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from permaway.llm.storage import arrow_batches, written
@@ -32,8 +34,6 @@ CAPACITY = 2048
 LOCAL = 20_000
 #: Underfull bins of one group in a later round.
 GROUP = 20_000
-#: A later round that saves less than this share of the bins is the last.
-LEAST_GAIN = 0.02
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long"
 
@@ -113,26 +113,27 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
     pieces = written(narrow.mapInArrow(serving("tokens", _place(path or default_path(), capacity)), PIECES), "pieces")
     under = pieces.groupBy("bin").agg(F.sum("length").alias("load")).where(F.col("load") < capacity)
     under = written(under.select("bin", "load", F.col("bin").alias("into"), F.lit(0).cast("long").alias("base"), F.lit(0).alias("level")), "underfull")
-    moves, level = under.drop("load", "level"), 0
+    moves, level, groups = under.drop("load", "level"), 0, None
     while True:
         # what no other underfull bin fits into is final
-        size, least = under.agg(F.count("*"), F.min("load")).first()
-        if size < 2:
+        least, small = under.agg(F.min("load"), F.count(F.when(2 * F.col("load") <= capacity, 1))).first()
+        if not small:
             break
-        live = under.where(F.col("load") + least <= capacity)
+        rank = F.row_number().over(Window.partitionBy("load").orderBy("bin"))
+        live = written(under.where(F.col("load") + least <= capacity).withColumn("rank", rank).where(F.col("rank") <= small).drop("rank"), "live")
         n = live.count()
         if n < 2:
             break
-        groups = -(-n // GROUP)
+        most = -(-n // GROUP)
+        groups = most if groups is None else min(most, max(1, groups // 2))
         keyed = live.select("bin", "load", F.pmod(F.hash("bin", F.lit(level)), F.lit(groups)).alias("g"))
         step = written(keyed.groupBy("g").applyInArrow(_merge(capacity), "bin long, into long, base long"), "merged")
         loads = live.select("bin", "load").join(step, "bin").groupBy(F.col("into").alias("bin")).agg(F.sum("load").alias("load"))
         under = written(loads.where(F.col("load") < capacity), "underfull")
         s = step.select(F.col("bin").alias("_b"), F.col("into").alias("_i"), F.col("base").alias("_o"))
         moves = written(moves.join(s, moves["into"] == s["_b"], "left").select("bin", F.coalesce("_i", "into").alias("into"), (F.col("base") + F.coalesce("_o", F.lit(0))).alias("base")), "moves")
-        left = step.select("into").distinct().count()
         level += 1
-        if groups == 1 or left > (1 - LEAST_GAIN) * n:
+        if groups == 1:
             break
     m = moves.where("bin != into").select(F.col("bin").alias("_b"), "into", "base")
     return pieces.join(m, pieces["bin"] == m["_b"], "left").select(

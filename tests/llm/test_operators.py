@@ -280,6 +280,19 @@ def test_packing_in_rounds(spark, monkeypatch, empty):
     assert packing.packed(empty).count() == 0
 
 
+def test_packing_goes_on_to_one_group(spark, monkeypatch):
+    """A round that saves less than 2 % of the bins does not end it: bins of half the capacity in different groups still meet."""
+    monkeypatch.setattr(packing, "GROUP", 30)
+    texts = ["word " * 1500] * 405
+    texts[10::80] = ["word " * 1000] * 5
+    texts[370:] = ["word " * 1900] * 35
+    texts[395] = "word " * 400  # fits into none of its own task, but into those of 1500, which therefore take part
+    got = packing.packed(docs(spark, list(enumerate(texts))).repartitionByRange(20, "doc_id")).toPandas()
+    loads = got.groupby("sequence_id").length.sum().sort_values()
+    assert len(got) == 405 and loads.iloc[-1] <= packing.CAPACITY < loads.iloc[0] + loads.iloc[1] and not got.duplicated(["sequence_id", "offset"]).any()
+    assert len(loads) == packing.best_fit(got.length.to_numpy(), packing.CAPACITY)[2]
+
+
 def test_best_fit_takes_the_fullest_bin():
     bins, offsets, n = packing.best_fit(np.array([5, 7, 3, 4, 1]), 10)
     assert n == 2 and bins.tolist() == [1, 0, 0, 1, 1] and offsets.tolist() == [0, 0, 7, 5, 9]
