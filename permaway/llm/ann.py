@@ -246,7 +246,7 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str
     found = run(queries.withColumn("bound", lowest))
     if cells.count > 1:
         found = written(found, "own_cells")
-        kth = found.groupBy("query_id").agg(F.element_at(F.array_sort(F.collect_list("score")), -k).alias("kth"), F.count("*").alias("n"))
+        kth = found.groupBy("query_id").agg(F.get(F.sort_array(F.collect_list("score"), asc=False), k - 1).alias("kth"), F.count("*").alias("n"))
         known = queries.join(kth, F.col("id") == F.col("query_id"), "left").select("id", "v", F.col("cell").alias("own"), F.when(F.col("n") >= k, F.col("kth")).otherwise(lowest).alias("bound"))
 
         def route(batches):

@@ -438,6 +438,17 @@ def test_neighbours_of_small_tables(spark):
     assert [(r["rank"], r.vec_id, r.score) for r in ann.digest(two).orderBy("rank").collect()] == [(1, 1, 0.5), (2, 2, 0.5)]
 
 
+def test_neighbours_of_cells_with_few_vectors(spark):
+    """Copies at the lowest edge leave the rest in cells of fewer than k vectors; their search widens."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([np.tile(-np.ones(4), (400, 1)), 5 + rng.random((12, 4))])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.neighbours(df, F.col("id") >= 400, cell=100).toPandas()
+    assert sorted(got.groupby("query_id")["rank"].max().items()) == [(k, 20) for k in range(400, 412)]
+    for q, g in got.groupby("query_id"):
+        assert set(g.sort_values("rank").vec_id[:11]) == {*range(400, 412)} - {q}
+
+
 # ---- licences
 
 
