@@ -12,27 +12,37 @@ of their hashes.  Steps:
 3. The classes in some list are listed anew, by their full sets and exactly: sets
    of n values with similarity 0.8 share one of their rarest n - ceil(0.8 n) + 1.
    A value's position among the rarest bounds what two sets can still share.
-   A list of up to ``SMALL`` classes gives all its pairs.  A larger one gives a
-   star around a centre (one of ``CENTRES`` orders, by the value); after the links
-   of all stars are merged into components, only pairs of different components
-   are left, first in more stars, then all of them.  Pairs inside a component
-   are never needed.
-4. The union of two sketches estimates the similarity; far pairs go.
-5. The exact similarity of the full sets decides every link.
-6. Components of the links, by written rounds of large-star and small-star.
+   A list of up to ``SMALL`` classes gives all its pairs.
+4. A larger list is split by size, as linked sets differ by a factor of 1.25 at
+   most, and gives a star around its hub, the set with the least share of values
+   of its own.  After the links of all stars are merged into components, only pairs
+   of different components matter: further stars have hubs outside the largest
+   component of their list, and what is left then is compared by differences (5).
+5. With D the values in which a set differs from the hub of its list, x and y differ
+   in ``|Dx| + |Dy| - 2 |Dx and Dy|`` values.  A set that the star did not link must
+   therefore share so many *differences* with whatever it is linked with; those are
+   few and rare, and are listed as the values were before (rarest first, with
+   positions).  That is exact, and a group of near copies of one text makes
+   no list of them all again.
+6. The union of two sketches estimates the similarity; far pairs go.  The exact
+   similarity of the full sets decides every link.
+7. Components of the links, by written rounds of large-star and small-star.
 
 ``overlap`` for a whole set of n <= k values is exact, ceil(0.8 n) (48 at most, as the
 partner may be a little larger than its sketch); for a larger set it is 32 of
-64, six standard deviations below the expected 51: a pair is missed with
-probability under 1e-8, the only inexact step.
+64.  Two steps are inexact, by binomial tails for a pair at exactly 0.8: the first
+list misses it with probability 1.9e-8, the estimate by ``ESTIMATED`` values with
+2.7e-8.
 
 Defined cases: null, empty or wordless text has no set, is linked with nothing
 and is its own component; fewer words than a shingle make one shingle of all
-words; equal ids are one node; a null id is its own component; ties by id.
+words; equal ids are one node, with the links of all their texts; a null id is
+its own component; ties by id.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,10 +62,8 @@ RETAINED = 64
 ESTIMATED = 128
 #: Classes of a list that still gives all its pairs.
 SMALL = 16
-#: Orders from which the lists draw their centres.
-CENTRES = 16
-#: Rounds of stars before the remaining pairs of a list are all compared.
-STARS = 3
+#: Rounds of stars before the remaining pairs of a list are compared by their differences.
+STARS = 2
 #: Documents whose ids are broadcast to pick their texts; beyond it the join shuffles.
 PICKED = 500_000
 
@@ -140,16 +148,20 @@ def _sized(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where((F.col("a") != F.col("b")) & able).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def _rarest(sets: DataFrame, values: str, keep: Column) -> DataFrame:
-    """(v, id, n, p, size): each set's first ``keep`` (of n, k) values in ascending order of frequency, where at least two sets meet; p counts the values before."""
-    postings = sets.select("id", "n", F.size(values).alias("k"), F.explode(values).alias("v"))
-    often = postings.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    shared = postings.join(often, "v").groupBy("id", "n", "k").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("s"))
+def _rarest(sets: DataFrame, values: str, keep: Column, keys: tuple[str, ...] = ("id", "n"), within: tuple[str, ...] = ()) -> DataFrame:
+    """(v, keys, p, alone, size): each set's first ``keep`` (of keys and k) values in ascending order of frequency, where at least two sets meet.
+
+    p counts the values before, alone those of no other set; sets of different ``within`` (some of the keys) never meet.
+    """
+    by = [*within, "v"]
+    postings = sets.select(*keys, F.size(values).alias("k"), F.explode(values).alias("v"))
+    often = postings.groupBy(*by).agg(F.count("*").alias("df")).where("df > 1")
+    shared = postings.join(often, by).groupBy(*keys, "k").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("s"))
     alone = F.col("k") - F.size("s")  # values of no other set are the rarest
     shared = shared.withColumn("alone", alone).withColumn("take", keep - F.col("alone")).where("take > 0")
-    kept = shared.select("id", "n", "alone", F.posexplode(F.slice("s", F.lit(1), F.col("take").cast("int"))).alias("p", "x"))
-    kept = kept.select(F.col("x.v").alias("v"), "id", "n", (F.col("p") + F.col("alone")).alias("p"))
-    return kept.join(kept.groupBy("v").agg(F.count("*").alias("size")).where("size > 1"), "v")
+    kept = shared.select(*keys, "alone", F.posexplode(F.slice("s", F.lit(1), F.col("take").cast("int"))).alias("p", "x"))
+    kept = kept.select(F.col("x.v").alias("v"), *keys, "alone", (F.col("p") + F.col("alone")).alias("p"))
+    return kept.join(kept.groupBy(*by).agg(F.count("*").alias("size")).where("size > 1"), by)
 
 
 def _share(percent: int) -> Column:
@@ -162,10 +174,22 @@ def _candidates(classes: DataFrame, percent: int) -> DataFrame:
     return _rarest(classes, "sketch", F.col("k") - overlap + 1).select("id").distinct()
 
 
+def _by_size(large: DataFrame, percent: int) -> DataFrame:
+    """Large lists, each split into overlapping bands of sizes: sets that can be linked meet in a band, and a band spans a factor of 1.5625."""
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent)))
+    return large.withColumn("g", F.explode(F.array(band - 1, band))).withColumn("v", F.xxhash64("v", "g")).drop("g")
+
+
 def link_classes(docs: DataFrame, sketches: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The links between class representatives, and (id, component) of the linked ones."""
+    """(doc_id, n, id) of every row with a set, id standing for its class; and (id, component) of the linked classes."""
     spark = docs.sparkSession
-    classes = written(sketches.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "sketch")).alias("x")).select(F.col("x.doc_id").alias("id"), "n", F.col("x.sketch").alias("sketch")), "classes")
+    some = sketches.where("n > 0 and doc_id is not null")
+    best = some.groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "sketch")).alias("x")).select("n", "d1", "d2", F.col("x.doc_id").alias("id"), F.col("x.sketch").alias("sketch"))
+    classes = written(best, "classes")
+    members = written(some.select("doc_id", "n", "d1", "d2").join(classes.select("n", "d1", "d2", "id"), ["n", "d1", "d2"]).select("doc_id", "n", "id"), "members")
+    # equal ids are one node: their classes are linked
+    several = members.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("doc_id", "a")
+    same = members.join(several, "doc_id").where("a < id").select("a", F.col("id").alias("b"))
     ids = written(_candidates(classes, percent), "candidates")
     picked = ids.count()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
@@ -176,48 +200,77 @@ def link_classes(docs: DataFrame, sketches: DataFrame, shingle: int, percent: in
 
     small = lists.where(F.col("size") <= SMALL).select("v", "id", "n", "p")
     pairs = _side(small, "a").join(_side(small, "b"), "v").where("a < b")
-    large = lists.where(F.col("size") > SMALL).select("v", "id", "n", "p")
-    stars = _side(large, "a").join(_centres(large, 0), "v")
+    large = written(_by_size(lists.where(F.col("size") > SMALL), percent).select("v", "id", "n", "p", "alone"), "large")
+    first = _hubs(large)
+    stars = _side(large, "a").join(_side(first, "b"), "v")
     columns = ["a", "na", "pa", "b", "nb", "pb"]
-    links = written(links_of(_sized(pairs.select(columns).unionByName(stars.select(columns)), percent)), "links")
+    links = links_of(_sized(pairs.select(columns).unionByName(stars.select(columns)), percent))
+    links = written(links.unionByName(same), "links")
     found = written(components(links), "components")
-    if large.isEmpty():
-        return links, found
-    for turn in range(1, STARS + 1):
+    starring = STARS
+    while True:
         c = found.select("id", F.col("component").alias("c"))
-        marked = large.join(c, "id", "left").select("v", "id", "n", "p", F.coalesce("c", "id").alias("c"))
+        marked = large.join(c, "id", "left").withColumn("c", F.coalesce("c", "id"))
         mixed = marked.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("v")
         open_ = written(marked.join(mixed, "v"), "open")
         if open_.isEmpty():
-            break
-        x = _side(open_, "a")
-        if turn < STARS:
-            more = x.join(_centres(open_, turn), "v").where("ca <> cb")
-        else:
-            # the exact rest: whoever is outside the largest component of the list, against all of other components;
-            # a pair that meets in several lists is made in the first of them in the order of frequency, where positions count
-            shares = open_.groupBy("v", "c").agg(F.count("*").alias("k"))
-            main = shares.groupBy("v").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
-            own = open_.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "v"))), lambda q: q["v"]).alias("own"))
-            x = x.join(own.select(F.col("id").alias("a"), F.col("own").alias("own_a")), "a")
-            outside = x.join(main, "v").where("ca <> main").drop("main")
-            y = _side(open_, "b").join(own.select(F.col("id").alias("b"), F.col("own").alias("own_b")), "b")
-            more = outside.join(y, "v").where((F.col("ca") != F.col("cb")) & (F.col("v") == F.get(F.array_intersect("own_a", "own_b"), F.lit(0))))
-        fresh = links_of(_sized(more.select(columns), percent))
+            return members, found
+        if starring > 0:
+            main = open_.groupBy("v", "c").agg(F.count("*").alias("k")).groupBy("v").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
+            outside = open_.join(main, "v").where("c <> main").drop("main")
+            more = _side(open_, "a").join(_side(_hubs(outside), "b"), "v").where("ca <> cb")
+            fresh = written(links_of(_sized(more.select(columns), percent)), "fresh")
+            starring -= 1
+        if starring == 0 or fresh.isEmpty():
+            fresh = written(fresh.unionByName(_by_differences(open_, sets, links_of, percent)), "fresh")
+            starring = -1
+        if fresh.isEmpty():
+            return members, found
         links = written(links.unionByName(fresh), "links")
         found = written(components(links), "components")
-    return links, found
+        if starring < 0:
+            return members, found
+
+
+def _by_differences(lists: DataFrame, sets: DataFrame, links_of, percent: int) -> DataFrame:
+    """The links between different components of each list, by the differences of its sets from its hub.
+
+    With r = (100 - percent) / (100 + percent), x and y are linked if and only if they
+    differ in at most r (nx + ny) values, so they share at least
+    (dx + dy - r (nx + ny)) / 2 differences.  One of the two is outside the hub's component.
+    """
+    hub = _hubs(lists).select("v", F.col("id").alias("h"), F.col("c").alias("hc"))
+    members = lists.join(hub, "v").select("h", "hc", "id", "n", "c").distinct()
+    full = sets.select("id", "full")
+    both = members.join(full, "id").join(full.select(F.col("id").alias("h"), F.col("full").alias("hub")), "h")
+    apart = F.array_union(F.array_except("full", "hub"), F.array_except("hub", "full"))
+    keys = ("h", "id", "n", "c", "m", "out")
+    far = written(both.select("h", "id", "n", "c", F.size("hub").alias("m"), (F.col("c") != F.col("hc")).alias("out"), apart.alias("far")), "differences")
+    r = (100 - percent) / (100 + percent)
+    k, near = F.col("k"), F.col("k") - r * (F.col("n") + F.col("m"))
+    # what any set must share with its partner, and one in the hub's component with a partner outside
+    least = F.greatest(near / (1 + r), F.when(F.col("out"), F.lit(0.0)).otherwise((near + (1 - r) * 2 * r * F.col("m") / (1 + r)) / 2))
+    least = F.greatest(F.lit(1), F.ceil(least - 1e-6)).cast("int")
+    kept = _rarest(far.withColumn("k", F.size("far")), "far", k - least + 1, keys, ("h",))
+    sizes = far.select("h", "id", F.size("far").alias("d"))
+    kept = written(kept.join(sizes, ["h", "id"]), "differences")
+    side = lambda x: kept.select("h", "v", *(F.col(c).alias(f"{c}{x}") for c in ("n", "c", "out", "d", "p")), F.col("id").alias(x))
+    pairs = side("a").join(side("b"), ["h", "v"]).where("outa and ca <> cb and (not outb or a < b)")
+    able = (F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")) & (F.least(F.col("da") - F.col("pa"), F.col("db") - F.col("pb")) >= (F.col("da") + F.col("db") - r * (F.col("na") + F.col("nb"))) / 2 - 1e-6)
+    pairs = pairs.where(able).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # a set that the star's estimate missed
+    direct = far.where(F.col("out") & (F.lit(100 + percent) * F.size("far") <= F.lit(100 - percent) * (F.col("n") + F.col("m")))).select(F.least("h", "id").alias("a"), F.greatest("h", "id").alias("b"))
+    return links_of(pairs).unionByName(direct.distinct())
 
 
 def _side(lists: DataFrame, x: str) -> DataFrame:
     return lists.select("v", F.col("id").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("n", "p", "c") if c in lists.columns))
 
 
-def _centres(lists: DataFrame, turn: int) -> DataFrame:
-    """One class of each list: the least by a hash that depends on the turn and on some bits of the value."""
-    order = F.xxhash64("id", F.pmod(F.col("v"), F.lit(CENTRES)), F.lit(turn))
-    centre = lists.groupBy("v").agg(F.min_by(F.struct(*(c for c in lists.columns if c != "v")), order).alias("m")).select("v", "m.*")
-    return _side(centre, "b")
+def _hubs(lists: DataFrame) -> DataFrame:
+    """One class of each list, the one with the least share of values that no other set holds."""
+    rest = F.struct(*(c for c in lists.columns if c != "v"))
+    return lists.groupBy("v").agg(F.min_by(rest, F.struct(F.col("alone") / F.col("n"), -F.col("n"), F.col("id"))).alias("m")).select("v", "m.*")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -225,13 +278,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     arrow_batches(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = written(narrow.mapInArrow(serving("shingles", _sketches(shingle)), "doc_id long, n long, d1 long, d2 long, sketch array<long>"), "sketches")
-    _, found = link_classes(narrow, sketches, shingle, percent)
-    slim = sketches.select("doc_id", "n", "d1", "d2")
-    stand = slim.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"))
-    stand = stand.join(found, "id", "left").select("n", "d1", "d2", F.coalesce("component", "id").alias("c"))
-    joined = slim.join(stand, ["n", "d1", "d2"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    members, found = link_classes(narrow, sketches, shingle, percent)
+    component = F.coalesce("component", "id")
+    linked = members.join(found, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    # rows without a set go with what other rows of their id are linked with
+    bare = sketches.where("n = 0 and doc_id is not null").select("doc_id")
+    own = members.join(bare.distinct(), "doc_id", "left_semi").join(found, "id", "left").groupBy("doc_id").agg(F.min(component).alias("c"))
+    bare = bare.join(own, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id")).select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("c").alias("component_id"), (F.col("c") == F.col("doc_id")).alias("kept"))
+    nameless = sketches.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return linked.unionByName(bare).unionByName(nameless)
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
