@@ -15,7 +15,7 @@ of their hashes.  Steps:
    A list of up to ``SMALL`` classes gives all its pairs.
 4. A larger list is split by size, as linked sets differ by a factor of 1.25 at
    most, and gives a star around its hub, the set with the least share of values
-   of its own.  After the links of all stars are merged into components, only pairs
+   rarer than the list's own.  After the links of all stars are merged into components, only pairs
    of different components matter: further stars have hubs outside the largest
    component of their list, and what is left then is compared by differences (5).
 5. With D the values in which a set differs from the hub of its list, x and y differ
@@ -149,9 +149,9 @@ def _sized(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _rarest(sets: DataFrame, values: str, keep: Column, keys: tuple[str, ...] = ("id", "n"), within: tuple[str, ...] = ()) -> DataFrame:
-    """(v, keys, p, alone, size): each set's first ``keep`` (of keys and k) values in ascending order of frequency, where at least two sets meet.
+    """(v, keys, p, size): each set's first ``keep`` (of keys and k) values in ascending order of frequency, where at least two sets meet.
 
-    p counts the values before, alone those of no other set; sets of different ``within`` (some of the keys) never meet.
+    p counts the values before; sets of different ``within`` (some of the keys) never meet.
     """
     by = [*within, "v"]
     postings = sets.select(*keys, F.size(values).alias("k"), F.explode(values).alias("v"))
@@ -160,7 +160,7 @@ def _rarest(sets: DataFrame, values: str, keep: Column, keys: tuple[str, ...] =
     alone = F.col("k") - F.size("s")  # values of no other set are the rarest
     shared = shared.withColumn("alone", alone).withColumn("take", keep - F.col("alone")).where("take > 0")
     kept = shared.select(*keys, "alone", F.posexplode(F.slice("s", F.lit(1), F.col("take").cast("int"))).alias("p", "x"))
-    kept = kept.select(F.col("x.v").alias("v"), *keys, "alone", (F.col("p") + F.col("alone")).alias("p"))
+    kept = kept.select(F.col("x.v").alias("v"), *keys, (F.col("p") + F.col("alone")).alias("p"))
     return kept.join(kept.groupBy(*by).agg(F.count("*").alias("size")).where("size > 1"), by)
 
 
@@ -200,7 +200,7 @@ def link_classes(docs: DataFrame, sketches: DataFrame, shingle: int, percent: in
 
     small = lists.where(F.col("size") <= SMALL).select("v", "id", "n", "p")
     pairs = _side(small, "a").join(_side(small, "b"), "v").where("a < b")
-    large = written(_by_size(lists.where(F.col("size") > SMALL), percent).select("v", "id", "n", "p", "alone"), "large")
+    large = written(_by_size(lists.where(F.col("size") > SMALL), percent).select("v", "id", "n", "p"), "large")
     first = _hubs(large)
     stars = _side(large, "a").join(_side(first, "b"), "v")
     columns = ["a", "na", "pa", "b", "nb", "pb"]
@@ -268,9 +268,9 @@ def _side(lists: DataFrame, x: str) -> DataFrame:
 
 
 def _hubs(lists: DataFrame) -> DataFrame:
-    """One class of each list, the one with the least share of values that no other set holds."""
+    """One class of each list, the one with the least share of values rarer than the list's own."""
     rest = F.struct(*(c for c in lists.columns if c != "v"))
-    return lists.groupBy("v").agg(F.min_by(rest, F.struct(F.col("alone") / F.col("n"), -F.col("n"), F.col("id"))).alias("m")).select("v", "m.*")
+    return lists.groupBy("v").agg(F.min_by(rest, F.struct(F.col("p") / F.col("n"), -F.col("n"), F.col("id"))).alias("m")).select("v", "m.*")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
