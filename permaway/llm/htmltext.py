@@ -12,7 +12,7 @@ layouts, class vocabularies, sizes and omissions, with the truth known by
 construction).
 
 Text: character references are decoded, white space inside a block becomes one
-space, blocks are trimmed and joined by a line feed; scripts, styles and other
+space, blocks are trimmed and joined by two line feeds; scripts, styles and other
 elements without readable text never count.  Defined cases: null or empty html
 gives the empty text; a page that ends within a tag loses that tag; of an element
 without readable text that is never closed only the tag goes, except that the
@@ -199,7 +199,7 @@ class Page:
             if kept[node]:
                 blocks.setdefault(block, []).append(text)
         out = (_SPACE.sub(" ", html.unescape("".join(b))).strip() for b in blocks.values())
-        return "\n".join(b for b in out if b)
+        return "\n\n".join(b for b in out if b)
 
 
 TAG_GROUPS = ("nav", "header", "footer", "aside", "form", "article", "main", "section", "div", "p", "heading", "list", "item", "table", "cell", "figure", "quote", "body", "#text", "inline", "#root")
@@ -458,3 +458,18 @@ def extract(pages: DataFrame, extractor: Extractor | None = None) -> DataFrame:
 def digest(pages: DataFrame) -> DataFrame:
     """The contract's columns."""
     return extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+#: DuckDB SQL for ``digest`` over the table pages, whose layout is known: the article stands in an element of that name, as headings and paragraphs.
+ORACLE_SQL = r"""
+WITH a AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS body FROM pages
+), b AS (
+  SELECT page_id, url, list_transform(string_split_regex(body, '</?(?:p|h1)>'), lambda x: regexp_replace(x, '<[^>]*>', ' ', 'g')) AS parts FROM a
+), c AS (
+  SELECT page_id, url, list_transform(parts, lambda x: regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g')) AS parts FROM b
+), d AS (
+  SELECT page_id, url, array_to_string(list_filter(list_transform(parts, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)) AS text FROM c
+)
+SELECT page_id, url, text, cast(length(text) AS bigint) AS n_chars FROM d
+"""

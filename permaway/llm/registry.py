@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": decontam.ORACLE_SQL, "op4_near_duplicates": neardup.ORACLE_SQL}
+    return {"op3_decontamination": decontam.ORACLE_SQL, "op4_near_duplicates": neardup.ORACLE_SQL, "op5_html": htmltext.ORACLE_SQL}

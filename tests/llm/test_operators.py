@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -372,8 +373,8 @@ def test_page_text_of_layouts():
         '<div class="cookie-notice">We use cookies, accept all of them please.</div><main><p>Text of the story, long enough to be one, it goes on and on.</p><script>var a="<p>no</p>"</script><div class="ad">Buy this now!</div><p>Second part of the same story, it ends here.</p></main>',
     ]
     got = htmltext.trained().texts([*pages, None, "", "<p"])
-    assert got[0] == "Title & more\nOne two three.\nFour five six."
-    assert got[1] == "Text of the story, long enough to be one, it goes on and on.\nSecond part of the same story, it ends here."
+    assert got[0] == "Title & more\n\nOne two three.\n\nFour five six."
+    assert got[1] == "Text of the story, long enough to be one, it goes on and on.\n\nSecond part of the same story, it ends here."
     assert got[2:] == ["", "", ""]
 
 
@@ -395,7 +396,7 @@ def test_unclosed_silent_elements_hide_no_text(odd):
     """Nor does a head without its optional end tag."""
     page = f"<html><head><meta charset=utf-8><title>x</title><body><article><h1>Title of it</h1><p>Text of the story, long enough to be one, it goes on and on.{odd}</p><p>Second part of the same story, it ends here.</p></article>"
     got = htmltext.trained().texts([page, page.replace("<body>", "</head><body>"), page.replace("<body>", "")])
-    assert all(t.split("\n") == ["Title of it", "Text of the story, long enough to be one, it goes on and on.", "Second part of the same story, it ends here."] for t in got)
+    assert all(t.split("\n\n") == ["Title of it", "Text of the story, long enough to be one, it goes on and on.", "Second part of the same story, it ends here."] for t in got)
 
 
 def test_decoding_keeps_nothing_below_a_cut():
@@ -407,8 +408,53 @@ def test_decoding_keeps_nothing_below_a_cut():
 def test_pages_table(spark, sf_dir):
     got = htmltext.digest(table(spark, sf_dir, "pages")).collect()
     assert len(got) == table(spark, sf_dir, "pages").count() and all(r.n_chars == len(r.text) for r in got)
-    odd = spark.createDataFrame([(1, None, None), (1, "u", "<p>x"), (None, "u", "")], "page_id long, url string, html string")
-    assert htmltext.digest(odd).count() == 3
+    odd = spark.createDataFrame([(1, None, None, "a", 1), (1, "u", "<p>x", "b", 2), (None, "u", "", None, 3)], "page_id long, url string, html string, text string, n_chars int")
+    assert htmltext.digest(odd).count() == 3 and htmltext.digest(odd).columns == ["page_id", "url", "text", "n_chars"]
+    assert htmltext.digest(odd.limit(0)).count() == 0
+
+
+class _Rule(HTMLParser):
+    """What stands in article elements, by the library's parser: blocks end at headings and paragraphs, a break is white space."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks = 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        if tag in ("p", "h1", "h2", "li", "div"):
+            self.blocks.append("")
+        elif tag == "br":
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        if tag in ("p", "h1", "h2", "li", "div"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+    def text(self):
+        return "\n\n".join(b for b in (" ".join(x.split()) for x in self.blocks) if b)
+
+
+def test_pages_by_brute_force(spark):
+    rows = table(spark, "/root/testdata/sf0.01", "pages").collect()
+    got = {r.page_id: r.text for r in htmltext.digest(table(spark, "/root/testdata/sf0.01", "pages")).collect()}
+    for r in rows:
+        rule = _Rule()
+        rule.feed(r.html)
+        rule.close()
+        assert got[r.page_id] == rule.text() != ""
+
+
+def test_very_long_pages():
+    many = "<article><h1>Title</h1>" + "<p>One more line of the story, which goes on and on.</p>" * 20_000 + "</article>"
+    deep = "<div>" * 20_000 + "x"
+    got = htmltext.trained().texts([many, deep, "<" * 100_000, "&" * 100_000])
+    assert got[0].split("\n\n") == ["Title"] + ["One more line of the story, which goes on and on."] * 20_000
 
 
 # ---- neighbours
@@ -491,7 +537,7 @@ def normal(frame):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_oracles(spark, sf_dir, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "pages"):
         c.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     assert normal(registry.queries()[name](spark, sf_dir).toPandas()) == normal(c.execute(registry.oracle_sql()[name]).fetchdf())
 
