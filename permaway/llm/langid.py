@@ -10,9 +10,10 @@ unseen byte costs 8 bits.  A text gets the language of the shortest code.
 Texts are lower-cased; ASCII characters that are no letters count as one space,
 runs of spaces as one; the text's start is a context of its own.
 
-Training reads up to ``TRAIN_DOCS`` labelled documents of a language, those with
-the smallest hashes, of at most ``TRAIN_CHARS`` characters.  Everything else
-covers all rows and whole texts.
+Training reads up to ``TRAIN_DOCS`` labelled documents of each of the
+``LANGUAGES`` most frequent languages, those with the smallest hashes of their
+id, of at most ``TRAIN_CHARS`` characters; of a repeated id one text counts.
+Everything else covers all rows and whole texts.
 
 Defined cases: ``und`` with score 0 for null text, text without a letter, or
 when no labelled document was found; ties go to the first language by name;
@@ -37,6 +38,7 @@ from permaway.llm.workers import serving
 ORDER = 4
 TRAIN_DOCS = 400
 TRAIN_CHARS = 20_000
+LANGUAGES = 200
 #: Bytes scored by one numpy pass.
 PASS = 1 << 18
 #: The score weighs the margin per byte as if of this many bytes at most.
@@ -173,12 +175,13 @@ def training_rows() -> Column:
 
 def train(docs: DataFrame, rows: Column | None = None, docs_per_language: int = TRAIN_DOCS) -> Model:
     """Learns from a bounded sample of the labelled documents that ``rows`` selects."""
-    able = docs.where(training_rows() if rows is None else rows).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS) & F.col("doc_id").isNotNull())
-    ids = [r.d for r in least_hashed(able.select(F.col("doc_id").alias("d"), F.col("lang").cast("string").alias("y")), docs_per_language).collect()]
+    able = docs.where(training_rows() if rows is None else rows).select(F.col("doc_id").alias("d"), F.col("lang").cast("string").alias("y"), F.col("text").cast("string").alias("t"))
+    able = able.where(F.col("d").isNotNull() & F.col("y").isNotNull() & (F.length("t") <= TRAIN_CHARS))
+    picked = F.broadcast(least_hashed(able, docs_per_language, LANGUAGES))
     samples: dict[str, list[str]] = {}
-    for r in able.where(F.col("doc_id").isin(ids)).select("doc_id", "lang", "text").orderBy("doc_id", "text").collect() if ids else []:
-        samples.setdefault(str(r.lang), []).append(r.text)
-    return Model({k: v[:docs_per_language] for k, v in samples.items()})
+    for r in able.join(picked, ["d", "y"]).groupBy("d", "y").agg(F.min("t").alias("t")).orderBy("d", "y").collect():  # bounded by docs_per_language and LANGUAGES
+        samples.setdefault(r.y, []).append(r.t)
+    return Model(samples)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -208,15 +211,15 @@ def _predicted(model: Model, column: pa.Array, most: int = 1 << 20) -> tuple[lis
     return names[:-1], scores[:-1], rates[:-1]
 
 
-def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` in a learned language: without those of no language or that no model codes below 8 bits a byte."""
+def keep_identified(docs: DataFrame, model: Model, languages: tuple[str, ...] | None = None, most_bits: float = 8.0) -> DataFrame:
+    """``docs`` whose shortest code is of one of ``languages`` (None: of any learned one) and takes less than ``most_bits`` bits a byte."""
     arrow_batches(docs.sparkSession)
     shared, number = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, _, rates = _predicted(shared.value, batch.column(number))
-            yield batch.filter(pa.array([n != UNKNOWN and r < 8 for n, r in zip(names, rates, strict=True)], pa.bool_()))
+            yield batch.filter(pa.array([n != UNKNOWN and (languages is None or n in languages) and r < most_bits for n, r in zip(names, rates, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(serving("language", run), docs.schema)
 

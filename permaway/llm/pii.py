@@ -21,7 +21,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -139,8 +141,11 @@ def spans(text: str | None) -> list[tuple[int, int, str, float]]:
         return []
     base = _base(text)
     found = [(a, b, kind, _score(kind, text, a, kind in ("card", "ip"))) for kind, a, b in base]
+    base.sort(key=lambda x: x[1])
+    starts, reach = [x for _, x, _ in base], list(accumulate((y for *_, y in base), max))
     for kind, a, b, confirmed in _more(text):
-        if not any(x < b and a < y for _, x, y in base) and (s := _score(kind, text, a, confirmed)) >= LEAST:
+        before = bisect_left(starts, b)  # base spans that begin before its end: one overlaps if their furthest end does
+        if not (before and reach[before - 1] > a) and (s := _score(kind, text, a, confirmed)) >= LEAST:
             found.append((a, b, kind, s))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 

@@ -13,7 +13,8 @@ words, and of the number of different entries hit; a text without hits keeps the
 base score.
 
 Learning reads up to ``TRAIN_DOCS`` labelled documents of each label, those with
-the smallest hashes, of at most ``TRAIN_CHARS`` characters.  Scoring covers all
+the smallest hashes of their id, of at most ``TRAIN_CHARS`` characters; of a
+repeated id one text counts.  Scoring covers all
 rows and whole texts.  Defined cases: null or empty text has no hits; repeated
 rows get equal scores; a document with several labels counts with its largest;
 without labels only the known insults count.
@@ -23,8 +24,10 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -114,9 +117,12 @@ class Lexicon:
                 safe.append((end - size + 1, end))
             if weight:
                 hits.append((end - size + 1, end, weight))
+        safe.sort()
+        starts, reach = [x for x, _ in safe], list(accumulate((y for _, y in safe), max))
         best: dict[int, tuple[float, int]] = {}  # the strongest entry at each word
         for a, b, w in hits:
-            if not any(x <= a and b <= y for x, y in safe) and w > best.get(a, (0.0, 0))[0]:
+            before = bisect_right(starts, a)  # phrases that begin no later: one covers the hit if their furthest end does
+            if not (before and reach[before - 1] >= b) and w > best.get(a, (0.0, 0))[0]:
                 best[a] = (w, b)
         total = sum(w for w, _ in best.values())
         kinds = len({folded[a : b + 1].strip() for a, (_, b) in best.items()})
@@ -202,16 +208,13 @@ def _fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, docs_per_label: int = TRAIN_DOCS) -> Lexicon:
     """Learns from a bounded sample of the labelled documents whose crc32(doc_id) mod 5 is not 0."""
-    marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("d")).agg(F.max("toxic").alias("y"))
+    marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("d")).agg((F.max("toxic") >= 1).alias("y"))
     marked = marked.where(F.pmod(F.crc32(F.col("d").cast("string")), F.lit(5)) != 0)
-    y = {r.d: r.y for r in least_hashed(marked, docs_per_label).collect()}
-    if not y:
-        return learn([], [])
-    picked = docs.sparkSession.createDataFrame([(d,) for d in y], "_pw_d long")  # bounded by docs_per_label
-    texts = docs.where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(picked), F.col("doc_id").cast("long") == F.col("_pw_d"))
+    picked = least_hashed(marked, docs_per_label, 2)
+    texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").cast("string").alias("t")).where(F.length("t") <= TRAIN_CHARS)
     sides: tuple[list, list] = ([], [])
-    for r in texts.select("_pw_d", "text").toLocalIterator():
-        sides[0 if y[r._pw_d] >= 1 else 1].append(r.text)
+    for r in texts.join(F.broadcast(picked), "d").groupBy("d", "y").agg(F.min("t").alias("t")).collect():  # bounded by docs_per_label
+        sides[0 if r.y else 1].append(r.t)
     return learn(*(sorted(s) for s in sides))
 
 

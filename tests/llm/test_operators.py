@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import re
+import time
 import zlib
 from html.parser import HTMLParser
 
@@ -12,7 +14,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from permaway.llm import ann, components, decontam, htmltext, langid, licenses, neardup, packing, pii, registry, sstable, tokens, toxicity
+from permaway.llm import ann, components, decontam, htmltext, langid, licenses, neardup, packing, pii, registry, sampling, sstable, tokens, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, component_id string, bin int"
 
@@ -185,6 +187,24 @@ def test_language_of_held_out_documents(spark):
     assert got > 0.95
 
 
+def test_training_sample_is_bounded(spark):
+    """Whatever a label's rows, k ids of it; a repeated id counts once; rare labels go where there are too many."""
+    rows = [(k, "a") for k in range(5000)] + [(7, "b")] * 3000 + [(k, "c") for k in range(3)] + [(1, "d"), (None, "a"), (1, None)]
+    got = sampling.least_hashed(spark.createDataFrame(rows, "d long, y string"), 40, 3).collect()
+    n = {y: sum(r.y == y for r in got) for y in "abcd"}
+    assert n == {"a": 40, "b": 1, "c": 3, "d": 0}
+    texts = [(k, "alpha beta", "x") for k in range(300)] + [(1, f"other {k}", "x") for k in range(300)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    assert langid.train(df, F.lit(True), 20).languages == ["x"]
+
+
+def test_language_filter_takes_languages(spark):
+    model = langid.Model({"aa": ["alpha beta alpha beta"], "bb": ["gamma delta gamma delta"]})
+    df = docs(spark, [(1, "alpha beta"), (2, "gamma delta"), (3, "..."), (4, None)])
+    kept = lambda **x: {r.doc_id for r in langid.keep_identified(df, model, **x).collect()}
+    assert kept() == {1, 2} and kept(languages=("bb",)) == {2} and kept(languages=()) == set() and kept(most_bits=0.1) == set()
+
+
 def test_language_of_odd_tables(spark, edges, empty):
     model = langid.Model({"aa": ["alpha beta alpha"], "bb": ["gamma delta"]})
     got = {r.doc_id: r for r in langid.identify(edges, model).collect()}
@@ -226,9 +246,37 @@ def test_code_lengths_follow_the_definition():
 
 
 def test_toxicity_of_held_out_documents(spark):
-    d, y = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
-    got = toxicity.digest(d, toxicity.train(d, y)).join(y.select("doc_id", "toxic"), "doc_id").agg(F.avg((F.col("predicted") == F.col("toxic")).cast("int"))).first()[0]
-    assert got > 0.94
+    d, y = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    got = toxicity.digest(d, toxicity.train(d, y)).where("held_out").join(y.select("doc_id", "toxic"), "doc_id")
+    n, right, caught = got.agg(F.count("*"), F.avg((F.col("predicted") == F.col("toxic")).cast("int")), F.avg(F.when(F.col("toxic") == 1, F.col("predicted")))).first()
+    assert n > 500 and right > 0.97 and caught > 0.85  # some labels of the table contradict the texts: they hold no insult at all
+
+
+def naive_features(lexicon, folded):
+    """The hits by comparing every entry at every place, and every hit with every phrase."""
+    at = lambda k: [(a, a + len(k) - 1) for a in range(len(folded)) if folded.startswith(k, a)]
+    safe = [s for k in lexicon.exceptions for s in at(k)]
+    best = {}
+    for k, w in lexicon.entries.items():
+        for a, b in at(k):
+            if w and not any(x <= a and b <= y for x, y in safe) and w > best.get(a, (0.0, 0))[0]:
+                best[a] = (w, b)
+    kinds = len({folded[a : b + 1].strip() for a, (_, b) in best.items()})
+    total = sum(w for w, _ in best.values())
+    return np.log1p(total), 100 * total / max(20, folded.count(" ") - 1), np.log1p(kinds)
+
+
+def test_toxicity_by_brute_force(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    learned = toxicity.train(d, table(spark, sf_dir, "labels"))
+    rng = random.Random(5)
+    parts = ["trash", "trash can", "clown fish", "class clown", "idiot", "stupid question", "stupid", "can", "fish", "re", "pond scum", "scum idiot"]
+    made = [" ".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(150)]
+    for lexicon, texts in ((toxicity.learn([], []), made), (learned, [*made, *(r.text for r in d.orderBy("doc_id").limit(25).collect())])):
+        for t in texts:
+            assert lexicon.features(toxicity.fold(t)) == pytest.approx(naive_features(lexicon, toxicity.fold(t)), abs=1e-9)
+    began = time.time()
+    assert toxicity.learn([], []).score("trash can idiot " * 50_000) > 0.5 and time.time() - began < 10
 
 
 def test_toxicity_folds_and_spares_phrases(spark, edges, empty):
@@ -352,6 +400,13 @@ def test_added_spans_and_masks(spark, edges, empty):
     assert ids(pii.mask_personal_data(edges)) == WANTED and pii.digest(empty).count() == 0
 
 
+def test_many_spans_in_linear_time():
+    text = "call 406-555-0113 or 1.2.3.4, " * 20_000
+    began = time.time()
+    found = pii.spans(text)
+    assert len(found) == 40_000 and time.time() - began < 10
+
+
 def test_national_phone_numbers():
     text = "Call (406) 555-0113 today"
     assert [(text[a:b], k) for a, b, k, _ in pii.spans(text)] == [("(406) 555-0113", "local_phone")] and pii.masked(text) == "Call [LOCAL_PHONE] today"
@@ -509,6 +564,53 @@ def test_licences(spark, edges, empty):
     assert licenses.trained().accuracy > 0.95
 
 
+def naive_licence(model, doc_id, text):
+    """Every paragraph through the definition, none left out beforehand."""
+    hits, n = [], 0
+    lines = [p for line in (text or "").lower().split("\n") for p in (re.split(licenses._SENTENCE, line) if len(line) > licenses.LONG else [line])]
+    for k, p in enumerate(lines):
+        w = licenses._words(p)
+        pairs = {f"{a} {b}" for a, b in zip(w, w[1:], strict=False)}
+        at = sorted({licenses._place(f) for f in {*w, *pairs}})
+        z = (model.bias + model.weights[at].sum(0) / np.sqrt(max(1, len(at)))) / model.heat
+        c = int(np.argmax(z[1:])) + 1
+        score = float(np.exp(z[c] - z.max()) / np.exp(z - z.max()).sum())
+        sets = [{f"{a} {b}" for a, b in zip(t, t[1:], strict=False)} for t in map(licenses._words, licenses.TEMPLATES[model.classes[c]])]
+        if score >= model.threshold and any((own := len(pairs & t)) >= licenses.CONFIRM * len(t) or own >= 4 and own >= licenses.CONFIRM * len(pairs) for t in sets):
+            hits.append((-score, k, model.classes[c]))
+            n += 1
+    best = min(hits, default=(0.0, 0, None))
+    return doc_id, best[2], round(-best[0], 4) + 0.0, n, ",".join(sorted({h[2] for h in hits}))
+
+
+def test_licences_by_brute_force(spark, sf_dir):
+    """The table's documents, and texts made of perturbed templates of another seed than the training's."""
+    rng, model = random.Random(77), licenses.trained()
+    noise = [w for t in licenses.UNRELATED for w in licenses._words(t)]
+    every = [t for f in licenses.TEMPLATES.values() for t in f]
+    rows = [(r.doc_id, r.text) for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect()]
+    rows += [(50_000 + k, "\n".join(" ".join(licenses._perturbed(rng, rng.choice(every), noise)) for _ in range(rng.randint(1, 4)))) for k in range(200)]
+    rows += [(60_000, ". ".join(every)), (60_001, None), (60_002, "")]
+    got = licenses.digest(docs(spark, rows)).select("doc_id", "licence", F.round("score", 4), "n_paragraphs", "families").collect()
+    want = sorted(naive_licence(model, *r) for r in rows)
+    for g, w in zip(sorted(map(tuple, got)), want, strict=True):
+        assert g[:2] == w[:2] and g[3:] == w[3:] and g[2] == pytest.approx(w[2], abs=2e-3)
+    assert sum(w[1] is not None for w in want) > 100
+
+
+def test_licences_of_notices_not_trained_on(spark):
+    """Wordings of public notices that are no templates, and sentences that state no licence."""
+    notices = {
+        "apache": "This project is licensed under the Apache License, Version 2.0, a copy of which is in the LICENSE file.",
+        "mit": "The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software.",
+        "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted (subject to the limitations in the disclaimer below) provided that the following conditions are met.",
+        "gpl": "This file is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    }
+    rows = [(k, t) for k, t in enumerate(notices.values())] + [(90, "The ship was licensed to carry passengers under the rules of that port."), (91, "All copies of the letter were kept, and the permission was included in the file.")]
+    got = {r.doc_id: r.licence for r in licenses.digest(docs(spark, rows)).collect()}
+    assert [got[k] for k in range(4)] == list(notices) and got[90] is None and got[91] is None
+
+
 def test_wrapped_licence_lines(spark):
     """Lines of a licence without any word that names one; and candidates are all paragraphs that a template confirms."""
     mit = "of this software and associated documentation files, to deal in the Software without restriction,\nincluding without limitation the rights to use, copy, modify, merge, publish, distribute,"
