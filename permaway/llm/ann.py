@@ -4,16 +4,18 @@ Inner products become distances by one more coordinate: with M the largest norm,
 ``x' = (x, sqrt(M^2 - |x|^2))`` and ``q' = (q, 0)`` give
 ``|q' - x'|^2 = |q|^2 + M^2 - 2 q.x``.  A Gaussian projection to ``DIM``
 dimensions turns a distance d into one whose square is d^2 times a chi-square
-variable.  Every cell of vectors holds a kd-tree of its projections; a query
-takes leaves in the order of their projected distance and verifies their vectors
-with the exact inner product, until the chi-square test says that a vector
-nearer than the current k-th one would have come earlier with probability
-``1 - MISS``.
-
-Cells: a kd-tree over a bounded sample of projections splits the space; a cell
-that holds more than ``CELL`` vectors (copies of one vector, say) is dealt by
-id.  A query first searches its own cell; with the k-th distance from there, the
-same test decides which other cells it visits at all.  Every vector is indexed.
+variable.  Every cell of vectors holds a kd-tree of its projections.  A query
+descends it best first: the nearest open node is opened, or if it is a leaf, its
+vectors are verified with the exact inner product, until the chi-square test says
+that a vector nearer than the current k-th one would have come earlier with
+probability ``1 - MISS``.
+
+Cells: a kd-tree over a bounded sample of projections splits the space (``SAMPLE``
+points at least, ``PER_CELL`` for each cell, ``MOST_SAMPLE`` at most); a cell that
+holds more than ``CELL`` vectors (copies of one vector, say) is dealt by id.  A
+query first searches its own cell; with the k-th distance from there, the same
+test decides which other cells it visits at all, by descent from the root.  A
+cell is sent to as many groups as it has blocks of queries.  Every vector is indexed.
 
 Defined cases: null ids, and vectors that are null, zero, hold null or
 non-finite components, or have another length than most, take no part; ties go
@@ -24,7 +26,9 @@ are returned; equal ids never match each other.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +40,14 @@ from permaway.llm.storage import written
 DIM = 8
 MISS = 0.02
 LEAF = 64
+#: Children of a node of a tree.
+FAN = 16
 #: Vectors of one tree.
-CELL = 32_768
-#: Vectors that the cells are fitted on.
-SAMPLE = 20_000
+CELL = 8192
+#: Projections that the cells are fitted on: at least, for each cell, and at most (64 bytes each on the driver).
+SAMPLE, PER_CELL, MOST_SAMPLE = 20_000, 64, 2_000_000
 #: Queries of one group.
-BLOCK = 2048
+BLOCK = 512
 #: Leaves verified between two tests.
 STRIDE = 4
 SEED = 7
@@ -78,32 +84,45 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 
 class Tree:
-    """A kd-tree of projected points: a permutation in leaf order, and the leaves' bounds."""
+    """A kd-tree of projected points: a permutation in leaf order, and for each node its bounds and either children or rows."""
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF):
         self.order = np.arange(len(points))
-        self.starts: list[int] = []
-        stack = [(0, len(points))]
-        while stack:
-            a, b = stack.pop()
-            if b - a <= leaf:
-                self.starts.append(a)
-                continue
-            part = self.order[a:b]
-            spread = points[part].max(0) - points[part].min(0)
-            mid = (b - a) // 2
-            self.order[a:b] = part[np.argpartition(points[part, int(np.argmax(spread))], mid)]
-            stack += [(a, a + mid), (a + mid, b)]
-        self.starts.sort()
-        at = self.starts or [0]
+        self.rows: list[tuple[int, int]] = [(0, len(points))]  # of every node
+        self.children: list[tuple[int, int]] = [(0, 0)]  # numbers of the first child and behind the last; none for a leaf
+        node = 0
+        while node < len(self.rows):
+            parts = [self.rows[node]]
+            while len(parts) < FAN and any(b - a > leaf for a, b in parts):
+                parts = [x for a, b in parts for x in (self._halves(points, a, b) if b - a > leaf else [(a, b)])]
+            if len(parts) > 1:
+                self.children[node] = (len(self.rows), len(self.rows) + len(parts))
+                self.rows += parts
+                self.children += [(0, 0)] * len(parts)
+            node += 1
         sorted_ = points[self.order]
-        self.low, self.high = np.minimum.reduceat(sorted_, at), np.maximum.reduceat(sorted_, at)
-        self.ends = [*self.starts[1:], len(points)]
-
-    def distances(self, q: np.ndarray) -> np.ndarray:
-        """Squared projected distances from queries to all leaves."""
-        gap = np.maximum(0, np.maximum(self.low[None] - q[:, None], q[:, None] - self.high[None]))
-        return (gap * gap).sum(2)
+        self.low = np.array([sorted_[a:b].min(0) if b > a else np.full(DIM, np.inf) for a, b in self.rows])
+        self.high = np.array([sorted_[a:b].max(0) if b > a else np.full(DIM, -np.inf) for a, b in self.rows])
+
+    def _halves(self, points: np.ndarray, a: int, b: int) -> list[tuple[int, int]]:
+        part = self.order[a:b]
+        own = points[part]
+        mid = (b - a) // 2
+        self.order[a:b] = part[np.argpartition(own[:, int(np.argmax(np.ptp(own, axis=0)))], mid)]
+        return [(a, a + mid), (a + mid, b)]
+
+    def leaves(self, q: np.ndarray) -> Iterator[tuple[float, int, int]]:
+        """Best-first descent: squared projected distance and rows of one leaf after another, nearest first."""
+        open_ = [(0.0, 0)]
+        while open_:
+            gap, node = heappop(open_)
+            first, end = self.children[node]
+            if first == end:
+                yield gap, *self.rows[node]
+                continue
+            away = np.maximum(0, np.maximum(self.low[first:end] - q, q - self.high[first:end]))
+            for child, g in enumerate((away * away).sum(1).tolist(), first):
+                heappush(open_, (g, child))
 
 
 def nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, norm: float, k: int, bound: np.ndarray) -> list[tuple[int, int, float]]:
@@ -111,79 +130,81 @@ def nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, no
     tree = Tree(_projected(x, norm, False))
     x, ids = x[tree.order], ids[tree.order]
     found = []
-    step = max(1, (1 << 22) // max(1, len(tree.starts) * DIM))
-    for lo in range(0, len(q), step):
-        away = tree.distances(_projected(q[lo : lo + step], norm, True))
-        for j, gaps in enumerate(away):
-            vector, own, least = q[lo + j], q_ids[lo + j], bound[lo + j]
-            square = float(vector @ vector) + norm * norm
-            order = np.argsort(gaps)
-            best_s, best_i = np.zeros(0), np.zeros(0, np.int64)
-            for at in range(0, len(order), STRIDE):
-                reach = max(0.0, square - 2 * least) * STOP
-                if gaps[order[at]] > reach:
-                    break
-                rows = np.concatenate([np.arange(tree.starts[v], tree.ends[v]) for v in order[at : at + STRIDE]])
+    for vector, projected, own, least in zip(q, _projected(q, norm, True), q_ids.tolist(), bound.tolist(), strict=True):
+        square = float(vector @ vector) + norm * norm
+        best_s, best_i = np.zeros(0), np.zeros(0, np.int64)
+        leaves = tree.leaves(projected)
+        while True:
+            reach = max(0.0, square - 2 * least) * STOP
+            near = [rows for gap, *rows in islice(leaves, STRIDE) if gap <= reach]
+            if near:
+                rows = np.concatenate([np.arange(a, b) for a, b in near])
                 score = (x[rows] * vector).sum(1)
                 keep = (score >= least) & (ids[rows] != own)
-                if not keep.any():
-                    continue
                 best_s, best_i = np.concatenate([best_s, score[keep]]), np.concatenate([best_i, ids[rows[keep]]])
                 if len(best_s) > k:
                     top = np.lexsort((best_i, -best_s))[:k]
                     best_s, best_i = best_s[top], best_i[top]
                 if len(best_s) == k:
                     least = max(least, float(best_s.min()))
-            found += zip([int(own)] * len(best_s), best_i.tolist(), best_s.tolist(), strict=True)
+            if len(near) < STRIDE:  # leaves come in order: the rest is farther, or there is none
+                break
+        found += zip([own] * len(best_s), best_i.tolist(), best_s.tolist(), strict=True)
     return found
 
 
 class Cells:
-    """Splits of the projected space, fitted on a sample, with the bounds that hold for all vectors."""
+    """Splits of the projected space, fitted on a sample; node 0 is the root, ``cell`` numbers the nodes that are not split."""
 
     def __init__(self, points: np.ndarray, count: int):
-        self.splits: list[tuple[int, float, int, int]] = []  # dimension, value, left, right; leaves are -1 - number
+        self.dim, self.value, self.left, self.right, self.cell = [0], [0.0], [-1], [-1], [-1]
+        self.low, self.high = [np.full(DIM, -np.inf)], [np.full(DIM, np.inf)]
         self.count = 0
-        self.root = self._grow(points, max(1, count), np.full(DIM, -np.inf), np.full(DIM, np.inf)) if len(points) else -1
-        self.count = max(1, self.count)
+        self._grow(0, points, max(1, count))
+        self.dim, self.left, self.right, self.cell = (np.array(c, np.int64) for c in (self.dim, self.left, self.right, self.cell))
+        self.value, self.low, self.high = np.array(self.value), np.array(self.low), np.array(self.high)
 
-    def _grow(self, points: np.ndarray, count: int, low: np.ndarray, high: np.ndarray) -> int:
-        if self.count == 0 and not self.splits:
-            self.low, self.high = [], []
-        if count <= 1 or len(points) < 2 * LEAF or (spread := np.ptp(points, axis=0)).max() == 0:
+    def _grow(self, node: int, points: np.ndarray, count: int) -> None:
+        if count <= 1 or len(points) < PER_CELL or (spread := np.ptp(points, axis=0)).max() == 0:
+            self.cell[node] = self.count
             self.count += 1
-            self.low.append(low)
-            self.high.append(high)
-            return -self.count
+            return
         d = int(np.argmax(spread))
         value = float(np.median(points[:, d]))
         right = points[:, d] >= value
         if right.all():
             value = float(points[points[:, d] > value, d].min())
             right = points[:, d] >= value
-        at = len(self.splits)
-        self.splits.append((d, value, 0, 0))
-        inner_high, inner_low = high.copy(), low.copy()
-        inner_high[d], inner_low[d] = value, value
-        a = self._grow(points[~right], count // 2, low, inner_high)
-        b = self._grow(points[right], count - count // 2, inner_low, high)
-        self.splits[at] = (d, value, a, b)
-        return at
+        self.dim[node], self.value[node] = d, value
+        for side, held, share in ((self.left, points[~right], count // 2), (self.right, points[right], count - count // 2)):
+            side[node] = child = len(self.dim)
+            low, high = self.low[node].copy(), self.high[node].copy()
+            (high if side is self.left else low)[d] = value
+            for column, x in zip((self.dim, self.value, self.left, self.right, self.cell, self.low, self.high), (0, 0.0, -1, -1, -1, low, high), strict=True):
+                column.append(x)
+            self._grow(child, held, share)
 
     def of(self, points: np.ndarray) -> np.ndarray:
-        at = np.full(len(points), self.root)
-        while (inner := at >= 0).any() and self.splits:
-            d, v, a, b = (np.array(c) for c in zip(*self.splits, strict=True))
+        """The cell of each point."""
+        at = np.zeros(len(points), np.int64)
+        while len(inner := np.flatnonzero(self.cell[at] < 0)):
             k = at[inner]
-            at[inner] = np.where(points[np.flatnonzero(inner), d[k]] >= v[k], b[k], a[k])
-        return -1 - at
+            at[inner] = np.where(points[inner, self.dim[k]] >= self.value[k], self.right[k], self.left[k])
+        return self.cell[at]
 
     def within(self, points: np.ndarray, reach: np.ndarray) -> list[list[int]]:
-        """For each query the cells whose squared projected distance is at most its reach."""
-        if not self.splits:
-            return [[0]] * len(points)
-        low, high = np.array(self.low), np.array(self.high)
-        return [np.flatnonzero((np.maximum(0, np.maximum(low - p, p - high)) ** 2).sum(1) <= r).tolist() for p, r in zip(points, reach, strict=True)]
+        """For each query the cells whose squared projected distance is at most its reach, by descent from the root."""
+        found: list[list[int]] = [[] for _ in points]
+        query, node = np.arange(len(points)), np.zeros(len(points), np.int64)
+        while len(query):
+            p = points[query]
+            keep = (np.maximum(0, np.maximum(self.low[node] - p, p - self.high[node])) ** 2).sum(1) <= reach[query]
+            query, node = query[keep], node[keep]
+            done = self.cell[node] >= 0
+            for q, c in zip(query[done].tolist(), self.cell[node[done]].tolist(), strict=True):
+                found[q].append(c)
+            query, node = np.repeat(query[~done], 2), np.column_stack([self.left[node[~done]], self.right[node[~done]]]).ravel()
+        return found
 
 
 def able(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -196,6 +217,21 @@ def able(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "em
     return x.where(F.size("v") == (size.s if size else 0))
 
 
+def _sampled(x: DataFrame, norm: float, total: int, size: int) -> np.ndarray:
+    """Projections of some ``size`` of the vectors, those with the smallest hashes of their id, in the order of the hashes."""
+
+    def run(batches):
+        for batch in batches:
+            if len(batch):
+                p = _projected(_matrix(pa.chunked_array([batch.column(1)])), norm, False)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(p), pa.list_(pa.float64()))], ["h", "p"])
+
+    h = F.xxhash64("id")
+    few = x.where(F.shiftrightunsigned(h, 1) / F.lit(2.0**63) < size / total).select(h.alias("h"), "v")
+    got = few.mapInArrow(run, "h long, p array<double>").toPandas()  # bounded by MOST_SAMPLE
+    return np.stack(got.sort_values("h", kind="stable")["p"]) if len(got) else np.zeros((0, DIM))
+
+
 def _grouped(search: Callable, cells: DataFrame, queries: DataFrame) -> DataFrame:
     return cells.groupBy("cell", "part", "block").cogroup(queries.groupBy("cell", "part", "block")).applyInArrow(search, FOUND)
 
@@ -208,8 +244,8 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     norm = math.sqrt(square) * (1 + 1e-12)
-    sample = x.select("v").orderBy(F.xxhash64("id")).limit(SAMPLE).toPandas()["v"] if total > cell else []
-    cells = Cells(_projected(np.stack(sample), norm, False) if len(sample) else np.zeros((0, DIM)), -(-total // cell))
+    wanted = min(-(-total // cell), MOST_SAMPLE // PER_CELL)
+    cells = Cells(_sampled(x, norm, total, max(SAMPLE, wanted * PER_CELL)) if wanted > 1 else np.zeros((0, DIM)), wanted)
 
     def assign(query: bool):
         def run(batches):
@@ -223,8 +259,8 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str
     queries = written(x.where(is_query).mapInArrow(assign(True), "id long, v array<double>, cell long"), "queries")
     sizes = {r.cell: r["count"] for r in held.groupBy("cell").count().toLocalIterator()}  # one number for each cell
     parts = {c: -(-n // cell) for c, n in sizes.items()}
-    part_table = spark.createDataFrame(list(parts.items()), "cell long, parts long")
-    held = held.join(F.broadcast(part_table) if len(parts) < 100_000 else part_table, "cell").withColumn("part", F.pmod(F.xxhash64("id"), "parts")).drop("parts")
+    part_table = F.broadcast(spark.createDataFrame(list(parts.items()), "cell long, parts long"))  # at most MOST_SAMPLE / PER_CELL rows
+    held = held.join(part_table, "cell").withColumn("part", F.pmod(F.xxhash64("id"), "parts")).drop("parts")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
@@ -235,11 +271,11 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str
         return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
 
     def run(routed: DataFrame) -> DataFrame:
-        """Searches the routed queries (id, v, cell, bound) in all parts of their cells."""
-        most = routed.groupBy("cell").count().agg(F.max("count")).first()[0] or 0
-        blocks = max(1, -(-most // BLOCK))
-        q = routed.join(F.broadcast(part_table) if len(parts) < 100_000 else part_table, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
-        c = held.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        """Searches the routed queries (id, v, cell, bound) in all parts of their cells; a cell goes to each block of its own queries."""
+        blocks = F.broadcast(routed.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("long").alias("blocks")))  # a row for each cell at most
+        numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        q = routed.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).join(part_table, "cell").withColumn("part", numbers("parts")).drop("parts", "blocks")
+        c = held.join(blocks, "cell").withColumn("block", numbers("blocks")).drop("blocks")
         return _grouped(search, c, q)
 
     lowest = F.lit(-1e300)

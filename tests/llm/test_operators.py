@@ -532,6 +532,41 @@ def test_neighbours_recall(spark):
         assert len({*zip(got.query_id, got.vec_id, strict=True)} & {*want}) / len(want) >= 0.95
 
 
+def test_trees_and_cells_by_brute_force():
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.standard_normal((3000, ann.DIM)), np.tile(rng.standard_normal(ann.DIM), (500, 1))])
+    tree = ann.Tree(x)
+    for q in rng.standard_normal((20, ann.DIM)) * 2:
+        leaves = list(tree.leaves(q))
+        gaps = [g for g, *_ in leaves]
+        assert gaps == sorted(gaps) and sorted(k for _, a, b in leaves for k in range(a, b)) == list(range(len(x)))
+        assert all(g <= ((x[tree.order[a:b]] - q) ** 2).sum(1).min() + 1e-9 for g, a, b in leaves)
+    cells = ann.Cells(x, 12)
+    own = cells.of(x)
+    assert cells.count > 6 and set(own) <= set(range(cells.count))
+    reach = rng.random(len(x)) * 3
+    for p, r, c, near in zip(x[::50], reach[::50], own[::50], cells.within(x, reach)[::50], strict=True):
+        assert c in near and set(own[((x - p) ** 2).sum(1) <= r]) <= set(near)
+
+
+def test_one_hot_cell_goes_to_its_own_blocks_only(spark, monkeypatch):
+    """With half of the queries in one cell, the other cells' vectors are sent once for their own queries."""
+    monkeypatch.setattr(ann, "BLOCK", 20)
+    rows, plain = [], ann._grouped
+
+    def counted(search, cells, queries):
+        rows.append((cells.count(), queries.count()))
+        return plain(search, cells, queries)
+
+    monkeypatch.setattr(ann, "_grouped", counted)
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((1200, 16)) * 0.2 + 3 * rng.standard_normal((12, 16)).repeat(100, 0)
+    x[:500] = x[0] + 1e-3 * rng.standard_normal((500, 16))
+    df = spark.createDataFrame([(k, v.tolist(), "clash", 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, cell string, part int")
+    got = ann.neighbours(df, (F.col("id") < 400) | (F.col("id") % 20 == 0), cell=100)
+    assert got.groupBy("query_id").count().where("count = 20").count() == 440 and rows[0][0] < 500 * 22 + 3 * 700
+
+
 def test_neighbours_of_small_tables(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert ann.digest(empty).count() == 0
