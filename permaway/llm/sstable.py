@@ -15,8 +15,12 @@ sign flipped, so that bytes sort as ids do.  A value is the ids as little-endian
 unsigned integers of 2 or 4 bytes (the footer says which).
 
 Defined cases: null text is the end id alone; a null id sorts first; equal ids
-stand next to each other, in the order of their texts; empty input writes no
+stand next to each other, in the order of their texts' hashes; empty input writes no
 shard and reads as no rows.
+
+Shards are ranges of ids; equal ids are dealt by the hashes of their texts, so a
+shard is bounded however often an id repeats.  The manifest has the first and
+last key of each shard: a lookup bisects shards, then blocks, then restart points.
 """
 
 from __future__ import annotations
@@ -25,11 +29,11 @@ import struct
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,14 +41,17 @@ from pyspark.sql import functions as F
 from permaway.llm.storage import arrow_batches, new_dir, written
 from permaway.llm.tokens import default_path, encoder
 from permaway.llm.workers import serving
+from permaway.paths import located, opened
 
 MAGIC = b"PWSST001"
 FOOTER = struct.Struct("<QQQQQQI8s")
 BLOCK = 64 << 10
 RESTART = 16
 BLOOM_BITS, BLOOM_HASHES = 10, 7
-#: Documents of one shard.
-SHARD_DOCS = 8192
+#: Documents of one shard, as long as that makes no more than so many shards: the driver holds a small row for each.
+SHARD_DOCS, MOST_SHARDS = 8192, 50_000
+#: Documents read back in one batch.
+READ_DOCS = 10_000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -217,21 +224,15 @@ class Reader:
                 yield id_of(key), self._ids(value)
 
 
-def _located(path: str):
-    if "://" in path or path.startswith("file:"):
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), path
-
-
 def open_shard(path: str) -> Reader:
-    at, inner = _located(path)
+    at, inner = opened(path)
     return Reader(at.open_input_file(inner))
 
 
 def _write(folder: str, vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        at, inner = _located(folder)
+        at, inner = opened(folder)
         encode = encoder(vocabulary)
         wide = encode.whole.get_vocab_size() > 1 << 16
         out = None
@@ -246,7 +247,10 @@ def _write(folder: str, vocabulary: str):
         if out is not None:
             shard.close()
             out.close()
-            yield pa.RecordBatch.from_pydict({"shard": [task.partitionId()], "path": [f"{folder}/{name}"], "n_docs": [len(shard.keys)], "n_tokens": [shard.tokens]})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([task.partitionId()], pa.int64()), pa.array([f"{folder}/{name}"]), pa.array([len(shard.keys)], pa.int64()), pa.array([shard.tokens], pa.int64()), pa.array([shard.keys[0]], pa.binary()), pa.array([shard.keys[-1]], pa.binary())],
+                ["shard", "path", "n_docs", "n_tokens", "first", "last"],
+            )
 
     return run
 
@@ -254,30 +258,35 @@ def _write(folder: str, vocabulary: str):
 def write_shards(docs: DataFrame, folder: str, path: str | None = None, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """Writes shards in ascending id order below ``folder``; the manifest names those of the tasks that succeeded.
 
-    Manifest: shard, path, n_docs, n_tokens, start (ids of all shards before).
+    Manifest: shard, path, n_docs, n_tokens, first and last (keys), start (ids of all shards before).
     """
-    arrow_batches(docs.sparkSession)
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shards = max(1, -(-narrow.select("doc_id").count() // shard_docs))
-    ordered = narrow.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    manifest = written(ordered.mapInArrow(serving("tokens", _write(folder, path or default_path())), "shard long, path string, n_docs long, n_tokens long"), "manifest")
-    # one small row per shard: the driver adds up where each begins
+    spark = docs.sparkSession
+    arrow_batches(spark)
+    folder = located(spark, folder)
+    names = ("doc_id", "text", "h", "row")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumns({"h": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    shards = min(MOST_SHARDS, max(1, -(-docs.select("doc_id").count() // shard_docs)))
+    order = [F.col(c).asc_nulls_first() for c in ("doc_id", "h", "row")]
+    ordered = keyed.select(*names).repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    manifest = written(ordered.mapInArrow(serving("tokens", _write(folder, path or default_path())), "shard long, path string, n_docs long, n_tokens long, first binary, last binary"), "manifest")
+    # one small row per shard, MOST_SHARDS at most: the driver adds up where each begins
     rows, start = [], 0
     for r in manifest.orderBy("shard").toLocalIterator():
-        rows.append((r.shard, r.path, r.n_docs, r.n_tokens, start))
+        rows.append((*r, start))
         start += r.n_tokens
-    return docs.sparkSession.createDataFrame(rows, "shard long, path string, n_docs long, n_tokens long, start long")
+    return spark.createDataFrame(rows, "shard long, path string, n_docs long, n_tokens long, first binary, last binary, start long")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            rows: list[tuple] = []
-            for doc_id, ids in open_shard(path):
-                rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-                start += len(ids)
-            ids_, starts, sizes, crcs = (list(x) for x in zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(ids_, pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            shard = iter(open_shard(path))
+            while rows := list(islice(shard, READ_DOCS)):
+                sizes = [len(ids) for _, ids in rows]
+                starts = start + np.cumsum([0, *sizes])
+                start = int(starts[-1])
+                columns = ([d for d, _ in rows], starts[:-1], sizes, [zlib.crc32(ids.astype("<u4").tobytes()) for _, ids in rows])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -287,13 +296,19 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
 
 def lookup(spark: SparkSession, manifest: DataFrame, doc_ids: list[int]) -> dict[int, np.ndarray]:
-    """The ids of a few documents: each shard's filter is asked first, then its index."""
-    found = {}
-    for r in manifest.select("path").toLocalIterator():
-        shard = open_shard(r.path)
-        for doc_id in doc_ids:
-            if doc_id not in found and (ids := shard.get(doc_id)) is not None:
+    """The ids of a few documents: only shards whose keys can hold one are opened; of equal ids the first counts."""
+    shards = sorted((bytes(r.first), bytes(r.last), r.path) for r in manifest.select("first", "last", "path").collect())  # MOST_SHARDS at most
+    lasts, readers, found = [last for _, last, _ in shards], {}, {}
+    for doc_id in doc_ids:
+        key = key_of(doc_id)
+        for first, _, path in islice(shards, bisect_left(lasts, key), None):
+            if first > key:
+                break
+            if path not in readers:
+                readers[path] = open_shard(path)
+            if (ids := readers[path].get(doc_id)) is not None:
                 found[doc_id] = ids
+                break
     return found
 
 

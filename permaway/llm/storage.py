@@ -4,23 +4,29 @@ from __future__ import annotations
 
 import atexit
 import getpass
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from permaway.paths import located
 from permaway.shipping import ship
 
 _MADE: list[tuple[SparkSession, str]] = []
 
-#: Arrow batches of this many rows at most, so that a batch of long texts fits a Python worker.
-BATCH_ROWS = 1000
+#: Arrow batches of this many rows and bytes at most, so that a batch of long texts fits a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """The folder named in spark.checkpoint.dir; a local one only where that is unset and all tasks run in this process, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/") if named else f"{tempfile.gettempdir()}/permaway-{getpass.getuser()}"
+    if named:
+        return located(spark, named.rstrip("/"))
+    if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return located(spark, f"{tempfile.gettempdir()}/permaway-{getpass.getuser()}")
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
@@ -40,7 +46,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def arrow_batches(spark: SparkSession) -> None:
     """What every operator with Python workers needs: the package there, and batches that fit."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = re.fullmatch(r"(-?\d+)([kmg]?)b?", spark.conf.get(key).lower())
+        if not now or not 0 < int(now[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[now[2]] <= most:  # the session's own smaller bound stays
+            spark.conf.set(key, str(most))
 
 
 def drop_dirs() -> None:

@@ -6,6 +6,7 @@ import random
 import re
 import time
 import zlib
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import duckdb
@@ -14,7 +15,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from permaway.llm import ann, components, decontam, htmltext, langid, licenses, neardup, packing, pii, registry, sampling, sstable, tokens, toxicity
+from permaway.llm import ann, components, decontam, htmltext, langid, licenses, neardup, packing, pii, registry, sampling, sstable, storage, tokens, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, component_id string, bin int"
 
@@ -291,10 +292,15 @@ def test_toxicity_folds_and_spares_phrases(spark, edges, empty):
 # ---- packing, token shards
 
 
-def naive_ids(text):
+@lru_cache(maxsize=1)
+def library():
     from tokenizers import Tokenizer
 
-    return [*Tokenizer.from_file(tokens.default_path()).encode(text or "", add_special_tokens=False).ids, 0]
+    return Tokenizer.from_file(tokens.default_path())
+
+
+def naive_ids(text):
+    return [*library().encode(text or "", add_special_tokens=False).ids, 0]
 
 
 def test_encoder_equals_the_library(spark, sf_dir):
@@ -350,7 +356,7 @@ def test_best_fit_takes_the_fullest_bin():
 def test_shards_round_trip(spark, edges, empty, tmp_path):
     manifest = sstable.write_shards(edges, str(tmp_path / "shards"), shard_docs=5)
     got = sstable.read_shards(manifest).toPandas().sort_values("start")
-    order = sorted(EDGES, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    order = sorted(EDGES, key=lambda r: (r[0] is not None, r[0] or 0))
     want = [naive_ids(t) for _, t in order]
     assert [None if pd.isna(d) else int(d) for d in got.doc_id] == [d for d, _ in order]
     assert got.n_tokens.tolist() == list(map(len, want)) and got.start.tolist() == np.concatenate([[0], np.cumsum(list(map(len, want)))[:-1]]).tolist()
@@ -360,6 +366,36 @@ def test_shards_round_trip(spark, edges, empty, tmp_path):
     assert sstable.round_trip(empty).count() == 0
 
 
+def test_shards_of_repeated_ids(spark, tmp_path, monkeypatch):
+    """One id and the null id hold most rows: they are dealt over shards, and a lookup opens only shards that can hold its key."""
+    rows = [(7, f"text {k % 50}") for k in range(400)] + [(None, f"none {k}") for k in range(200)] + [(k, f"own {k}") for k in range(100)]
+    manifest = sstable.write_shards(docs(spark, rows).repartition(5), str(tmp_path / "shards"), shard_docs=100)
+    sizes = [r.n_docs for r in manifest.collect()]
+    assert sum(sizes) == 700 and max(sizes) < 250
+    got = sstable.read_shards(manifest).toPandas().sort_values("start")
+    keys = [-1 if pd.isna(d) else int(d) for d in got.doc_id]
+    assert keys == sorted(keys) and got.start.tolist() == np.concatenate([[0], np.cumsum(got.n_tokens)[:-1]]).tolist()
+    want = sorted((-1 if d is None else d, zlib.crc32(np.array(naive_ids(t), "<u4").tobytes())) for d, t in rows)
+    assert sorted(zip(keys, got.ids_crc32, strict=True)) == want
+    opened, plain = [], sstable.open_shard
+    monkeypatch.setattr(sstable, "open_shard", lambda p: opened.append(p) or plain(p))
+    found = sstable.lookup(spark, manifest, [50, 99, 500])
+    assert set(found) == {50, 99} and found[99].tolist() == naive_ids("own 99") and len(opened) <= 3 < len(sizes)
+
+
+def test_scratch_needs_a_shared_folder(spark, monkeypatch):
+    class Cluster:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext, conf = Cluster, type("conf", (), {"get": staticmethod(lambda k, d=None: d)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(Session)
+    assert storage.shared_dir(spark).startswith("file:///")
+
+
 def test_shard_lookup_over_many_blocks(tmp_path):
     path = str(tmp_path / "x.sst")
     with open(path, "wb") as out:
