@@ -238,21 +238,23 @@ def direct_arrays(lat: np.ndarray, lon: np.ndarray, azimuth: np.ndarray, metres:
 
 
 class _Steps:
-    """Named steps that refer to earlier ones: the analyser stacks them as projections, in one pass."""
+    """Named steps that refer to earlier ones, in layers: each is one projection, and all run in one pass."""
 
     def __init__(self, **first: Column):
-        self.steps: list[Column] = []
+        self.layers: list[list[Column]] = []
         self.add(**first)
 
     def __getitem__(self, name: str) -> Column:
         return F.col(f"_g_{name}")
 
     def add(self, **values: Column) -> None:
-        self.steps += [v.alias(f"_g_{n}") for n, v in values.items()]
+        self.layers.append([v.alias(f"_g_{n}") for n, v in values.items()])
 
     def select(self, df: DataFrame, keep: list[str], results: dict[str, Column]) -> DataFrame:
+        for layer in self.layers:
+            df = df.select("*", *layer)
         # a generator's output: filters on it stay above the steps instead of multiplying them
-        return df.select(*df.columns, *self.steps).select(*keep, F.inline(F.array(F.struct(*(r.alias(n) for n, r in results.items())))))
+        return df.select(*keep, F.inline(F.array(F.struct(*(r.alias(n) for n, r in results.items())))))
 
 
 def with_inverse(df: DataFrame, lat1: str, lon1: str, lat2: str, lon2: str, out: tuple[str, ...] = ("distance_m", "azimuth", "final_azimuth"), ell: Ellipsoid = WGS84, steps: int = STEPS) -> DataFrame:

@@ -77,6 +77,9 @@ def direct(name: str, source: str) -> str:
 )"""
 
 
+#: The fixture as files have it: 8, 8 and 3 decimals.
+PRINTED = f"pts AS (SELECT section, seq - 1 AS i, cast(printf('%.8f', lat) AS double) AS lat, cast(printf('%.8f', lon) AS double) AS lon, cast(printf('%.3f', alt) AS double) AS alt FROM ({TRACKS}) AS t)"
+
 #: Anchors with their Bezier handles (tension 0.5).
 HANDLES = """hand AS (
   SELECT section, i, lat, lon, alt, n,
@@ -126,7 +129,7 @@ RESAMPLED = f"""{FLAT}, {legs_of("flat", "fleg")}, {inverse("fi", "fleg")}, cum
 #: Sums that identify a set of points to the digits both engines share.
 SUMS = "cast(count(*) AS bigint) AS n_points, round(sum(lat) / count(*), 7) AS mean_lat, round(sum(lon) / count(*), 7) AS mean_lon"
 
-DENSE = f"""{POINTS}, {legs_of("pts", "leg")}, {inverse("li", "leg")}, many AS (
+DENSE = f"""{legs_of("pts", "leg")}, {inverse("li", "leg")}, many AS (
   SELECT p.section, p.i, p.lat, p.lon, p.alt, l.d, l.az1, CASE WHEN l.d > 800 THEN cast(ceil((l.d - 800) / 600) AS integer) ELSE 0 END AS n FROM pts AS p LEFT JOIN li AS l ON l.g = p.section AND l.i = p.i
 ), added AS (
   SELECT section || ':' || i AS g, k AS i, section, i AS at, lat AS y1, lon AS x1, az1 AS az, k * 600e0 AS s, alt FROM many, unnest(range(1, n + 1)) AS r(k)
@@ -135,6 +138,50 @@ DENSE = f"""{POINTS}, {legs_of("pts", "leg")}, {inverse("li", "leg")}, many AS (
 )"""
 
 
+#: The whole chain, from added points to radius and chainage: lines(section, i, lat, lon, alt, radius, chainage).
+CHAIN = f"""{DENSE}, dpts AS (
+  SELECT section, row_number() OVER (PARTITION BY section ORDER BY o) - 1 AS i, lat, lon, alt FROM dense
+), {RESAMPLED.replace("FROM pts WINDOW", "FROM dpts WINDOW")}, {legs_of("res", "rleg")}, {inverse("ri", "rleg")}, TURN_, lines AS (
+  SELECT res.*, CASE WHEN dt > 1e-4 AND chord / 2 / sin(dt / 2) <= 5000 THEN chord / 2 / sin(dt / 2) ELSE 0 END AS radius,
+         coalesce(sum(ri.d) OVER (PARTITION BY res.section ORDER BY res.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chainage
+  FROM res LEFT JOIN turn ON turn.g = res.section AND turn.i = res.i LEFT JOIN ri ON ri.g = res.section AND ri.i = res.i
+)"""
+
+#: Lines of centerline tables, one for each section, and what stands first and last there.
+TABLES = """tables AS (
+  SELECT section, cast(count(*) AS bigint) AS n_lines, arg_min(line, i) AS first_line, arg_max(printf('%.3f', chainage / 1000), i) AS last_km
+  FROM (SELECT *, section || ',' || printf('%.8f,%.8f,%.3f,%.3f,%.1f', lat, lon, alt, chainage / 1000, radius) AS line FROM lines) AS l GROUP BY section
+)"""
+
+#: Style elements of the documents, from the colours in their order.
+STYLES = "(SELECT string_agg(printf('  <Style id=\"style_%d\">\n    <LineStyle>\n      <color>%s</color>\n      <width>3</width>\n    </LineStyle>\n    <PolyStyle>\n      <color>%s</color>\n    </PolyStyle>\n  </Style>\n', k, c, c), '' ORDER BY k) FROM (SELECT k, ([COLORS_])[k + 1] AS c FROM unnest(range(10)) AS r(k)) AS s)".replace(
+    "COLORS_", ", ".join(f"'{c}'" for c in ("ff00ff00", "ff0000ff", "ffffff00", "ff00a5ff", "ff00ffff", "ffff00ff", "ff9e9e5f", "ff008cff", "ff800000", "ff800080"))
+) + """ || '  <Style id="post_style">\n    <IconStyle>\n      <color>ffffffff</color>\n      <scale>0.4</scale>\n      <Icon>\n        <href>http://maps.google.com/mapfiles/kml/shapes/placemark_circle.png</href>\n      </Icon>\n    </IconStyle>\n    <LabelStyle>\n      <scale>0.7</scale>\n    </LabelStyle>\n  </Style>\n'"""
+HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<kml xmlns="http://www.opengis.net/kml/2.2">\n<Document>\n'
+
+
+def _drawn(km: str, height: str = "'0.000'", mode: str = "clampToGround", indent: str = "      ", seen: tuple[str, str] = ("1", "0")) -> str:
+    """CTEs that end in drawn(line, o, whole, low, posts) from pts; ``km``: a point's kilometrage."""
+    see = ["" if not v else f"{indent}  <visibility>{v}</visibility>\n" for v in seen]
+    mark = lambda extra, v, c: f"'{indent}<Placemark>\n{indent}  <name>' || line || '{extra}</name>\n{v}{indent}  <styleUrl>#style_' || (o % 10) || '</styleUrl>\n{indent}  <LineString>\n{indent}    <extrude>0</extrude>\n{indent}    <tessellate>1</tessellate>\n{indent}    <altitudeMode>{mode}</altitudeMode>\n{indent}    <coordinates>\n' || {c} || '{indent}    </coordinates>\n{indent}  </LineString>\n{indent}</Placemark>\n'"
+    return f"""shown AS (
+  SELECT section AS line, i, count(*) OVER (PARTITION BY section) AS n, printf('%.8f,%.8f,', lon, lat) || {height} AS c, {km} AS km FROM pts
+), grouped AS (
+  SELECT line, row_number() OVER (ORDER BY line) AS o, any_value(n) AS n, string_agg('{indent}      ' || c || '\n', '' ORDER BY i) AS full_c,
+         string_agg(CASE WHEN i % 10 = 0 OR i = n - 1 THEN '{indent}      ' || c || '\n' ELSE '' END, '' ORDER BY i) AS low_c,
+         string_agg(CASE WHEN km IS NULL THEN '' ELSE '      <Placemark>\n        <name>km ' || printf('%.3f', km) || '</name>\n        <visibility>0</visibility>\n        <styleUrl>#post_style</styleUrl>\n        <Point>\n          <altitudeMode>{mode}</altitudeMode>\n          <coordinates>' || c || '</coordinates>\n        </Point>\n      </Placemark>\n' END, '' ORDER BY i) AS posts
+  FROM shown GROUP BY line
+), drawn AS (
+  SELECT line, cast(o AS integer) AS o, {mark("", see[0], "full_c")} AS whole, CASE WHEN n > 20 THEN {mark(" - Low Detail", see[1], "low_c")} END AS low, posts FROM grouped
+)"""
+
+
+#: A document with folders of lines and posts.
+DOCUMENT = f"""'{HEAD}  <name>Centerlines</name>\n  <description>Generated from CSV files</description>\n' || {STYLES} || '  <Folder>\n    <name>Lines</name>\n' ||
+  string_agg('    <Folder>\n      <name>' || line || '</name>\n' || whole || coalesce(low, '') || '    </Folder>\n', '' ORDER BY o) || '  </Folder>\n  <Folder>\n    <name>Posts</name>\n    <visibility>0</visibility>\n' ||
+  string_agg('    <Folder>\n      <name>' || line || '</name>\n' || posts || '    </Folder>\n', '' ORDER BY o) || '  </Folder>\n</Document>\n</kml>'"""
+
+
 def hermite(tension: float) -> str:
     s = (1 - tension) / 2
     value = lambda c: f"(2*t*t*t - 3*t*t + 1) * {c} + (-2*t*t*t + 3*t*t) * {c}2 + (t*t*t - 2*t*t + t) * {s!r} * ({c}2 - {c}0) + (t*t*t - t*t) * {s!r} * ({c}3 - {c})"
@@ -150,7 +197,25 @@ def oracle_sql() -> dict[str, str]:
     ahead = f"WITH RECURSIVE {POINTS}, go AS (SELECT section AS g, i, lat AS y1, lon AS x1, cast(i % 12 AS double) / 2 - 3 AS az, 100e0 + 50e0 * i AS s FROM pts), {direct('r', 'go')}"
     three = lambda shift: f"t3 AS (SELECT section AS g, i, lag(lat, {shift}) OVER w AS ya, lag(lon, {shift}) OVER w AS xa, lat AS yb, lon AS xb, lead(lat, {shift}) OVER w AS yc, lead(lon, {shift}) OVER w AS xc FROM POINTS_ WINDOW w AS (PARTITION BY section ORDER BY i)), sa AS (SELECT g, i, ya AS y1, xa AS x1, yb AS y2, xb AS x2 FROM t3 WHERE ya IS NOT NULL AND yc IS NOT NULL), sb AS (SELECT g, i, yb AS y1, xb AS x1, yc AS y2, xc AS x2 FROM t3 WHERE ya IS NOT NULL AND yc IS NOT NULL), sc AS (SELECT g, i, ya AS y1, xa AS x1, yc AS y2, xc AS x2 FROM t3 WHERE ya IS NOT NULL AND yc IS NOT NULL), {inverse('ia', 'sa')}, {inverse('ib', 'sb')}, {inverse('ic', 'sc')}, turn AS (SELECT g, i, CASE WHEN abs(ia.az1 - ib.az1) > pi() THEN 2 * pi() - abs(ia.az1 - ib.az1) ELSE abs(ia.az1 - ib.az1) END AS dt, ic.d AS chord FROM ia JOIN ib USING (g, i) JOIN ic USING (g, i))"
     smooth = "avg({0}) OVER (PARTITION BY section ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)"
+    chain = CHAIN.replace("TURN_", three(2).replace("POINTS_", "res"))
+    tenth = "CASE WHEN i % 10 = 0 THEN i / 8e0 END"
+    placemarks = "SELECT section || '.kml' AS file, section, cast(count(*) AS bigint) AS n_points, round(avg(lat), 7) AS mean_lat FROM pts GROUP BY section UNION ALL SELECT DISTINCT section || '.kml', 'Section_1', cast(2 AS bigint), -33e0 FROM pts"
     return {
+        "kml_scan": f"WITH {PRINTED} {placemarks}",
+        "placemark_files": f"WITH {PRINTED} {placemarks}",
+        "csv_generic": f"WITH {POINTS} SELECT section, cast(i AS bigint) AS idx, alt AS altitude FROM pts",
+        "csv_plain": f"WITH {POINTS} SELECT section, cast(i AS varchar) AS idx, ' ' || printf('%.3f', alt) AS altitude FROM pts",
+        "csv_lines": f"WITH RECURSIVE {POINTS}, {chain} SELECT section || '.kml' AS file, cast(count(*) AS bigint) AS n_lines, round(sum(lat) / count(*), 6) AS mean_lat, round(sum(lon) / count(*), 6) AS mean_lon, round(max(chainage) / 1000, 2) AS length_km FROM lines GROUP BY section",
+        "csv_files": f"WITH RECURSIVE {POINTS}, {chain}, {TABLES} SELECT section || '.csv' AS file_name, n_lines, first_line, last_km FROM tables",
+        "centerline_archive": f"WITH RECURSIVE {PRINTED}, {chain}, {TABLES} SELECT section || '.csv' AS file_name, n_lines, first_line, last_km FROM tables",
+        "centerlines": f"WITH RECURSIVE {POINTS}, {chain} SELECT section, cast(count(*) AS bigint) AS n_points, round(max(chainage), 2) AS length_m, cast(sum(CASE WHEN radius > 0 THEN 1 ELSE 0 END) AS bigint) AS n_curved FROM lines GROUP BY section",
+        "kml_lines": f"WITH {POINTS}, {_drawn(tenth)} SELECT line, o AS style_ord, whole AS content FROM drawn",
+        "kml_lowdetail": f"WITH {POINTS}, {_drawn(tenth)} SELECT line, o AS style_ord, low AS content FROM drawn WHERE low IS NOT NULL",
+        "kml_posts": f"WITH {POINTS}, {_drawn(tenth)} SELECT line, o AS style_ord, posts AS content FROM drawn",
+        "kml_document": f"WITH {POINTS}, {_drawn(tenth)} SELECT {DOCUMENT} AS content FROM drawn",
+        "lines_archive": f"WITH {PRINTED}, {_drawn('i / 8e0')} SELECT 'doc.kml' AS file_name, md5(content) AS content_md5, cast(length(content) AS bigint) AS n_chars FROM (SELECT {DOCUMENT} AS content FROM drawn) AS d",
+        "kml_simple": f"WITH {POINTS}, {_drawn(tenth, 'printf(\'%.3f\', alt + 3)', 'absolute', '  ', ('', ''))} SELECT '{HEAD}  <name>Centerlines</name>\n  <description>Generated from CSV files</description>\n' || {STYLES} || string_agg(whole, '' ORDER BY o) || '</Document>\n</kml>' AS content FROM drawn",
+        "kml_index": f"SELECT '{HEAD}  <name>Centerlines Index</name>\n  <description>Index file linking all centerline KMZ files</description>\n  <NetworkLink>\n    <name>Lines</name>\n    <visibility>1</visibility>\n    <Link>\n      <href>lines.kmz</href>\n    </Link>\n  </NetworkLink>\n</Document>\n</kml>' AS content",
         "leg_metrics": f"{legs} SELECT g AS section, cast(count(*) AS bigint) AS n_legs, round(sum(d), 2) AS length_m, round(max(d), 2) AS longest_m FROM r GROUP BY g",
         "geodesic_inverse": f"{legs} SELECT g AS section, cast(i AS bigint) AS idx, round(d, 2) AS distance_m, round(az1, 7) AS azimuth, round(az2, 7) AS final_azimuth FROM r",
         "geodesic_distance": f"WITH RECURSIVE {POINTS}, far AS (SELECT section AS g, i, -33e0 AS y1, 151e0 AS x1, lat AS y2, lon AS x2 FROM pts), {inverse('r', 'far', 6356752.314140)} SELECT g AS section, cast(i AS bigint) AS idx, round(d, 2) AS distance_m FROM r",
@@ -162,7 +227,7 @@ def oracle_sql() -> dict[str, str]:
         "having_min_points": f"SELECT section, cast(count(*) AS bigint) AS n_points FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM (SELECT t.*, cast(substr(section, 2) AS bigint) AS user_id FROM ({TRACKS}) AS t) AS a WHERE seq <= 1 + user_id % 6) AS b WHERE n > 3 GROUP BY section",
         "section_key": "SELECT section_key, cast(count(*) AS bigint) AS n FROM (SELECT CASE WHEN event_id % 7 = 0 THEN 'default' ELSE event_type END AS section_key FROM events) AS t GROUP BY section_key",
         "section_order": "SELECT name, cast(row_number() OVER (ORDER BY CASE WHEN regexp_full_match(name, '0|[1-9][0-9]*') THEN 0 ELSE 1 END, CASE WHEN regexp_full_match(name, '0|[1-9][0-9]*') THEN cast(name AS bigint) END, first) AS integer) AS section_ord FROM (SELECT name, min(event_id) AS first FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN cast(user_id % 40 AS varchar) ELSE event_type END AS name FROM events) AS a GROUP BY name) AS b",
-        "densify": f"WITH RECURSIVE {DENSE} SELECT section, {SUMS}, round(sum(alt), 2) AS sum_alt FROM dense GROUP BY section",
+        "densify": f"WITH RECURSIVE {POINTS}, {DENSE} SELECT section, {SUMS}, round(sum(alt), 2) AS sum_alt FROM dense GROUP BY section",
         "spline_control_points": f"WITH {POINTS}, {HANDLES}, c AS (SELECT section, 3 * i AS idx, lat, lon FROM hand UNION ALL SELECT section, 3 * i - 1, in_lat, in_lon FROM hand WHERE in_lat IS NOT NULL UNION ALL SELECT section, 3 * i + 1, out_lat, out_lon FROM hand WHERE out_lat IS NOT NULL) SELECT section, cast(idx AS bigint) AS idx, round(lat, 7) AS latitude, round(lon, 7) AS longitude FROM c",
         "lerp2d": f"WITH {POINTS} SELECT section, cast(i AS bigint) AS idx, round(lat + (la - lat) * 0.25e0, 7) AS latitude, round(lon + (lo - lon) * 0.25e0, 7) AS longitude, 0e0 AS altitude FROM (SELECT *, lead(lat) OVER w AS la, lead(lon) OVER w AS lo FROM pts WINDOW w AS (PARTITION BY section ORDER BY i)) AS a WHERE la IS NOT NULL",
         "lerp3d": f"WITH {POINTS} SELECT section, cast(i AS bigint) AS idx, round(lat + (la - lat) * 0.25e0, 7) AS latitude, round(lon + (lo - lon) * 0.25e0, 7) AS longitude, round(alt + (al - alt) * 0.25e0, 4) AS altitude FROM (SELECT *, lead(lat) OVER w AS la, lead(lon) OVER w AS lo, lead(alt) OVER w AS al FROM pts WINDOW w AS (PARTITION BY section ORDER BY i)) AS a WHERE la IS NOT NULL",

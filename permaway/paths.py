@@ -1,21 +1,107 @@
-"""Addresses of files, the same for Spark and for pyarrow."""
+"""Addresses of files, the same for Spark and for pyarrow, and the shared scratch folder."""
 
 from __future__ import annotations
 
+import atexit
+import getpass
 import re
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_MADE: list[tuple[SparkSession, str]] = []
+
+
+def _plain(uri: str) -> str:
+    return re.sub("^file:/+", "file:///", uri)
 
 
 def located(spark: SparkSession, path: str) -> str:
     """The full address of a path, by Spark's own file systems: what has no scheme lies on the default one, for pyarrow as for Spark."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    full = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
-    return re.sub("^file:/+", "file:///", full)
+    return _plain(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString())
 
 
 def opened(path: str):
     """The pyarrow file system of a located path, and the path in it; without a scheme the local one."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    m = re.match(r"([A-Za-z][\w+.-]*://[^/]*)(/.*)", path)
+    if m is None or m[1] == "file://":
+        return fs.LocalFileSystem(), m[2] if m else path
+    store, base = fs.FileSystem.from_uri(m[1] + "/")  # the path itself is no part of an address: its characters stand for themselves
+    return store, base.rstrip("/") + m[2]
+
+
+def name_of(path: str) -> str:
+    return path.rstrip("/").rsplit("/", 1)[-1]
+
+
+def files_of(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The located files of paths in their order; a folder stands for its files by name, a path that comes again counts once."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found: dict[str, None] = {}
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(located(spark, path))
+        store = at.getFileSystem(conf)
+        if store.getFileStatus(at).isDirectory():
+            inner = sorted(_plain(s.getPath().toString()) for s in store.listStatus(at) if s.isFile())
+            found.update(dict.fromkeys(p for p in inner if name_of(p)[0] not in "._"))
+        else:
+            found[_plain(at.toString())] = None
+    return list(found)
+
+
+def encoded(spark: SparkSession, path: str) -> str:
+    """How a located path stands in the column _metadata.file_path."""
+    return _plain(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).toUri().toString())
+
+
+def decoded(path: Column) -> Column:
+    """A path as it stands in _metadata.file_path with its own characters."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def whole_texts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file, file_ord, value): each file's name, its place among ``paths``, and its text."""
+    files = files_of(spark, paths)
+    if not files:
+        return spark.createDataFrame([], "file string, file_ord int, value string")
+    order = spark.createDataFrame([(encoded(spark, p), name_of(p), k) for k, p in enumerate(files)], "_path string, file string, file_ord int")
+    escaped = [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in files]
+    texts = spark.read.text(escaped, wholetext=True).select("value", F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:///").alias("_path"))
+    return texts.join(F.broadcast(order), "_path").select("file", "file_ord", "value")  # as many rows as the driver has paths
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; a local one only where that is unset and all tasks run in this process, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return located(spark, named.rstrip("/"))
+    if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return located(spark, f"{tempfile.gettempdir()}/permaway-{getpass.getuser()}")
+
+
+def new_dir(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder, removed when the driver ends."""
+    path = f"{shared_dir(spark)}/permaway/{name}-{uuid.uuid4().hex}"
+    _MADE.append((spark, path))
+    return path
+
+
+def drop_dirs() -> None:
+    """Deletes what this driver wrote, through Spark's own file systems."""
+    while _MADE:
+        spark, path = _MADE.pop()
+        try:
+            jvm = spark.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session may have ended: the folder then stays for the cluster's own cleaning
+            return
+
+
+atexit.register(drop_dirs)

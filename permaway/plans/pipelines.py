@@ -1,45 +1,43 @@
-"""The two pipelines: drawn paths to centerlines, and centerlines to drawn lines."""
+"""The two pipelines: drawn paths to centerlines, and centerlines to drawn lines.
+
+A file is known by its place among the paths, never by its name alone: files of
+one name in different folders stay apart until the outputs, where the last counts.
+"""
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from permaway.functions.jsnum import section_order
+from permaway.operators import sections as chain
 from permaway.operators import track
 from permaway.options import CenterlineOptions, DrawingOptions
+from permaway.paths import files_of, name_of
 from permaway.sinks import archive, text
 from permaway.sources import centerline_csv, kml
 
-KEYS = ("file", "section_key")
+KEYS = ("file_ord", "file", "section_key")
+_EMPTY = "no points in "
 
 
 def sections(points: DataFrame) -> DataFrame:
-    """Scanned points (file, section, placemark_idx, tuple_idx, ...) as ordered sections of more than three points.
+    """Scanned points (file, file_ord, section, placemark_idx, tuple_idx, ...) as ordered sections.
 
-    Placemarks of one name form one section; its place among the others is ``section_ord``.
+    Placemarks of one name form one section; ``section_ord`` sorts the sections of a file.
     """
     keyed = points.withColumn("section_key", track.section_key(F.col("section")))
     keyed = keyed.withColumn("idx", F.struct("placemark_idx", "tuple_idx"))
-    dense = track.numbered(keyed.withColumn("_first", F.min("idx").over(Window.partitionBy(*KEYS))), KEYS, "idx")
-    return track.at_least(dense, KEYS)
-
-
-def centerline(points: DataFrame, options: CenterlineOptions = CenterlineOptions(), keys: track.Keys = KEYS) -> DataFrame:
-    """Densify, fit, flatten, resample, radius and chainage of ordered sections: one exchange."""
-    dense = track.densify(points, keys, options.max_segment, options.densify_spacing)
-    curve = track.flatten(dense, keys, options.spline_detail)
-    line = track.resample(curve, keys, options.output_spacing)
-    line = track.curve_radius(line, keys, options.curve_arc, options.straight_threshold) if options.find_curves else line.withColumn("curve_radius", F.lit(None).cast("double"))
-    return track.chainage(line, keys)
+    keyed = keyed.withColumn("section_ord", section_order(F.col("section_key"), F.min("idx").over(Window.partitionBy(*KEYS))))
+    return track.numbered(keyed, KEYS, "idx").drop("placemark_idx", "tuple_idx")
 
 
-def ordered_sections(points: DataFrame) -> DataFrame:
-    """With ``section_ord`` from the first appearance of every section (column ``_first``)."""
-    from permaway.functions.jsnum import section_order
-
-    firsts = points.select("file", "section_key", "_first").distinct()
-    ranked = firsts.select("file", "section_key", F.row_number().over(Window.partitionBy("file").orderBy(section_order(F.col("section_key"), F.col("_first")))).alias("section_ord"))
-    return points.drop("_first").join(ranked, ["file", "section_key"])
+def centerline(points: DataFrame, options: CenterlineOptions = CenterlineOptions(), keys: track.Keys = KEYS, more_than: int = 0) -> DataFrame:
+    """Densify, fit, flatten, resample, radius and chainage of ordered sections of so many points: one exchange, one pass."""
+    curves = (options.curve_arc, options.straight_threshold) if options.find_curves else None
+    line = chain.fitted(points, keys, options.output_spacing, options.spline_detail, densify=(options.max_segment, options.densify_spacing), curves=curves, chainage=True, more_than=more_than)
+    return line if options.find_curves else line.withColumn("curve_radius", F.lit(None).cast("double"))
 
 
 class EmptyFileError(ValueError):
@@ -47,20 +45,33 @@ class EmptyFileError(ValueError):
 
 
 def build_centerlines(spark: SparkSession, paths: list[str], options: CenterlineOptions = CenterlineOptions(), output: str | None = None) -> DataFrame:
-    """(file_name, content) of one centerline CSV per drawn file; with ``output`` also one archive of them."""
-    points = kml.points(kml.read_placemarks(spark, paths))
-    names = [p.rsplit("/", 1)[-1] for p in paths]
-    full = {r.file for r in points.select("file").distinct().collect()}  # one name per input path
-    if missing := [n for n in names if n not in full]:
-        raise EmptyFileError(f"no points in {', '.join(missing)}")
-    narrow = points.select("file", "section", "placemark_idx", "tuple_idx", "latitude", "longitude", "altitude")
-    line = ordered_sections(centerline(sections(narrow).drop("placemark_idx", "tuple_idx"), options))
-    files = text.csv_files(line)
-    empty = spark.createDataFrame([(n,) for n in names], "file string").select(text.renamed(F.col("file"), ".kml", ".csv").alias("file_name"))
-    files = empty.join(files, "file_name", "left").select("file_name", F.coalesce("content", F.lit(text.CSV_HEADER + "\n")).alias("content"))
+    """(file_name, content) of one centerline CSV per drawn file; with ``output`` also one archive of them.
+
+    Every file is parsed once.  A file without points fails whatever reads the rows; with
+    ``output`` that is an ``EmptyFileError`` here, and no archive is left.
+    """
+    files = files_of(spark, paths)
+    points = kml.points(kml.read_placemarks(spark, files)).select("file_ord", "file", "section", "placemark_idx", "tuple_idx", "latitude", "longitude", "altitude")
+    line = centerline(sections(points), options, more_than=track.LEAST_POINTS)
+    # every file has a row of its own beside its lines: a file without any other holds no point
+    names = [name_of(p).replace(".kml", ".csv", 1) for p in files]
+    last = {n: k for k, n in enumerate(names)}
+    marks = spark.createDataFrame([(k, n, last[n] == k) for k, n in enumerate(names)], "file_ord int, file_name string, wins boolean")
+    rows = text.csv_lines(line, ("file_ord",)).unionByName(marks, allowMissingColumns=True)
+    body = text.joined(rows, ["file_ord"], ["section_ord", "idx"], "line", "\n", F.max("file_name").alias("file_name"), F.max("wins").alias("wins"), F.count("idx").alias("n"))
+    missing = F.raise_error(F.concat(F.lit(_EMPTY), F.col("file_name"))).cast("string")
+    whole = F.concat(F.lit(text.CSV_HEADER + "\n"), F.col("content"), F.when(F.col("content") == "", F.lit("")).otherwise(F.lit("\n")))
+    out = body.select("file_name", "wins", F.when(F.col("n") == 0, missing).otherwise(whole).alias("content"))
+    # of equal names the last file counts, but none may be empty
+    out = out.where(F.col("wins") | F.col("content").isNull()).select("file_name", "content")
     if output:
-        archive.write_archive(files, output)
-    return files
+        try:
+            archive.write_archive(out, output)
+        except PySparkException as e:
+            if _EMPTY in str(e):
+                raise EmptyFileError(str(e)[str(e).index(_EMPTY) :].splitlines()[0]) from e
+            raise
+    return out
 
 
 def last_of_each(points: DataFrame) -> DataFrame:

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from permaway import oracles
 from permaway.functions import curves, geodesy, jsnum, styling
-from permaway.operators import track
+from permaway.operators import sections, track
 from permaway.options import CenterlineOptions
 from permaway.plans import pipelines
-from permaway.sinks import text
+from permaway.paths import files_of, new_dir
+from permaway.sinks import archive, text
 from permaway.sources import centerline_csv, kml
 
 KEYS = ("section",)
@@ -152,12 +153,8 @@ def catmull_rom(spark, sf_dir):
     return _sums(track.catmull_rom(tracks(spark, sf_dir), KEYS), F.round(F.sum("altitude") / F.count("*"), 4).alias("mean_alt"))
 
 
-def _resampled(spark, sf_dir) -> DataFrame:
-    return track.resample(track.flatten(tracks(spark, sf_dir), KEYS, 60), KEYS, 25.0)
-
-
 def resample(spark, sf_dir):
-    return _sums(_resampled(spark, sf_dir), _sum_alt())
+    return _sums(sections.fitted(tracks(spark, sf_dir), KEYS, 25.0), _sum_alt())
 
 
 def decimate(spark, sf_dir):
@@ -165,7 +162,7 @@ def decimate(spark, sf_dir):
 
 
 def curve_radius(spark, sf_dir):
-    d = track.curve_radius(_resampled(spark, sf_dir), KEYS)
+    d = sections.fitted(tracks(spark, sf_dir), KEYS, 25.0, curves=(100.0, 5000.0))
     return d.groupBy("section").agg(F.count("*").alias("n_points"), F.count_if(F.col("curve_radius") > 0).alias("n_curved"), F.round(F.sum("curve_radius") / F.count("*"), 2).alias("mean_radius"))
 
 
@@ -243,7 +240,7 @@ def base_name(spark, sf_dir):
     return e.select("event_id", table.alias("table_name"), line.alias("line_name"))
 
 
-# ---- rows without SQL: documents and whole pipelines
+# ---- documents, files and whole pipelines
 
 
 def _documents(spark, sf_dir) -> DataFrame:
@@ -256,29 +253,81 @@ def _documents(spark, sf_dir) -> DataFrame:
     return body.select(F.concat(name, F.lit(".kml")).alias("file"), F.lit(0).alias("file_ord"), whole.alias("content"))
 
 
+def _folder_of(spark, files: DataFrame) -> str:
+    """A fresh folder with the files (file_name, content)."""
+    folder = new_dir(spark, "files")
+    archive.write_files(files, folder)
+    return folder
+
+
+def _placemark_digest(marks: DataFrame) -> DataFrame:
+    return kml.points(marks).groupBy("file", "section").agg(F.count("*").alias("n_points"), F.round(F.avg("latitude"), 7).alias("mean_lat"))
+
+
 def kml_scan(spark, sf_dir):
-    points = kml.points(kml.parse_documents(_documents(spark, sf_dir)))
-    return points.groupBy("file", "section").agg(F.count("*").alias("n_points"), F.round(F.avg("latitude"), 7).alias("mean_lat"))
+    return _placemark_digest(kml.parse_documents(_documents(spark, sf_dir)))
+
+
+def placemark_files(spark, sf_dir):
+    """The documents written as files and read by the data source."""
+    folder = _folder_of(spark, _documents(spark, sf_dir).withColumnRenamed("file", "file_name"))
+    return _placemark_digest(kml.read_placemarks(spark, [folder]))
 
 
 def csv_generic(spark, sf_dir):
-    """A table printed as CSV text with a header, and read by name."""
-    t = tracks(spark, sf_dir)
-    lines = t.select(F.concat_ws(",", "section", "idx", F.col("altitude").cast("string")).alias("value"))
-    return lines.select(F.from_csv("value", "section string, idx bigint, altitude double").alias("r")).select("r.*")
+    """A table written as CSV text with a header, and read by name with inferred types."""
+    folder = new_dir(spark, "table")
+    tracks(spark, sf_dir).select("section", "idx", "altitude").write.option("header", True).csv(folder)
+    return centerline_csv.read_table(spark, [folder]).select("section", F.col("idx").cast("bigint").alias("idx"), "altitude")
+
+
+def csv_plain(spark, sf_dir):
+    """One CSV file by commas alone: all text, as it stands."""
+    lines = tracks(spark, sf_dir).select(F.lit("t.csv").alias("file_name"), "section", "idx", F.concat_ws(",", "section", "idx", F.concat(F.lit(" "), jsnum.to_fixed(F.col("altitude"), 3))).alias("line"))
+    body = text.joined(lines, ["file_name"], ["section", "idx"], "line", "\n")
+    folder = _folder_of(spark, body.select("file_name", F.concat(F.lit("section, idx ,altitude\n"), "content", F.lit("\n \n")).alias("content")))
+    return centerline_csv.read_plain(spark, f"{folder}/t.csv")
 
 
 def _centerline(spark, sf_dir) -> DataFrame:
     t = tracks(spark, sf_dir).withColumn("file", F.concat("section", F.lit(".kml")))
-    return pipelines.centerline(t, CenterlineOptions(), ("file", "section"))
+    return pipelines.centerline(t, CenterlineOptions(), ("file", "section")).withColumn("section_ord", F.lit(1))
 
 
 def csv_lines(spark, sf_dir):
-    return text.csv_lines(_centerline(spark, sf_dir).withColumn("section_ord", F.lit(1)))
+    """The lines of centerline tables, read again."""
+    read = centerline_csv.parse_lines(text.csv_lines(_centerline(spark, sf_dir)))
+    mean = lambda c, name: F.round(F.sum(c) / F.count("*"), 6).alias(name)
+    return read.groupBy("file").agg(F.count("*").alias("n_lines"), mean("latitude", "mean_lat"), mean("longitude", "mean_lon"), F.round(F.max("kilometrage"), 2).alias("length_km"))
+
+
+def _table_digest(files: DataFrame) -> DataFrame:
+    """Lines of each table, the first of them and the kilometrage of the last."""
+    lines = F.split("content", "\n")
+    return files.select("file_name", (F.size(lines) - 2).cast("bigint").alias("n_lines"), F.get(lines, 1).alias("first_line"), F.get(F.split(F.get(lines, F.size(lines) - 2), ","), 4).alias("last_km"))
 
 
 def csv_files(spark, sf_dir):
-    return text.csv_files(_centerline(spark, sf_dir).withColumn("section_ord", F.lit(1)))
+    return _table_digest(text.csv_files(_centerline(spark, sf_dir)))
+
+
+def centerline_archive(spark, sf_dir):
+    """Drawn files to one archive of centerline tables, and what the archive holds."""
+    folder = _folder_of(spark, _documents(spark, sf_dir).withColumnRenamed("file", "file_name"))
+    path = f"{new_dir(spark, 'archive')}/tables.zip"
+    pipelines.build_centerlines(spark, files_of(spark, [folder]), output=path)
+    return _table_digest(archive.read_archives(spark, [path]))
+
+
+def lines_archive(spark, sf_dir):
+    """Centerline tables to one archive with the drawn lines, and what it holds."""
+    t = tracks(spark, sf_dir)
+    cells = [F.col("section"), jsnum.to_fixed(F.col("latitude"), 8), jsnum.to_fixed(F.col("longitude"), 8), jsnum.to_fixed(F.col("altitude"), 3), (F.col("idx") / 8.0).cast("string")]
+    body = text.joined(t.withColumn("line", F.concat_ws(",", *cells)), ["section"], ["idx"], "line", "\n")
+    folder = _folder_of(spark, body.select(F.concat("section", F.lit(".csv")).alias("file_name"), F.concat(F.lit(text.CSV_HEADER + "\n"), "content", F.lit("\n")).alias("content")))
+    path = f"{new_dir(spark, 'archive')}/lines.kmz"
+    pipelines.build_lines(spark, [folder], output=path)
+    return archive.read_archives(spark, [path]).select("file_name", F.md5("content").alias("content_md5"), F.length("content").cast("bigint").alias("n_chars"))
 
 
 def kml_lines(spark, sf_dir):
@@ -314,7 +363,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = (
     leg_metrics, geodesic_inverse, geodesic_distance, geodesic_bearing, geodesic_direct, geodesic_project, ellipsoid_consts, chainage, having_min_points, section_key, section_order, densify,
     spline_control_points, lerp2d, lerp3d, bezier_point, bezier_flatten, cardinal_spline, catmull_rom, resample, decimate, curve_radius, curvature3, smooth, altitude_transform, style_index,
-    palette, escape_xml, csv_scan, filter_csv, filter_coords, to_fixed, point_to_string, base_name, kml_scan, csv_generic, csv_lines, csv_files, kml_lines, kml_lowdetail, kml_posts, kml_document, kml_simple, kml_index,
+    palette, escape_xml, csv_scan, filter_csv, filter_coords, to_fixed, point_to_string, base_name, kml_scan, placemark_files, csv_generic, csv_plain, csv_lines, csv_files, centerline_archive, lines_archive, kml_lines, kml_lowdetail, kml_posts, kml_document, kml_simple, kml_index,
 )
 
 

@@ -7,9 +7,11 @@ import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from permaway.paths import files_of, located, opened
 from permaway.shipping import ship
 
 
@@ -18,12 +20,6 @@ class _Done(WriterCommitMessage):
     paths: list[str]
 
 
-def _store(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 def zipped(entries: list[tuple[str, str | bytes]], level: int = 9) -> bytes:
     """An archive; of equal names the last counts."""
     out = io.BytesIO()
@@ -45,7 +41,7 @@ class _Writer(DataSourceWriter):
         entries = [(r[0], r[1]) for r in rows]
         if not entries:
             return _Done([])
-        store, inner = _store(self.path)
+        store, inner = opened(self.path)
         folder = inner.rsplit("/", 1)[0]
         store.create_dir(folder, recursive=True)
         task = TaskContext.get()
@@ -55,7 +51,7 @@ class _Writer(DataSourceWriter):
         return _Done([part])
 
     def commit(self, messages: list) -> None:
-        store, inner = _store(self.path)
+        store, inner = opened(self.path)
         parts = [p for m in messages if m for p in m.paths]
         if len(parts) == 1:
             store.move(parts[0], inner)
@@ -65,7 +61,7 @@ class _Writer(DataSourceWriter):
             store.move(p, f"{stem}-{k:05d}.{suffix}")
 
     def abort(self, messages: list) -> None:
-        store, _ = _store(self.path)
+        store, _ = opened(self.path)
         for m in messages:
             for p in m.paths if m else []:
                 store.delete_file(p)
@@ -87,4 +83,65 @@ def write_archive(files: DataFrame, path: str, single: bool = True) -> None:
     ship(files.sparkSession)
     files.sparkSession.dataSource.register(ArchiveSink)
     rows = files.select("file_name", "content")
-    (rows.coalesce(1) if single else rows).write.format("archive").option("path", path).mode("append").save()
+    (rows.coalesce(1) if single else rows).write.format("archive").option("path", located(files.sparkSession, path)).mode("append").save()
+
+
+class _FileWriter(DataSourceWriter):
+    """Every row becomes a file below the folder; a repeated attempt writes the same files again."""
+
+    def __init__(self, options: dict):
+        self.path = options["path"]
+
+    def write(self, rows: Iterator) -> WriterCommitMessage:
+        from pyspark import TaskContext
+
+        store, folder = opened(self.path)
+        store.create_dir(folder, recursive=True)
+        attempt, done = TaskContext.get().taskAttemptId(), []
+        for name, content in ((r[0], r[1]) for r in rows):
+            part = f"{folder}/.{name}.part-{attempt}"
+            with store.open_output_stream(part) as out:
+                out.write(content.encode() if isinstance(content, str) else content)
+            store.move(part, f"{folder}/{name}")
+            done.append(f"{folder}/{name}")
+        return _Done(done[:1])
+
+    def commit(self, messages: list) -> None:
+        pass
+
+    def abort(self, messages: list) -> None:
+        pass
+
+
+class FileSink(DataSource):
+    """Option ``path``, a folder; columns file_name and content."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "named_files"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _FileWriter(dict(self.options))
+
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """Writes each row (file_name, content) as a file of that name below ``folder``."""
+    ship(files.sparkSession)
+    files.sparkSession.dataSource.register(FileSink)
+    files.select("file_name", "content").write.format("named_files").option("path", located(files.sparkSession, folder)).mode("append").save()
+
+
+def read_archives(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file_name, content) of the text entries of archives; an archive is read by one task, as its format demands."""
+
+    def run(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                store, inner = opened(path)
+                with store.open_input_file(inner) as stream, zipfile.ZipFile(stream) as z:
+                    for name in z.namelist():
+                        yield pa.RecordBatch.from_pydict({"file_name": [name], "content": [z.read(name).decode()]})
+
+    ship(spark)
+    at = spark.createDataFrame([(p,) for p in files_of(spark, paths)], "path string")
+    return at.repartition(max(1, len(paths))).mapInArrow(run, "file_name string, content string")

@@ -13,6 +13,9 @@ from permaway.operators import track
 CSV_HEADER = "#Section,Latitude,Longitude,Altitude,Kilometrage,CurveRadius"
 DOCUMENT = '<?xml version="1.0" encoding="UTF-8"?>\n<kml xmlns="http://www.opengis.net/kml/2.2">\n<Document>\n'
 END = "</Document>\n</kml>"
+#: Descriptions of the documents, and what the name of a low-detail copy ends in.
+DESCRIPTION, INDEX_DESCRIPTION = "Generated from CSV files", "Index file linking all centerline KMZ files"
+LOW_DETAIL = " - Low Detail"
 
 
 def csv_line(section: Column, lat: Column, lon: Column, alt: Column, chainage_m: Column, radius: Column) -> Column:
@@ -22,16 +25,16 @@ def csv_line(section: Column, lat: Column, lon: Column, alt: Column, chainage_m:
     return F.concat_ws(",", section, to_fixed(lat, 8), to_fixed(lon, 8), to_fixed(alt, 3), to_fixed(km, 3), to_fixed(r, 1))
 
 
-def csv_lines(points: DataFrame) -> DataFrame:
-    """(file, section_ord, idx, line) of points with section, chainage_m and curve_radius."""
+def csv_lines(points: DataFrame, keys: tuple[str, ...] = ("file",)) -> DataFrame:
+    """(keys, section_ord, idx, line) of points with section, chainage_m and curve_radius; no line where idx is -1."""
     line = csv_line(F.col("section"), F.col("latitude"), F.col("longitude"), F.col("altitude"), F.col("chainage_m"), F.col("curve_radius"))
-    return points.select("file", "section_ord", "idx", line.alias("line"))
+    return points.select(*keys, "section_ord", "idx", F.when(F.col("idx") >= 0, line).alias("line"))
 
 
-def joined(rows: DataFrame, keys: list[str], order: list[str], text: str, separator: str = "") -> DataFrame:
-    """Per key the texts in order, as ``content``."""
-    parts = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_t"))))
-    return rows.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x["_t"]), separator).alias("content"))
+def joined(rows: DataFrame, keys: list[str], order: list[str], text: str, separator: str = "", *more: Column) -> DataFrame:
+    """Per key the texts in order, as ``content``, and further aggregates."""
+    parts = F.array_sort(F.collect_list(F.when(F.col(text).isNotNull(), F.struct(*order, F.col(text).alias("_t")))))
+    return rows.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x["_t"]), separator).alias("content"), *more)
 
 
 def csv_files(points: DataFrame) -> DataFrame:
@@ -60,14 +63,13 @@ def styles() -> str:
 
 
 def with_style(points: DataFrame) -> DataFrame:
-    """``style``: lines counted in their order from 1."""
+    """``style`` and ``style_ord``: lines counted in their order from 1."""
     lines = points.select("line", "line_ord").distinct().withColumn("_o", F.row_number().over(Window.orderBy("line_ord", "line")))
     return points.join(lines.select("line", styling.style_id(F.col("_o")).alias("style"), F.col("_o").alias("style_ord")), "line")
 
 
-def _drawn(points: DataFrame, mode: str, offset: float, exaggeration: float) -> DataFrame:
-    alt = styling.altitude(F.col("altitude"), mode, offset, exaggeration)
-    return points.withColumn("_c", styling.coordinate(F.col("longitude"), F.col("latitude"), alt))
+def _coordinate(mode: str, offset: float, exaggeration: float) -> Column:
+    return styling.coordinate(F.col("longitude"), F.col("latitude"), styling.altitude(F.col("altitude"), mode, offset, exaggeration))
 
 
 def _placemark(name: Column, style: Column, coordinates: Column, mode: str, indent: str, visible: int | None) -> Column:
@@ -80,49 +82,64 @@ def _placemark(name: Column, style: Column, coordinates: Column, mode: str, inde
     )
 
 
+def _post(mode: str) -> Column:
+    """The post of a point with a kilometrage, else an empty text; the point's coordinate is ``_c``."""
+    km, i = F.col("kilometrage"), "      "
+    post = F.concat(
+        F.lit(f"{i}<Placemark>\n{i}  <name>"), styling.kilometre_label(km),
+        F.lit(f"</name>\n{i}  <visibility>0</visibility>\n{i}  <styleUrl>#post_style</styleUrl>\n{i}  <Point>\n{i}    <altitudeMode>{styling.altitude_mode(mode)}</altitudeMode>\n{i}    <coordinates>"),
+        F.col("_c"), F.lit(f"</coordinates>\n{i}  </Point>\n{i}</Placemark>\n"),
+    )
+    return F.when(km.isNotNull() & ~F.isnan(km), post).otherwise(F.lit(""))
+
+
+def drawn_lines(points: DataFrame, mode: str = "clampToGround", offset: float = 3.0, exaggeration: float = 1.0, indent: str = "      ", folders: bool = True) -> DataFrame:
+    """One row per line: line, style_ord, full (its Placemark), low (the low-detail copy, null for short lines) and posts.
+
+    One ordered aggregate of the points; lines are numbered after it, so nothing but finished rows is joined.
+    """
+    made = points.withColumn("_c", _coordinate(mode, offset, exaggeration)).withColumn("_post", _post(mode) if "kilometrage" in points.columns else F.lit(""))
+    each = made.groupBy("line", "line_ord").agg(F.array_sort(F.collect_list(F.struct("idx", "_c", "_post"))).alias("_a"))
+    n = F.size("_a")
+    every = F.filter("_a", lambda x, k: (k % track.DECIMATE_STEP == 0) | (k == n - 1))
+    shown = lambda a: F.array_join(F.transform(a, lambda x: F.concat(F.lit(indent + "      "), x["_c"], F.lit("\n"))), "")
+    each = each.select("line", "line_ord", shown(F.col("_a")).alias("_full"), F.when(n > track.DECIMATE_OVER, shown(every)).alias("_low"), F.array_join(F.transform("_a", lambda x: x["_post"]), "").alias("posts"))
+    # as many rows as lines: their numbers need all of them in order
+    numbers = points.select("line", "line_ord").distinct().withColumn("style_ord", F.row_number().over(Window.orderBy("line_ord", "line")))
+    styled = each.join(numbers, ["line", "line_ord"]).withColumn("style", styling.style_id(F.col("style_ord")))
+    name = styling.escape_xml(F.col("line"))
+    full = _placemark(name, F.col("style"), F.col("_full"), mode, indent, 1 if folders else None)
+    low = _placemark(F.concat(name, F.lit(LOW_DETAIL)), F.col("style"), F.col("_low"), mode, indent, 0 if folders else None)
+    return styled.select("line", "style_ord", full.alias("full"), low.alias("low"), "posts")
+
+
 def line_fragments(points: DataFrame, mode: str = "clampToGround", offset: float = 3.0, exaggeration: float = 1.0, low: bool = False, indent: str = "      ", folders: bool = True) -> DataFrame:
     """(line, style_ord, content): the full-detail Placemark of every line, or its low-detail copy."""
-    styled = with_style(points)
-    if low:
-        styled = track.decimate(styled, ["line"])
-    drawn = _drawn(styled, mode, offset, exaggeration)
-    drawn = drawn.withColumn("_c", F.concat(F.lit(indent + "      "), "_c", F.lit("\n")))
-    body = joined(drawn, ["line", "style", "style_ord"], ["idx"], "_c")
-    name = F.concat(styling.escape_xml(F.col("line")), F.lit(" - Low Detail" if low else ""))
-    seen = None if not folders else 0 if low else 1
-    return body.select("line", "style_ord", _placemark(name, F.col("style"), F.col("content"), mode, indent, seen).alias("content"))
+    drawn = drawn_lines(points, mode, offset, exaggeration, indent, folders)
+    return drawn.select("line", "style_ord", F.col("low" if low else "full").alias("content")).where("content is not null")
 
 
 def post_fragments(points: DataFrame, mode: str = "clampToGround", offset: float = 3.0, exaggeration: float = 1.0) -> DataFrame:
     """(line, style_ord, content): the posts of every line, empty where no point has a kilometrage."""
-    drawn = _drawn(with_style(points), mode, offset, exaggeration)
-    km = F.col("kilometrage")
-    i = "      "
-    post = F.concat(
-        F.lit(f"{i}<Placemark>\n{i}  <name>"), styling.kilometre_label(km),
-        F.lit(f"</name>\n{i}  <visibility>0</visibility>\n{i}  <styleUrl>#post_style</styleUrl>\n{i}  <Point>\n{i}    <altitudeMode>{styling.altitude_mode(mode)}</altitudeMode>\n{i}    <coordinates>"),
-        F.col("_c"), F.lit(f"</coordinates>\n{i}  </Point>\n{i}</Placemark>\n"),
-    )
-    drawn = drawn.withColumn("_post", F.when(km.isNotNull() & ~F.isnan(km), post).otherwise(F.lit("")))
-    return joined(drawn, ["line", "style_ord"], ["idx"], "_post")
+    return drawn_lines(points, mode, offset, exaggeration).select("line", "style_ord", F.col("posts").alias("content"))
+
+
+def _head(title: str) -> str:
+    return DOCUMENT + f"  <name>{title}</name>\n  <description>{DESCRIPTION}</description>\n" + styles()
 
 
 def lines_document(points: DataFrame, mode: str = "clampToGround", offset: float = 3.0, exaggeration: float = 1.0, title: str = "Centerlines") -> DataFrame:
     """One row ``content``: styles, a folder of lines (full and low detail) and a folder of kilometre posts.
 
-    A single document is one row by nature: its last step is one ordered aggregate of one fragment per line.
+    A single document is one row by nature: its last step is one ordered aggregate of one row per line.
     """
-    full = line_fragments(points, mode, offset, exaggeration)
-    low = line_fragments(points, mode, offset, exaggeration, low=True).select("line", F.col("content").alias("_low"))
-    posts = post_fragments(points, mode, offset, exaggeration).select("line", F.col("content").alias("_posts"))
-    every = full.join(low, "line", "left").join(posts, "line", "left")
+    every = drawn_lines(points, mode, offset, exaggeration)
     folder = lambda inner: F.concat(F.lit("    <Folder>\n      <name>"), styling.escape_xml(F.col("line")), F.lit("</name>\n"), inner, F.lit("    </Folder>\n"))
-    every = every.select("style_ord", folder(F.concat("content", F.coalesce("_low", F.lit("")))).alias("_l"), folder(F.coalesce("_posts", F.lit(""))).alias("_p"))
+    every = every.select("style_ord", folder(F.concat("full", F.coalesce("low", F.lit("")))).alias("_l"), folder(F.col("posts")).alias("_p"))
     parts = F.array_sort(F.collect_list(F.struct("style_ord", "_l", "_p")))
     text = lambda f: F.array_join(F.transform("_a", lambda x: x[f]), "")
-    head = DOCUMENT + f"  <name>{title}</name>\n  <description>Generated from CSV files</description>\n" + styles()
     return every.agg(parts.alias("_a")).select(
-        F.concat(F.lit(head + "  <Folder>\n    <name>Lines</name>\n"), text("_l"), F.lit("  </Folder>\n  <Folder>\n    <name>Posts</name>\n    <visibility>0</visibility>\n"), text("_p"), F.lit("  </Folder>\n" + END)).alias("content")
+        F.concat(F.lit(_head(title) + "  <Folder>\n    <name>Lines</name>\n"), text("_l"), F.lit("  </Folder>\n  <Folder>\n    <name>Posts</name>\n    <visibility>0</visibility>\n"), text("_p"), F.lit("  </Folder>\n" + END)).alias("content")
     )
 
 
@@ -130,10 +147,9 @@ def simple_document(points: DataFrame, mode: str = "clampToGround", offset: floa
     """One row ``content``: a flat list of full-detail lines."""
     body = line_fragments(points, mode, offset, exaggeration, indent="  ", folders=False)
     parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("style_ord", "content"))), lambda x: x["content"]), "")
-    head = DOCUMENT + f"  <name>{title}</name>\n  <description>Generated from CSV files</description>\n" + styles()
-    return body.agg(F.concat(F.lit(head), parts, F.lit(END)).alias("content"))
+    return body.agg(F.concat(F.lit(_head(title)), parts, F.lit(END)).alias("content"))
 
 
 def index_document(archive: str = "lines.kmz", title: str = "Centerlines Index") -> str:
     """A document that links to the archive of lines."""
-    return DOCUMENT + f"  <name>{title}</name>\n  <description>Index file linking all centerline KMZ files</description>\n  <NetworkLink>\n    <name>Lines</name>\n    <visibility>1</visibility>\n    <Link>\n      <href>{archive}</href>\n    </Link>\n  </NetworkLink>\n{END}"
+    return DOCUMENT + f"  <name>{title}</name>\n  <description>{INDEX_DESCRIPTION}</description>\n  <NetworkLink>\n    <name>Lines</name>\n    <visibility>1</visibility>\n    <Link>\n      <href>{archive}</href>\n    </Link>\n  </NetworkLink>\n{END}"

@@ -11,14 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from permaway.functions import jsnum
+from permaway.paths import files_of, whole_texts
 
 
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(file, file_ord, line_no, line) of whole files, in the order of ``paths``."""
-    whole = spark.read.text(paths, wholetext=True).select("value", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"))
-    names = [p.rstrip("/").rsplit("/", 1)[-1] for p in paths]
-    order = F.array_position(F.split(F.lit("\n".join(names)), "\n"), F.col("file")).cast("int") - 1
-    return whole.select("file", order.alias("file_ord"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    return whole_texts(spark, paths).select("file", "file_ord", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -38,5 +36,18 @@ def read_centerlines(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def read_table(spark: SparkSession, paths: list[str], typed: bool = True) -> DataFrame:
-    """Any CSV with a header; typed by inference, or all text."""
-    return spark.read.csv(paths, header=True, inferSchema=typed, mode="PERMISSIVE", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    """Any CSV with a header; typed by inference, or all text; empty lines are skipped."""
+    return spark.read.csv(files_of(spark, paths), header=True, inferSchema=typed, mode="PERMISSIVE", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+
+
+def read_plain(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV with a header by commas alone: all text, no quoting, names trimmed, values as they stand, null where a line is too short; blank lines are skipped.
+
+    Of a name that stands twice the last column counts.
+    """
+    lines = whole_texts(spark, [path]).select(F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    first = lines.where("line_no = 0").first()
+    names = [n.strip() for n in first.line.split(",")] if first else []
+    at = {n: k for k, n in enumerate(names)}
+    body = lines.where((F.col("line_no") > 0) & (jsnum.trim(F.col("line")) != "")).withColumn("_p", F.split("line", ","))
+    return body.select(*(F.get("_p", F.lit(k)).alias(n) for n, k in at.items()))

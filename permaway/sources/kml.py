@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from permaway.functions import jsnum
+from permaway.paths import files_of, name_of, opened
 from permaway.shipping import ship
 
 SCHEMA = "file string, file_ord int, placemark_idx int, section string, description string, coordinates array<string>"
@@ -79,18 +80,16 @@ class _Reader(DataSourceReader):
         return [_File(k, p) for k, p in enumerate(self.paths)]
 
     def read(self, partition: _File) -> Iterator[tuple]:
-        from pyarrow import fs
-
         path = partition.path
-        store, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        store, inner = opened(path)
         with store.open_input_stream(inner) as stream:
             content = stream.read()
         for k, section, description, coordinates in placemarks(content):
-            yield path.rsplit("/", 1)[-1], partition.number, k, section, description, coordinates
+            yield name_of(path), partition.number, k, section, description, coordinates
 
 
 class PlacemarkSource(DataSource):
-    """Option ``path``: one path, or several separated by line feeds."""
+    """Option ``path``: one file, or several separated by line feeds; without a scheme a local one."""
 
     @classmethod
     def name(cls) -> str:
@@ -106,7 +105,7 @@ class PlacemarkSource(DataSource):
 def read_placemarks(spark: SparkSession, paths: list[str]) -> DataFrame:
     ship(spark)
     spark.dataSource.register(PlacemarkSource)
-    return spark.read.format("placemarks").option("path", "\n".join(paths)).load()
+    return spark.read.format("placemarks").option("path", "\n".join(files_of(spark, paths))).load()
 
 
 def parse_documents(documents: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from permaway.options import DrawingOptions
+from permaway.paths import decoded
 from permaway.plans import pipelines
 from permaway.sinks import text
 from permaway.sources import centerline_csv
@@ -20,7 +21,7 @@ from permaway.sources import centerline_csv
 
 def arriving_lines(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of (file, file_ord, line_no, line) of the files that appear in ``folder``."""
-    whole = spark.readStream.option("wholetext", True).text(folder).select("value", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"))
+    whole = spark.readStream.option("wholetext", True).text(folder).select("value", F.element_at(F.split(decoded(F.col("_metadata.file_path")), "/"), -1).alias("file"))
     return whole.select("file", F.lit(0).alias("file_ord"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
 
 

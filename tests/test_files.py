@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from permaway.functions import jsnum, styling
 from permaway.options import CenterlineOptions, DrawingOptions
+from permaway.paths import files_of
 from permaway.plans import pipelines
 from permaway.sinks import archive, text
 from permaway.sources import centerline_csv, kml
@@ -103,10 +104,67 @@ def test_paths_to_centerlines_and_back(spark, tmp_path):
     assert len(names) == 2 + len(lines) - 2
 
 
+def marks(name, lon, lat, n=6):
+    return f"<kml><Placemark><name>{name}</name><LineString><coordinates>{' '.join(f'{lon + k * 0.0004:.4f},{lat + (k % 3) * 0.0001:.4f},{k}' for k in range(n))}</coordinates></LineString></Placemark></kml>"
+
+
 def test_empty_file_stops_the_batch(spark, tmp_path):
+    (tmp_path / "a.kml").write_text(marks("s", 151, -33))
     (tmp_path / "e.kml").write_text("<kml/>")
+    (tmp_path / "short.kml").write_text(marks("s", 151, -33, 2))
+    paths = [str(tmp_path / f"{n}.kml") for n in ("a", "e")]
+    with pytest.raises(pipelines.EmptyFileError, match="no points in e.csv"):
+        pipelines.build_centerlines(spark, paths, output=str(tmp_path / "out" / "x.zip"))
+    assert not list((tmp_path / "out").glob("*.zip"))
+    with pytest.raises(Exception, match="no points in e.csv"):
+        pipelines.build_centerlines(spark, paths).collect()
+    # sections that are too short make an empty table, no empty file
+    short = pipelines.build_centerlines(spark, [str(tmp_path / "short.kml")]).collect()
+    assert [(r.file_name, r.content) for r in short] == [("short.csv", text.CSV_HEADER + "\n")]
+
+
+def test_files_of_one_name_stay_apart(spark, tmp_path):
+    """Two folders hold x.kml, on two continents: each is fitted by itself, and the last counts."""
+    for folder, lon in (("a", 10.0), ("b", 151.0), ("c d", 70.0)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.kml").write_text(marks(folder, lon, -33))
+    (tmp_path / "c d" / "y é+1 %20.kml").write_text(marks("y", 20.0, 50))
+    paths = [str(tmp_path / p) for p in ("a/x.kml", "c d/y é+1 %20.kml", "b/x.kml")]
+    got = {r.file_name: r.content.splitlines() for r in pipelines.build_centerlines(spark, paths, output=str(tmp_path / "o.zip")).collect()}
+    assert set(got) == {"x.csv", "y é+1 %20.csv"}
+    assert got["x.csv"][1].startswith("b,-33.00000000,151.00000000") and 6 < len(got["x.csv"]) < 20
+    assert sorted(zipfile.ZipFile(tmp_path / "o.zip").namelist()) == sorted(got)
+    # one that is empty stops the batch, though another of its name comes later
+    (tmp_path / "a" / "x.kml").write_text("<kml/>")
     with pytest.raises(pipelines.EmptyFileError):
-        pipelines.build_centerlines(spark, [str(tmp_path / "e.kml")])
+        pipelines.build_centerlines(spark, paths, output=str(tmp_path / "p.zip"))
+
+
+def test_tables_of_one_name_and_odd_names(spark, tmp_path):
+    for folder, lat in (("a", -33), ("b c", 50)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "my file+1 %20[x].csv").write_text("".join(f"s,{lat + k},{151},0\n" for k in range(3)))
+    (tmp_path / "a" / "z.csv").write_text("s,1,2\ns,3,4\n")
+    paths = [str(tmp_path / p) for p in ("a/my file+1 %20[x].csv", "a/z.csv", "b c/my file+1 %20[x].csv")]
+    lines = centerline_csv.read_lines(spark, paths)
+    assert {(r.file, r.file_ord) for r in lines.collect()} == {("my file+1 %20[x].csv", 0), ("z.csv", 1), ("my file+1 %20[x].csv", 2)}
+    got = pipelines.drawn_points(centerline_csv.read_centerlines(spark, paths)).orderBy("line_ord", "idx").collect()
+    assert [(r.line, r.line_ord, r.idx, r.latitude) for r in got] == [("my file+1 %20[x]", 0, 0, 50), ("my file+1 %20[x]", 0, 1, 51), ("my file+1 %20[x]", 0, 2, 52), ("z", 1, 0, 1), ("z", 1, 1, 3)]
+    # a folder stands for its files by name
+    assert [paths_.rsplit("/", 1)[1] for paths_ in files_of(spark, [str(tmp_path / "a")])] == ["my file+1 %20[x].csv", "z.csv"]
+
+
+def test_plain_tables(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('a, b ,a\n1,"x,2\n\n  \n 3 \n')
+    df = centerline_csv.read_plain(spark, str(tmp_path / "t.csv"))
+    assert df.columns == ["a", "b"] and sorted(map(tuple, df.collect()), key=str) == sorted([("2", '"x'), (None, None)], key=str)
+
+
+def test_documents_need_one_aggregate_of_the_points(spark):
+    df = spark.createDataFrame([("x", 0, k, -33.0 + k, 151.0, 1.0, None) for k in range(30)], "line string, line_ord int, idx int, latitude double, longitude double, altitude double, kilometrage double")
+    plan = text.lines_document(df.repartition(3))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ObjectHashAggregate(keys=[line") + plan.count("SortAggregate(keys=[line") <= 2 and plan.count("Exchange hashpartitioning") <= 4
+    assert text.lines_document(df).first().content.count("Low Detail") == 1
 
 
 def test_last_file_of_a_name_wins(spark):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from permaway.functions import geodesy
-from permaway.operators import track
+from permaway.operators import sections, track
 
 KEYS = ("section",)
 SCHEMA = "section string, idx bigint, latitude double, longitude double, altitude double"
@@ -181,4 +181,28 @@ def test_one_exchange_for_the_whole_chain(spark):
 
     df = points(spark, a=random_track(2, 20, 0.01)).withColumn("file", F.lit("f"))
     plan = centerline(df, CenterlineOptions(), ("file", "section"))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("FlatMapGroupsInArrow") == 1 and "Window" not in plan
+
+
+@pytest.mark.parametrize("size", [1, 3, sections.SEGMENTS])
+def test_the_whole_chain_equals_its_steps(spark, monkeypatch, size):
+    """In pieces of any size, with extra columns, short sections and a section without any length."""
+    monkeypatch.setattr(sections, "SEGMENTS", size)
+    tracks = {"long": random_track(2, 40, 0.01), "loop": [(-33.0, 151.0, 1.0), (-33.0, 151.002, 2.0), (-33.001, 151.001, 3.0), (-33.0, 151.0, 4.0)], "still": [(1.0, 2.0, 3.0)] * 5, "two": random_track(3, 2, 0.003), "one": [(5.0, 6.0, 7.0)]}
+    df = points(spark, **tracks).withColumn("mark", F.concat("section", F.col("idx").cast("string"))).withColumn("chainage", F.lit(1))
+    step = track.resample(track.flatten(track.densify(df, KEYS, 300.0, 200.0), KEYS, 20), KEYS, 25.0)
+    want = track.chainage(track.curve_radius(step, KEYS, 100.0, 5000.0), KEYS)
+    got = sections.fitted(df, KEYS, 25.0, detail=20, densify=(300.0, 200.0), curves=(100.0, 5000.0), chainage=True)
+    assert got.columns == want.columns
+    a, b = (x.orderBy("section", "idx").toPandas() for x in (want, got))
+    assert a[["section", "idx", "mark", "chainage"]].equals(b[["section", "idx", "mark", "chainage"]]) and len(a) > 100
+    for c in ("latitude", "longitude", "altitude", "chainage_m"):
+        assert np.allclose(a[c], b[c], rtol=0, atol=1e-7)
+    assert np.allclose(a.curve_radius, b.curve_radius, rtol=1e-4)
+
+
+def test_sections_of_few_points_are_named(spark):
+    df = points(spark, a=random_track(2, 5, 0.001), b=random_track(2, 3, 0.001))
+    got = sections.fitted(df, KEYS, 25.0, curves=(100.0, 5000.0), chainage=True, more_than=3).where("section = 'b'").collect()
+    assert [(r.idx, r.latitude, r.chainage_m) for r in got] == [(-1, None, None)]
+    assert sections.fitted(df.limit(0), KEYS, 25.0).count() == 0
