@@ -32,20 +32,32 @@ def _printed(x: Column, pattern: str) -> Column:
 
 
 def to_fixed(x: Column, digits: int) -> Column:
-    """Fixed decimals from the exact binary value, ties away from zero; NaN prints as such.
+    """Fixed decimals from the exact binary value, ties away from zero, up to 15 digits in all; NaN prints as such.
 
-    The exact value is the decimal expansion of the double; ties occur only where
-    it ends within one digit after the last one kept, so such values are nudged.
+    A double's shortest text rounds as its exact value does, unless it ends in a 5 one
+    digit after the last one kept: no other decimal of so few digits lies between the
+    two, as long as all have 15 digits at most.  So most values are printed as decimals.  The rest goes through the exact
+    value, the decimal expansion of the double; ties occur only where that ends
+    within one digit after the last one kept, so such values are nudged.
     """
     pattern = "0" if digits == 0 else "0." + "0" * digits
     scaled = F.abs(x) * F.lit(10.0**digits)
-    # x * 10^digits is exact for the dyadic fractions that can tie: k + 0.5 with a denominator of at most 2^(digits + 1)
-    dyadic = F.abs(x) * F.lit(2.0 ** (digits + 1))
-    tie = (scaled - F.floor(scaled) == 0.5) & (dyadic == F.floor(dyadic)) & (F.abs(x) < 1e9)
-    up = (F.floor(scaled) + 1) / F.lit(10.0**digits)
-    value = F.when(tie, F.when(x < 0, -up).otherwise(up)).otherwise(x)
-    # format_number gives -0.000 for -0.0, where only a true negative keeps its sign
-    return F.when(F.isnan(x), F.lit("NaN")).when(x == 0, _printed(F.lit(0.0), pattern)).otherwise(_printed(value, pattern))
+    ends_in_5 = F.abs(x) == (F.floor(scaled) + F.lit(0.5)) / F.lit(10.0**digits)
+    # decimals below 1e-6 print with an exponent, and a negative one that rounds to zero loses its sign
+    plain = (F.abs(x) < 10.0 ** (14 - digits)) & ~ends_in_5 & ((F.abs(x) >= 1e-6) if digits > 6 else F.lit(True)) & ~((x < 0) & (scaled < 0.5))
+
+    def exactly(x: Column) -> Column:
+        scaled = F.abs(x) * F.lit(10.0**digits)
+        # x * 10^digits is exact for the dyadic fractions that can tie: k + 0.5 with a denominator of at most 2^(digits + 1)
+        dyadic = F.abs(x) * F.lit(2.0 ** (digits + 1))
+        tie = (scaled - F.floor(scaled) == 0.5) & (dyadic == F.floor(dyadic)) & (F.abs(x) < 1e9)
+        up = (F.floor(scaled) + 1) / F.lit(10.0**digits)
+        value = F.when(tie, F.when(x < 0, -up).otherwise(up)).otherwise(x)
+        # format_number gives -0.000 for -0.0, where only a true negative keeps its sign
+        return F.when(F.isnan(x), F.lit("NaN")).when(x == 0, _printed(F.lit(0.0), pattern)).otherwise(_printed(value, pattern))
+
+    # a function of one element keeps the rare cases out of the generated method, which would grow too large to be compiled
+    return F.when(plain, x.try_cast(f"decimal(18,{digits})").cast("string")).otherwise(F.get(F.transform(F.array(x), exactly), F.lit(0)))
 
 
 def round_half_up(x: Column) -> Column:

@@ -205,7 +205,7 @@ def oracle_sql() -> dict[str, str]:
         "placemark_files": f"WITH {PRINTED} {placemarks}",
         "csv_generic": f"WITH {POINTS} SELECT section, cast(i AS bigint) AS idx, alt AS altitude FROM pts",
         "csv_plain": f"WITH {POINTS} SELECT section, cast(i AS varchar) AS idx, ' ' || printf('%.3f', alt) AS altitude FROM pts",
-        "csv_lines": f"WITH RECURSIVE {POINTS}, {chain} SELECT section || '.kml' AS file, cast(count(*) AS bigint) AS n_lines, round(sum(lat) / count(*), 6) AS mean_lat, round(sum(lon) / count(*), 6) AS mean_lon, round(max(chainage) / 1000, 2) AS length_km FROM lines GROUP BY section",
+        "csv_lines": f"WITH RECURSIVE {POINTS}, {chain} SELECT section || '.kml' AS file, cast(count(*) AS bigint) AS n_lines, round(sum(lat) / count(*), 6) AS mean_lat, round(sum(lon) / count(*), 6) AS mean_lon, round(max(chainage) / 1000, 3) AS length_km FROM lines GROUP BY section",
         "csv_files": f"WITH RECURSIVE {POINTS}, {chain}, {TABLES} SELECT section || '.csv' AS file_name, n_lines, first_line, last_km FROM tables",
         "centerline_archive": f"WITH RECURSIVE {PRINTED}, {chain}, {TABLES} SELECT section || '.csv' AS file_name, n_lines, first_line, last_km FROM tables",
         "centerlines": f"WITH RECURSIVE {POINTS}, {chain} SELECT section, cast(count(*) AS bigint) AS n_points, round(max(chainage), 2) AS length_m, cast(sum(CASE WHEN radius > 0 THEN 1 ELSE 0 END) AS bigint) AS n_curved FROM lines GROUP BY section",

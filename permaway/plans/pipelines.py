@@ -66,7 +66,7 @@ def build_centerlines(spark: SparkSession, paths: list[str], options: Centerline
     out = out.where(F.col("wins") | F.col("content").isNull()).select("file_name", "content")
     if output:
         try:
-            archive.write_archive(out, output)
+            archive.write_archive(out, output, level=1)  # one task packs them all: quickly rather than tightly
         except PySparkException as e:
             if _EMPTY in str(e):
                 raise EmptyFileError(str(e)[str(e).index(_EMPTY) :].splitlines()[0]) from e

@@ -298,7 +298,7 @@ def csv_lines(spark, sf_dir):
     """The lines of centerline tables, read again."""
     read = centerline_csv.parse_lines(text.csv_lines(_centerline(spark, sf_dir)))
     mean = lambda c, name: F.round(F.sum(c) / F.count("*"), 6).alias(name)
-    return read.groupBy("file").agg(F.count("*").alias("n_lines"), mean("latitude", "mean_lat"), mean("longitude", "mean_lon"), F.round(F.max("kilometrage"), 2).alias("length_km"))
+    return read.groupBy("file").agg(F.count("*").alias("n_lines"), mean("latitude", "mean_lat"), mean("longitude", "mean_lon"), F.round(F.max("kilometrage"), 3).alias("length_km"))
 
 
 def _table_digest(files: DataFrame) -> DataFrame:

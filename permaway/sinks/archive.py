@@ -78,12 +78,12 @@ class ArchiveSink(DataSource):
         return _Writer(dict(self.options))
 
 
-def write_archive(files: DataFrame, path: str, single: bool = True) -> None:
-    """Writes the rows as one archive, or as one per partition where a single task should not hold them all."""
+def write_archive(files: DataFrame, path: str, single: bool = True, level: int = 9) -> None:
+    """Writes the rows as one archive, or as one per partition where a single task should not hold them all; only finished rows meet in that task."""
     ship(files.sparkSession)
     files.sparkSession.dataSource.register(ArchiveSink)
     rows = files.select("file_name", "content")
-    (rows.coalesce(1) if single else rows).write.format("archive").option("path", located(files.sparkSession, path)).mode("append").save()
+    (rows.repartition(1) if single else rows).write.format("archive").option("level", level).option("path", located(files.sparkSession, path)).mode("append").save()
 
 
 class _FileWriter(DataSourceWriter):

@@ -1,7 +1,7 @@
 """Drawn paths: a Python data source of Placemarks, and their coordinates as Columns.
 
 ``spark.read.format("placemarks").load(paths)`` gives one row per Placemark in
-document order, one partition per file.  Coordinates stay text there; ``points``
+document order, a partition for each file or a few files.  Coordinates stay text there; ``points``
 splits and parses them in the engine.
 
 Element names are matched without a prefix in the default namespace.  The
@@ -67,25 +67,31 @@ def placemarks(content: bytes | str) -> list[tuple[int, str, str, list[str]]]:
     return [(k, m.get("name", f"Section_{k}"), m.get("description", ""), m["coordinates"]) for k, m in enumerate(found)]
 
 
-class _File(InputPartition):
-    def __init__(self, number: int, path: str):
-        self.number, self.path = number, path
+#: Files of one partition at most, and partitions that many files are dealt to before one takes a second.
+FILES, PARTITIONS = 100, 200
+
+
+class _Files(InputPartition):
+    def __init__(self, numbers: range, paths: list[str]):
+        self.numbers, self.paths = numbers, paths
 
 
 class _Reader(DataSourceReader):
     def __init__(self, paths: list[str]):
         self.paths = paths
 
-    def partitions(self) -> list[_File]:
-        return [_File(k, p) for k, p in enumerate(self.paths)]
-
-    def read(self, partition: _File) -> Iterator[tuple]:
-        path = partition.path
-        store, inner = opened(path)
-        with store.open_input_stream(inner) as stream:
-            content = stream.read()
-        for k, section, description, coordinates in placemarks(content):
-            yield name_of(path), partition.number, k, section, description, coordinates
+    def partitions(self) -> list[_Files]:
+        n = len(self.paths)
+        size = max(1, min(FILES, -(-n // PARTITIONS)))
+        return [_Files(range(a, min(a + size, n)), self.paths[a : a + size]) for a in range(0, n, size)]
+
+    def read(self, partition: _Files) -> Iterator[tuple]:
+        for number, path in zip(partition.numbers, partition.paths, strict=True):
+            store, inner = opened(path)
+            with store.open_input_stream(inner) as stream:
+                content = stream.read()
+            for k, section, description, coordinates in placemarks(content):
+                yield name_of(path), number, k, section, description, coordinates
 
 
 class PlacemarkSource(DataSource):

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import math
+import random
 import zipfile
+from decimal import ROUND_HALF_UP, Decimal
 from xml.etree import ElementTree
 
 import pytest
@@ -63,6 +65,17 @@ def test_fixed_decimals(spark, x, digits, shown):
     assert df.select(jsnum.to_fixed(F.col("x"), digits).alias("t")).first().t == shown
 
 
+@pytest.mark.parametrize("digits", [0, 1, 3, 8])
+def test_fixed_decimals_by_exact_arithmetic(spark, digits):
+    rng = random.Random(digits)
+    xs = [rng.choice((1, -1)) * rng.random() * 10.0 ** rng.randint(-9, min(8, 13 - digits)) for _ in range(3000)]
+    xs += [(rng.randint(-(10**6), 10**6) + 0.5) / 10**digits for _ in range(1000)] + [k / 2 ** (digits + 1) for k in range(-40, 40)] + [0.0, -0.0, 1e-6, 999999.0]
+    got = spark.createDataFrame(list(enumerate(xs)), "k int, x double").select("k", jsnum.to_fixed(F.col("x"), digits).alias("t")).orderBy("k").collect()
+    for x, r in zip(xs, got, strict=True):
+        want = f"{Decimal(x).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP):f}"
+        assert r.t == (want.lstrip("-") if x == 0 else want), x
+
+
 def test_number_prefixes(spark):
     texts = ["12.5abc", "12.5d", "1e3", "", " .5", "-7.", "x1", "Infinity", "+3", "1e"]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
