@@ -38,10 +38,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permaway.llm.storage import arrow_batches, new_dir, written
+from permaway.llm.storage import arrow_batches, written
 from permaway.llm.tokens import default_path, encoder
 from permaway.llm.workers import serving
-from permaway.paths import located, opened
+from permaway.paths import located, new_dir, opened
 
 MAGIC = b"PWSST001"
 FOOTER = struct.Struct("<QQQQQQI8s")

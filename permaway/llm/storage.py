@@ -2,40 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import getpass
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from permaway.paths import located
+from permaway.paths import new_dir
 from permaway.shipping import ship
 
-_MADE: list[tuple[SparkSession, str]] = []
-
 #: Arrow batches of this many rows and bytes at most, so that a batch of long texts fits a Python worker.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one only where that is unset and all tasks run in this process, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return located(spark, named.rstrip("/"))
-    if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return located(spark, f"{tempfile.gettempdir()}/permaway-{getpass.getuser()}")
-
-
-def new_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/permaway/{name}-{uuid.uuid4().hex}"
-    _MADE.append((spark, path))
-    return path
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table written to the shared folder and read again: its lineage ends there."""
     path = new_dir(df.sparkSession, name)
@@ -51,18 +28,3 @@ def arrow_batches(spark: SparkSession) -> None:
         now = re.fullmatch(r"(-?\d+)([kmg]?)b?", spark.conf.get(key).lower())
         if not now or not 0 < int(now[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[now[2]] <= most:  # the session's own smaller bound stays
             spark.conf.set(key, str(most))
-
-
-def drop_dirs() -> None:
-    """Deletes what this driver wrote, through Spark's own file systems."""
-    while _MADE:
-        spark, path = _MADE.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session may have ended: the folder then stays for the cluster's own cleaning
-            return
-
-
-atexit.register(drop_dirs)

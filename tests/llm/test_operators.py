@@ -15,7 +15,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from permaway.llm import ann, components, decontam, htmltext, langid, licenses, neardup, packing, pii, registry, sampling, sstable, storage, tokens, toxicity
+from permaway import paths
+from permaway.llm import ann, components, decontam, htmltext, langid, licenses, neardup, packing, pii, registry, sampling, sstable, tokens, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, component_id string, bin int"
 
@@ -392,8 +393,8 @@ def test_scratch_needs_a_shared_folder(spark, monkeypatch):
         sparkContext, conf = Cluster, type("conf", (), {"get": staticmethod(lambda k, d=None: d)})
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        storage.shared_dir(Session)
-    assert storage.shared_dir(spark).startswith("file:///")
+        paths.shared_dir(Session)
+    assert paths.shared_dir(spark).startswith("file:///")
 
 
 def test_shard_lookup_over_many_blocks(tmp_path):
