@@ -13,9 +13,13 @@ from permaway.llm import decontam, langid, neardup, packing, pii
 from permaway.llm.storage import written
 
 
+#: Languages that stay (None: all that the labelled documents teach), and the code length in bits a byte from which a text is in none of them.
+LANGUAGES, MOST_BITS = None, 7.0
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those that no language model codes."""
-    return langid.keep_identified(docs, langid.train(docs))
+    """Keeps documents in ``LANGUAGES``: others, texts that no language model codes well and texts without a letter go."""
+    return langid.keep_identified(docs, langid.train(docs), LANGUAGES, MOST_BITS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
