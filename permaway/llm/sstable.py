@@ -15,11 +15,11 @@ sign flipped, so that bytes sort as ids do.  A value is the ids as little-endian
 unsigned integers of 2 or 4 bytes (the footer says which).
 
 Defined cases: null text is the end id alone; a null id sorts first; equal ids
-stand next to each other, in the order of their texts' hashes; empty input writes no
+stand next to each other, in the order of the input; empty input writes no
 shard and reads as no rows.
 
-Shards are ranges of ids; equal ids are dealt by the hashes of their texts, so a
-shard is bounded however often an id repeats.  The manifest has the first and
+Shards are ranges of ids and input rows, so a shard is bounded however often an id
+repeats.  The manifest has the first and
 last key of each shard: a lookup bisects shards, then blocks, then restart points.
 """
 
@@ -263,11 +263,10 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, shard_do
     spark = docs.sparkSession
     arrow_batches(spark)
     folder = located(spark, folder)
-    names = ("doc_id", "text", "h", "row")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumns({"h": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())
     shards = min(MOST_SHARDS, max(1, -(-docs.select("doc_id").count() // shard_docs)))
-    order = [F.col(c).asc_nulls_first() for c in ("doc_id", "h", "row")]
-    ordered = keyed.select(*names).repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    order = [F.col(c).asc_nulls_first() for c in ("doc_id", "row")]
+    ordered = keyed.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
     manifest = written(ordered.mapInArrow(serving("tokens", _write(folder, path or default_path())), "shard long, path string, n_docs long, n_tokens long, first binary, last binary"), "manifest")
     # one small row per shard, MOST_SHARDS at most: the driver adds up where each begins
     rows, start = [], 0
