@@ -18,7 +18,7 @@ import numpy as np
 #: Id appended to every document.
 END_ID = 0
 #: Entries of one generation of a cache; two generations are kept.
-CACHE = 500_000
+CACHE = 250_000
 #: Longer strings than this are encoded without being kept.
 LONGEST = 40
 
