@@ -17,8 +17,8 @@ import numpy as np
 
 #: Id appended to every document.
 END_ID = 0
-#: Entries of one generation of a cache; two generations are kept.
-CACHE = 250_000
+#: Entries of a cache (some 170 bytes each).
+CACHE = 600_000
 #: Longer strings than this are encoded without being kept.
 LONGEST = 40
 
@@ -40,8 +40,7 @@ def _byte_letters() -> dict[int, str]:
 class Encoder(dict):
     """Encodes texts to ids as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
 
-    The dict holds the packed ids of chunks and pre-tokens; when a generation is
-    full, it becomes the old one and what is met again moves back.
+    The dict holds the packed ids of chunks and pre-tokens; when it is full, it begins anew.
     """
 
     def __init__(self, path: str):
@@ -58,23 +57,28 @@ class Encoder(dict):
         self.odd = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]").search
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.letters = _byte_letters()
-        self.old: dict[str, bytes] = {}
+        self.space = self.letters[0x20]
+
+    def _model(self, piece: str) -> bytes:
+        """The ids of one pre-token, by the library's model."""
+        return array("I", [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        got = self.old.get(chunk)
-        if got is None:
-            if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()) or len(chunk) == 1:
-                got = array("I", [t.id for t in self.tokenize(chunk.encode().decode("latin-1").translate(self.letters))]).tobytes()
-            elif not chunk:
-                got = b""
-            elif chunk[-1] in ".," and chunk[1:-1].isalpha() and chunk[0] == " ":
-                got = self[chunk[:-1]] + self[chunk[-1]]
-            else:
-                parts = self.split(chunk)
-                got = b"".join(map(self.__getitem__, parts)) if len(parts) > 1 else array("I", [t.id for t in self.tokenize(chunk.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        rest = chunk[1:]
+        if rest.isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
+            # no white space and no sign but the first: most of what is new
+            got = array("I", [t.id for t in self.tokenize(self.space + rest if chunk[0] == " " else chunk)]).tobytes() if chunk.isascii() else self._model(chunk)
+        elif len(chunk) == 1:
+            got = self._model(chunk)
+        elif not chunk:
+            got = b""
+        elif chunk[-1] in ".," and rest[:-1].isalpha() and chunk[0] == " ":
+            got = self[chunk[:-1]] + self[chunk[-1]]
+        else:
+            parts = self.split(chunk)
+            got = b"".join(map(self.__getitem__, parts)) if len(parts) > 1 else self._model(chunk)
         if len(chunk) <= LONGEST:
             if len(self) >= CACHE:
-                self.old = dict(self)
                 self.clear()
             self[chunk] = got
         return got
