@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import threading
 from collections.abc import Callable, Iterator
 
 _SERVED: list[str] = [""]
@@ -29,12 +30,32 @@ def give_back() -> None:
         pass
 
 
+#: Seconds without a task after which a worker gives back what it kept.
+REST = 2.0
+_TURN, _LOCK = [0], threading.Lock()
+
+
+def _rest(turn: int) -> None:
+    """Gives back what was kept for a next task, if none came."""
+    from permaway.llm import tokens
+
+    with _LOCK:
+        if turn == _TURN[0]:
+            tokens.forget()
+            give_back()
+
+
 def serving(operator: str, run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run`` for mapInArrow, in a worker that serves ``operator``."""
 
     def served(batches: Iterator) -> Iterator:
+        with _LOCK:
+            _TURN[0] += 1
         turn_to(operator)
         yield from run(batches)
         give_back()
+        timer = threading.Timer(REST, _rest, (_TURN[0],))
+        timer.daemon = True
+        timer.start()
 
     return served

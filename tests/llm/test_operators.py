@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from permaway import paths
-from permaway.llm import ann, components, decontam, htmltext, langid, licenses, neardup, packing, pii, registry, sampling, sstable, tokens, toxicity
+from permaway.llm import ann, components, decontam, htmltext, langid, licenses, neardup, packing, pii, registry, sampling, sstable, tokens, toxicity, workers
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, component_id string, bin int"
 
@@ -311,6 +311,22 @@ def test_encoder_equals_the_library(spark, sf_dir):
         assert np.frombuffer(encode(t), "<u4").tolist() == naive_ids(t)
 
 
+def test_workers_give_back_what_they_kept(monkeypatch):
+    """Not between two tasks, but when none comes."""
+    monkeypatch.setattr(workers, "REST", 0.3)
+
+    def run(batches):
+        tokens.encoder(tokens.default_path()).encode("some words")
+        yield from batches
+
+    first = list(workers.serving("tokens", run)(iter([1])))
+    kept = dict(tokens._OPEN)
+    list(workers.serving("tokens", run)(iter([2])))
+    assert first == [1] and kept and tokens._OPEN == kept
+    time.sleep(1.0)
+    assert not tokens._OPEN
+
+
 def test_packing_places_every_token_once(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect()] + [(10_000 + k, t) for k, (_, t) in enumerate(EDGES)]
     got = packing.packed(docs(spark, rows)).toPandas()
