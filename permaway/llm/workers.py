@@ -45,17 +45,26 @@ def _rest(turn: int) -> None:
             give_back()
 
 
+def _begin(operator: str) -> None:
+    with _LOCK:
+        _TURN[0] += 1
+    turn_to(operator)
+
+
+def _end() -> None:
+    give_back()
+    timer = threading.Timer(REST, _rest, (_TURN[0],))
+    timer.daemon = True
+    timer.start()
+
+
 def serving(operator: str, run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run`` for mapInArrow, in a worker that serves ``operator``."""
 
     def served(batches: Iterator) -> Iterator:
-        with _LOCK:
-            _TURN[0] += 1
-        turn_to(operator)
+        # these belong to the worker's own module: the function is sent without its state
+        _begin(operator)
         yield from run(batches)
-        give_back()
-        timer = threading.Timer(REST, _rest, (_TURN[0],))
-        timer.daemon = True
-        timer.start()
+        _end()
 
     return served
