@@ -87,9 +87,12 @@ def drawn_points(points: DataFrame) -> DataFrame:
 
 
 def build_lines(spark: SparkSession, paths: list[str], options: DrawingOptions = DrawingOptions(), output: str | None = None) -> DataFrame:
-    """One row with the drawn lines of centerline CSVs; with ``output`` also an archive that holds it as doc.kml."""
+    """One row with the drawn lines of centerline CSVs; with ``output`` also an archive that holds it as doc.kml.
+
+    A row ends at 2 GB of text; the archive is written from the lines and has no such end.
+    """
     points = drawn_points(centerline_csv.read_centerlines(spark, paths))
-    document = text.lines_document(points, options.altitude_mode, options.offset, options.exaggeration)
+    drawing = (options.altitude_mode, options.offset, options.exaggeration)
     if output:
-        archive.write_archive(document.select(F.lit("doc.kml").alias("file_name"), "content"), output)
-    return document
+        archive.write_entry(text.lines_pieces(points, *drawing), "doc.kml", output)
+    return text.lines_document(points, *drawing)

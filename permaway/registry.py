@@ -327,7 +327,7 @@ def lines_archive(spark, sf_dir):
     folder = _folder_of(spark, body.select(F.concat("section", F.lit(".csv")).alias("file_name"), F.concat(F.lit(text.CSV_HEADER + "\n"), "content", F.lit("\n")).alias("content")))
     path = f"{new_dir(spark, 'archive')}/lines.kmz"
     pipelines.build_lines(spark, [folder], output=path)
-    return archive.read_archives(spark, [path]).select("file_name", F.md5("content").alias("content_md5"), F.length("content").cast("bigint").alias("n_chars"))
+    return archive.read_digests(spark, [path])
 
 
 def kml_lines(spark, sf_dir):

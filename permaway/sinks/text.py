@@ -128,19 +128,40 @@ def _head(title: str) -> str:
     return DOCUMENT + f"  <name>{title}</name>\n  <description>{DESCRIPTION}</description>\n" + styles()
 
 
+def _folders(points: DataFrame, mode: str, offset: float, exaggeration: float) -> DataFrame:
+    """(style_ord, _l, _p): the folders of every line's drawings and of its posts."""
+    every = drawn_lines(points, mode, offset, exaggeration)
+    folder = lambda inner: F.concat(F.lit("    <Folder>\n      <name>"), styling.escape_xml(F.col("line")), F.lit("</name>\n"), inner, F.lit("    </Folder>\n"))
+    return every.select("style_ord", folder(F.concat("full", F.coalesce("low", F.lit("")))).alias("_l"), folder(F.col("posts")).alias("_p"))
+
+
+def _frame(title: str) -> tuple[str, str, str]:
+    """What stands before the folders of lines, before those of posts, and behind both."""
+    return _head(title) + "  <Folder>\n    <name>Lines</name>\n", "  </Folder>\n  <Folder>\n    <name>Posts</name>\n    <visibility>0</visibility>\n", "  </Folder>\n" + END
+
+
 def lines_document(points: DataFrame, mode: str = "clampToGround", offset: float = 3.0, exaggeration: float = 1.0, title: str = "Centerlines") -> DataFrame:
     """One row ``content``: styles, a folder of lines (full and low detail) and a folder of kilometre posts.
 
     A single document is one row by nature: its last step is one ordered aggregate of one row per line.
     """
-    every = drawn_lines(points, mode, offset, exaggeration)
-    folder = lambda inner: F.concat(F.lit("    <Folder>\n      <name>"), styling.escape_xml(F.col("line")), F.lit("</name>\n"), inner, F.lit("    </Folder>\n"))
-    every = every.select("style_ord", folder(F.concat("full", F.coalesce("low", F.lit("")))).alias("_l"), folder(F.col("posts")).alias("_p"))
     parts = F.array_sort(F.collect_list(F.struct("style_ord", "_l", "_p")))
     text = lambda f: F.array_join(F.transform("_a", lambda x: x[f]), "")
-    return every.agg(parts.alias("_a")).select(
-        F.concat(F.lit(_head(title) + "  <Folder>\n    <name>Lines</name>\n"), text("_l"), F.lit("  </Folder>\n  <Folder>\n    <name>Posts</name>\n    <visibility>0</visibility>\n"), text("_p"), F.lit("  </Folder>\n" + END)).alias("content")
-    )
+    before, between, behind = map(F.lit, _frame(title))
+    return _folders(points, mode, offset, exaggeration).agg(parts.alias("_a")).select(F.concat(before, text("_l"), between, text("_p"), behind).alias("content"))
+
+
+#: Lines of one bucket of a document's pieces.
+BUCKET = 64
+
+
+def lines_pieces(points: DataFrame, mode: str = "clampToGround", offset: float = 3.0, exaggeration: float = 1.0, title: str = "Centerlines") -> DataFrame:
+    """(bucket, place, content): the same document as texts, ordered by bucket and place; no row holds more than a line."""
+    kind = lambda k: F.lit(k << 40).cast("bigint")
+    piece = lambda k, c: F.struct((kind(k) + F.floor(F.col("style_ord") / BUCKET)).alias("bucket"), F.col("style_ord").cast("bigint").alias("place"), F.col(c).alias("content"))
+    folders = _folders(points, mode, offset, exaggeration).select(F.inline(F.array(piece(1, "_l"), piece(3, "_p"))))
+    frame = points.sparkSession.createDataFrame([(2 * k << 40, 0, t) for k, t in enumerate(_frame(title))], "bucket bigint, place bigint, content string")
+    return folders.unionByName(frame)
 
 
 def simple_document(points: DataFrame, mode: str = "clampToGround", offset: float = 3.0, exaggeration: float = 1.0, title: str = "Centerlines") -> DataFrame:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 import zipfile
@@ -208,6 +209,51 @@ def test_archive_of_equal_names_keeps_the_last():
     assert z.read("a") == b"3" and sorted(z.namelist()) == ["a", "b"]
 
 
+def test_archive_of_a_document_needs_no_row_of_the_whole(spark, tmp_path, monkeypatch):
+    for k in range(150):
+        (tmp_path / f"t{k:03d}é.csv").write_text("".join(f"s,{-33 + j / 100},{151 + k / 100},0,{j / 8}\n" for j in range(25)), encoding="utf-8")
+    rows, saved = [], archive._saved
+    monkeypatch.setattr(archive, "_saved", lambda df, *a, **o: (rows.append(df.agg(F.max(F.length("content"))).first()[0]), saved(df, *a, **o)))
+    document = pipelines.build_lines(spark, [str(tmp_path)], output=str(tmp_path / "out" / "l.kmz")).first().content
+    z = zipfile.ZipFile(tmp_path / "out" / "l.kmz")
+    assert z.namelist() == ["doc.kml"] and z.testzip() is None and z.read("doc.kml").decode() == document
+    assert rows[0] * 50 < len(document)
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["l.kmz"]
+    digest = archive.read_digests(spark, [str(tmp_path / "out" / "l.kmz")]).collect()
+    assert [tuple(r) for r in digest] == [("doc.kml", hashlib.md5(document.encode()).hexdigest(), len(document))]
+
+
+def test_large_folders_are_listed_at_once(spark, tmp_path, monkeypatch):
+    for k in range(300):
+        (tmp_path / f"f {k:03d}+%20é.csv").write_text(f"s,{k},2\n")
+    (tmp_path / "_hidden").write_text("x")
+    (tmp_path / "sub").mkdir()
+    client, calls = type(spark.sparkContext._gateway._gateway_client), []
+    send = client.send_command
+    monkeypatch.setattr(client, "send_command", lambda self, *a, **b: (calls.append(1), send(self, *a, **b))[1])
+    files = files_of(spark, [str(tmp_path)])
+    again = files_of(spark, files[::-1])
+    assert len(calls) < 300 and len(files) == 300 and again == files[::-1]
+    got = centerline_csv.read_centerlines(spark, files[::-1])
+    assert got.rdd.getNumPartitions() < 50
+    assert sorted((r.file_ord, r.file, r.latitude) for r in got.collect()) == [(299 - k, f"f {k:03d}+%20é.csv", k) for k in range(299, -1, -1)]
+
+
+def test_zip_records_of_large_archives():
+    import io
+    import struct
+    import zlib
+
+    a, b = b"ab" * 1000, "é".encode() * 777
+    assert archive.joined_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b) and archive.joined_crc(zlib.crc32(a), 0, 0) == zlib.crc32(a)
+    entries = [archive.Entry(f"n{k}", k, 10, 20, k * 10**5) for k in range(70000)]
+    listed = zipfile.ZipFile(io.BytesIO(archive._end(entries, 0))).infolist()
+    assert [(i.filename, i.CRC, i.compress_size, i.file_size, i.header_offset) for i in listed] == [tuple(e) for e in entries]
+    assert listed[-1].header_offset > 2**32
+    large = archive.Entry("x", 1, 5 * 10**9, 6 * 10**9)
+    assert struct.unpack("<2H2Q", large.record(False)[-20:]) == (1, 16, 6 * 10**9, 5 * 10**9)
+
+
 def test_options():
     assert CenterlineOptions.curve_finding().output_spacing == 5.0
     assert CenterlineOptions.parse(spline_detail="60.9", output_spacing="10m").spline_detail == 60
