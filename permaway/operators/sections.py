@@ -19,11 +19,12 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StringType, StructField, StructType
 
 from permaway.functions.geodesy import direct_arrays, inverse_arrays
 from permaway.operators.track import TAIL, check_densify
 from permaway.shipping import ship
+from permaway.sinks.archive import deflated
 
 #: Segments whose curve is held at once.
 SEGMENTS = 2048
@@ -120,6 +121,31 @@ def radii(lat: np.ndarray, lon: np.ndarray, arc: float, threshold: float) -> np.
     return out
 
 
+class _Chain:
+    """The chain of one section: what stands in a result's rows, and the rows of the anchors that the rest is taken from."""
+
+    def __init__(self, interval: float, detail: int, tension: float, densify: tuple[float, float] | None, curves: tuple[float, float] | None, chainage: bool):
+        if not (interval > 0 and math.isfinite(interval)):
+            raise ValueError("resample needs interval > 0")
+        if densify:
+            check_densify(*densify)
+        self.interval, self.detail, self.tension, self.densify, self.curves, self.chainage = interval, detail, tension, densify, curves, chainage
+
+    def run(self, table: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """``table`` is ordered by idx."""
+        lat, lon, alt = (table.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("latitude", "longitude", "altitude"))
+        points = (lat, lon, alt, np.arange(len(lat)))
+        if self.densify:
+            points = densified(points, *self.densify)
+        lat, lon, alt, row = resampled_curve(points, self.interval, self.detail, self.tension)
+        made = {"latitude": lat, "longitude": lon, "altitude": alt, "idx": np.arange(len(lat))}
+        if self.curves:
+            made["curve_radius"] = radii(lat, lon, *self.curves)
+        if self.chainage:
+            made["chainage_m"] = np.concatenate([[0.0], np.cumsum(_legs(lat, lon)[0])]) if len(lat) > 1 else np.zeros(len(lat))
+        return made, row
+
+
 def fitted(df: DataFrame, keys: Sequence[str], interval: float, detail: int = 60, tension: float = 0.5, densify: tuple[float, float] | None = None, curves: tuple[float, float] | None = None, chainage: bool = False, more_than: int = 0) -> DataFrame:
     """The curve through the ordered anchors of each section, resampled: ``df``'s columns, and what else is asked for.
 
@@ -127,10 +153,7 @@ def fitted(df: DataFrame, keys: Sequence[str], interval: float, detail: int = 60
     arc and threshold of ``curve_radius``.  ``chainage``: with ``chainage_m``.  A section
     of no more than ``more_than`` points gives one row with the ``idx`` -1 and no coordinates.
     """
-    if not (interval > 0 and math.isfinite(interval)):
-        raise ValueError("resample needs interval > 0")
-    if densify:
-        check_densify(*densify)
+    chain = _Chain(interval, detail, tension, densify, curves, chainage)
     ship(df.sparkSession)
     names = df.columns
     kept = [n for n in names if n not in ("idx", "latitude", "longitude", "altitude")]
@@ -141,17 +164,60 @@ def fitted(df: DataFrame, keys: Sequence[str], interval: float, detail: int = 60
         if len(table) <= more_than:
             return pa.table({n: table.column(n).slice(0, 1) if n in kept else pa.array([-1]) if n == "idx" else pa.nulls(1, pa.float64()) for n in [*names, *more]})
         table = table.sort_by("idx")
-        lat, lon, alt = (table.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("latitude", "longitude", "altitude"))
-        points = (lat, lon, alt, np.arange(len(lat)))
-        if densify:
-            points = densified(points, *densify)
-        lat, lon, alt, row = resampled_curve(points, interval, detail, tension)
-        made = {"latitude": lat, "longitude": lon, "altitude": alt, "idx": np.arange(len(lat))}
-        if curves:
-            made["curve_radius"] = radii(lat, lon, *curves)
-        if chainage:
-            made["chainage_m"] = np.concatenate([[0.0], np.cumsum(_legs(lat, lon)[0])]) if len(lat) > 1 else np.zeros(len(lat))
+        made, row = chain.run(table)
         rest = table.select(kept).take(pa.array(row))
         return pa.table({n: pa.array(made[n]) if n in made else rest.column(n) for n in [*names, *more]})
 
     return df.groupBy(*keys).applyInArrow(run, schema)
+
+
+def _rounding(x: np.ndarray, digits: int) -> np.ndarray:
+    """Values whose decimals print as ``jsnum.to_fixed`` has them: ties away from zero, and no negative zero."""
+    x = x + 0.0
+    with np.errstate(all="ignore"):
+        scaled, dyadic = np.abs(x) * 10.0**digits, np.abs(x) * 2.0 ** (digits + 1)
+        tie = (scaled - np.floor(scaled) == 0.5) & (dyadic == np.floor(dyadic)) & (np.abs(x) < 1e9)
+        return np.where(tie, np.copysign((np.floor(scaled) + 1) / 10.0**digits, x), x)
+
+
+def csv_text(names: list[str], columns: Sequence[tuple[np.ndarray, int]]) -> str:
+    """Lines of a name and numbers with so many decimals; each line ends."""
+    width = len(columns) + 1
+    cells: list = [None] * (len(names) * width)
+    cells[::width] = names
+    kinds = ["%s"]
+    for k, (x, digits) in enumerate(columns, 1):
+        x = _rounding(x, digits)
+        if np.isfinite(x).all():
+            cells[k::width] = x.tolist()
+            kinds.append(f"%.{digits}f")
+        else:
+            cells[k::width] = [f"{v:.{digits}f}" if math.isfinite(v) else "NaN" if math.isnan(v) else "∞" if v > 0 else "-∞" for v in x.tolist()]
+            kinds.append("%s")
+    return (",".join(kinds) + "\n") * len(names) % tuple(cells)
+
+
+def printed(df: DataFrame, keys: Sequence[str], interval: float, detail: int = 60, densify: tuple[float, float] | None = None, curves: tuple[float, float] | None = None, more_than: int = 0, level: int | None = None) -> DataFrame:
+    """(keys, section_ord, text): the lines of ``text.csv_line`` of each section, which never are rows; null for a section of no more than ``more_than`` points.
+
+    With ``level`` there are ``data``, ``crc`` and ``size`` instead, a piece of an archive's entry.
+    """
+    chain = _Chain(interval, detail, 0.5, densify, curves, True)
+    ship(df.sparkSession)
+    kept = [*keys, "section_ord"]
+    more = StructType([StructField("text", StringType())] if level is None else [StructField("data", BinaryType()), StructField("crc", LongType()), StructField("size", LongType())])
+    types = {"text": pa.string(), "data": pa.binary(), "crc": pa.int64(), "size": pa.int64()}
+
+    def run(table: pa.Table) -> pa.Table:
+        made: tuple = (None,) * len(more)
+        if len(table) > more_than:
+            table = table.sort_by("idx")
+            line, row = chain.run(table)
+            km, radius = (np.where(np.isnan(x), 0.0, x) for x in (line["chainage_m"], line.get("curve_radius", np.zeros(len(row)))))
+            names = table.column("section").take(pa.array(row)).to_pylist()
+            text = csv_text(names, [(line["latitude"], 8), (line["longitude"], 8), (line["altitude"], 3), (km / 1000.0, 3), (radius, 1)])
+            made = (text,) if level is None else tuple(deflated([text], level))
+        first = table.select(kept).slice(0, 1)
+        return pa.table({**{n: first.column(n) for n in kept}, **{n: pa.array([v], types[n]) for n, v in zip(more.names, made, strict=True)}})
+
+    return df.groupBy(*keys).applyInArrow(run, StructType([*(StructField(n, df.schema[n].dataType) for n in kept), *more]))

@@ -6,8 +6,10 @@ one name in different folders stay apart until the outputs, where the last count
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from permaway.functions.jsnum import section_order
@@ -20,6 +22,8 @@ from permaway.sources import centerline_csv, kml
 
 KEYS = ("file_ord", "file", "section_key")
 _EMPTY = "no points in "
+#: Archives of tables are packed quickly rather than tightly.
+LEVEL = 1
 
 
 def sections(points: DataFrame) -> DataFrame:
@@ -33,10 +37,14 @@ def sections(points: DataFrame) -> DataFrame:
     return track.numbered(keyed, KEYS, "idx").drop("placemark_idx", "tuple_idx")
 
 
+def _chained(options: CenterlineOptions) -> dict:
+    curves = (options.curve_arc, options.straight_threshold) if options.find_curves else None
+    return {"interval": options.output_spacing, "detail": options.spline_detail, "densify": (options.max_segment, options.densify_spacing), "curves": curves}
+
+
 def centerline(points: DataFrame, options: CenterlineOptions = CenterlineOptions(), keys: track.Keys = KEYS, more_than: int = 0) -> DataFrame:
     """Densify, fit, flatten, resample, radius and chainage of ordered sections of so many points: one exchange, one pass."""
-    curves = (options.curve_arc, options.straight_threshold) if options.find_curves else None
-    line = chain.fitted(points, keys, options.output_spacing, options.spline_detail, densify=(options.max_segment, options.densify_spacing), curves=curves, chainage=True, more_than=more_than)
+    line = chain.fitted(points, keys, **_chained(options), chainage=True, more_than=more_than)
     return line if options.find_curves else line.withColumn("curve_radius", F.lit(None).cast("double"))
 
 
@@ -52,26 +60,33 @@ def build_centerlines(spark: SparkSession, paths: list[str], options: Centerline
     """
     files = files_of(spark, paths)
     points = kml.points(kml.read_placemarks(spark, files)).select("file_ord", "file", "section", "placemark_idx", "tuple_idx", "latitude", "longitude", "altitude")
-    line = centerline(sections(points), options, more_than=track.LEAST_POINTS)
-    # every file has a row of its own beside its lines: a file without any other holds no point
+    points = sections(points)
+    # every file has a row of its own beside its sections: a file without any other holds no point
     names = [name_of(p).replace(".kml", ".csv", 1) for p in files]
     last = {n: k for k, n in enumerate(names)}
     marks = spark.createDataFrame([(k, n, last[n] == k) for k, n in enumerate(names)], "file_ord int, file_name string, wins boolean")
-    rows = text.csv_lines(line, ("file_ord",)).unionByName(marks, allowMissingColumns=True)
-    body = text.joined(rows, ["file_ord"], ["section_ord", "idx"], "line", "\n", F.max("file_name").alias("file_name"), F.max("wins").alias("wins"), F.count("idx").alias("n"))
-    missing = F.raise_error(F.concat(F.lit(_EMPTY), F.col("file_name"))).cast("string")
-    whole = F.concat(F.lit(text.CSV_HEADER + "\n"), F.col("content"), F.when(F.col("content") == "", F.lit("")).otherwise(F.lit("\n")))
-    out = body.select("file_name", "wins", F.when(F.col("n") == 0, missing).otherwise(whole).alias("content"))
-    # of equal names the last file counts, but none may be empty
-    out = out.where(F.col("wins") | F.col("content").isNull()).select("file_name", "content")
+
+    def tables(head: Column, columns: list[str], whole: Callable[[Column], Column], level: int | None) -> DataFrame:
+        """Of each file the head and what its sections' lines, printed where they are made, give in their order."""
+        rows = chain.printed(points, KEYS, **_chained(options), more_than=track.LEAST_POINTS, level=level).drop("file", "section_key")
+        parts = F.array_sort(F.collect_list(F.when(F.col(columns[0]).isNotNull(), F.struct("section_ord", F.struct(*columns).alias("_t")))))
+        body = rows.unionByName(marks, allowMissingColumns=True).groupBy("file_ord").agg(parts.alias("_a"), F.max("file_name").alias("file_name"), F.max("wins").alias("wins"), F.count("section_ord").alias("n"))
+        content = whole(F.concat(F.array(head), F.transform("_a", lambda x: x["_t"])))
+        missing = F.raise_error(F.concat(F.lit(_EMPTY), F.col("file_name"))).cast("boolean")
+        # of equal names the last file counts, but none may be empty
+        return body.where(F.when(F.col("n") == 0, missing).otherwise(F.col("wins"))).select("file_name", content.alias("content"))
+
+    header = text.CSV_HEADER + "\n"
     if output:
+        data, crc, size = archive.deflated([header], LEVEL)
+        piece = F.struct(F.lit(bytearray(data)).alias("data"), F.lit(crc).cast("bigint").alias("crc"), F.lit(size).cast("bigint").alias("size"))
         try:
-            archive.write_archive(out, output, level=1)  # one task packs them all: quickly rather than tightly
+            archive.write_archive(tables(piece, ["data", "crc", "size"], lambda pieces: pieces, LEVEL), output)
         except PySparkException as e:
             if _EMPTY in str(e):
                 raise EmptyFileError(str(e)[str(e).index(_EMPTY) :].splitlines()[0]) from e
             raise
-    return out
+    return tables(F.struct(F.lit(header).alias("text")), ["text"], lambda texts: F.array_join(F.transform(texts, lambda x: x["text"]), ""), None)
 
 
 def last_of_each(points: DataFrame) -> DataFrame:

@@ -80,6 +80,9 @@ class _Reader(DataSourceReader):
     def __init__(self, paths: list[str]):
         self.paths = paths
 
+    def __getstate__(self) -> dict:
+        return {}  # a task knows its files from its partition: the reader goes to every task
+
     def partitions(self) -> list[_Files]:
         n = len(self.paths)
         size = max(1, min(FILES, -(-n // PARTITIONS)))

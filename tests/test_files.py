@@ -7,10 +7,12 @@ import zipfile
 from decimal import ROUND_HALF_UP, Decimal
 from xml.etree import ElementTree
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from permaway.functions import jsnum, styling
+from permaway.operators import sections
 from permaway.options import CenterlineOptions, DrawingOptions
 from permaway.paths import files_of
 from permaway.plans import pipelines
@@ -254,6 +256,34 @@ def test_zip_records_of_large_archives():
     assert struct.unpack("<2H2Q", large.record(False)[-20:]) == (1, 16, 6 * 10**9, 5 * 10**9)
 
 
+def test_archives_of_tables_are_written_and_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    for k in range(40):
+        (tmp_path / f"f{k:02d}.kml").write_text(marks(f"s{k}", 100 + k / 10, -33))
+    frames, saved = [], archive._saved
+    monkeypatch.setattr(archive, "_saved", lambda df, *a, **o: (frames.append(df), saved(df, *a, **o)))
+    monkeypatch.setattr(archive, "ROW", 2000)
+    out = str(tmp_path / "out" / "t.zip")
+    want = {r.file_name: r.content for r in pipelines.build_centerlines(spark, [str(tmp_path)], output=out).collect()}
+    plan = frames[0]._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "RoundRobin" not in plan
+    read = archive.read_archives(spark, [out])
+    assert {r.file_name: r.content for r in read.collect()} == want and len(want) == 40
+    assert len({r.p for r in read.select(F.spark_partition_id().alias("p")).collect()}) > 1
+    z = zipfile.ZipFile(out)
+    assert z.testzip() is None and {n: z.read(n).decode() for n in z.namelist()} == want
+
+
+def test_sections_print_as_columns_do(spark):
+    rng = random.Random(5)
+    xs = [rng.choice((1, -1)) * rng.random() * 10.0 ** rng.randint(-9, 5) for _ in range(500)] + [k / 16 for k in range(-40, 40)] + [0.0, -0.0, -0.0004, 2.5, math.nan, math.inf, -math.inf]
+    rows = [(k, x) for k, x in enumerate(xs)]
+    shown = [jsnum.to_fixed(F.col("x"), d) for d in (8, 3, 1)]
+    want = [r.t for r in spark.createDataFrame(rows, "k int, x double").select("k", F.concat_ws(",", F.lit("a%s"), *shown).alias("t")).orderBy("k").collect()]
+    x = np.array(xs)
+    for part in (slice(None), slice(0, -3)):
+        assert sections.csv_text(["a%s"] * len(xs[part]), [(x[part], 8), (x[part], 3), (x[part], 1)]).splitlines() == want[part]
+
+
 def test_options():
     assert CenterlineOptions.curve_finding().output_spacing == 5.0
     assert CenterlineOptions.parse(spline_detail="60.9", output_spacing="10m").spline_detail == 60
