@@ -60,6 +60,11 @@ def to_fixed(x: Column, digits: int) -> Column:
     return F.when(plain, x.try_cast(f"decimal(18,{digits})").cast("string")).otherwise(F.get(F.transform(F.array(x), exactly), F.lit(0)))
 
 
+def signed_fixed(x: Column, digits: int) -> Column:
+    """``to_fixed`` with the sign of a negative zero, which a tiny negative number becomes when its printed text is read again."""
+    return F.when(x == 0, F.concat(F.when(x.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit("")), to_fixed(F.lit(0.0), digits))).otherwise(to_fixed(x, digits))
+
+
 def round_half_up(x: Column) -> Column:
     """Nearest whole number, halves towards plus infinity."""
     return F.floor(x + 0.5)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from permaway.functions.jsnum import to_fixed
+from permaway.functions.jsnum import signed_fixed, to_fixed
 
 #: Line colours in the order alpha, blue, green, red, and the same ten as display colours.
 LINE_COLORS = ("ff00ff00", "ff0000ff", "ffffff00", "ff00a5ff", "ff00ffff", "ffff00ff", "ff9e9e5f", "ff008cff", "ff800000", "ff800080")
@@ -36,8 +36,8 @@ def altitude_mode(mode: str) -> str:
 
 
 def coordinate(lon: Column, lat: Column, alt: Column) -> Column:
-    """``lon,lat,alt`` with 8, 8 and 3 decimals."""
-    return F.concat_ws(",", to_fixed(lon, 8), to_fixed(lat, 8), to_fixed(alt, 3))
+    """``lon,lat,alt`` with 8, 8 and 3 decimals; a place keeps the sign that its table gives a zero."""
+    return F.concat_ws(",", signed_fixed(lon, 8), signed_fixed(lat, 8), to_fixed(alt, 3))
 
 
 def point_text(lat: Column, lon: Column, alt: Column) -> Column:
